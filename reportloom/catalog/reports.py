@@ -167,7 +167,7 @@ def csv_long_text(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select(
         "doc_id", F.replace(F.replace("text", F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")).alias("text")
     )
-    documents.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(out)
+    documents.write.option("header", True).option("escape", '"').csv(out)
     back = scan_csv(spark, out)
     plain = F.replace(F.replace("text", F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain.alias("text"))

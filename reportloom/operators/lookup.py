@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reportloom.operators.columns import present, ref, repeated_name, resolve_columns, value_of
+from reportloom.plans.errors import STEP_ERRORS
 
 Selector = str | Iterable[str]
 
@@ -136,7 +136,7 @@ def link_tables(
         try:
             target = rule["target"]() if callable(rule["target"]) else rule["target"]
             linked = lookup_join(master, target, **options)
-        except (ValueError, OSError, PySparkException) as error:
+        except STEP_ERRORS as error:
             if on_error == "raise":
                 raise
             if on_event:

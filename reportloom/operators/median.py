@@ -1,78 +1,73 @@
 """Exact medians without gathering a group in one place.
 
-The built-in ``median`` buffers every distinct value of a group in one task. Here a
-group is first counted per value, which spreads it over all tasks, and then the
-stretch holding the middle is narrowed twice by counting: into 4,096 stretches per
-power of two, and the one found into 2**20 equal parts. Only the values of that last
-sliver are ranked. Each ranking window therefore sees a bounded number of rows.
+The built-in ``median`` buffers every distinct value of a group in one task. Here the
+stretch of values that holds the middle is found by counting: first among 4,096
+stretches per power of two, then, in the stretch found, among 2**20 equal parts. Both
+counts combine before their shuffle, and only the values of the last sliver are ranked,
+so each ranking window sees a bounded number of rows however large its group is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.operators.columns import ref
+from reportloom.operators.columns import present, ref
 
 _PER_POWER_OF_TWO = 4096
 _PARTS = 2**20
 
 
-def _around_middle(counted: DataFrame, within: Sequence[Column], by: str) -> DataFrame:
+def _around_middle(counted: DataFrame, within: Sequence[str], by: str) -> DataFrame:
     """Rows whose run of ranks touches the middle; ``start`` becomes the ranks before the row."""
     ahead = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("start") + F.coalesce(F.sum("n").over(ahead), F.lit(0))
-    return (
-        counted.withColumn("start", start)
-        .where((F.col("start") < F.col("high")) & (F.col("start") + F.col("n") >= F.col("low")))
-    )
+    placed = counted.withColumn("start", start)
+    return placed.where((F.col("start") < F.col("high")) & (F.col("start") + F.col("n") >= F.col("low")))
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, result: str) -> DataFrame:
     """``keys`` and the exact median of ``value`` as double; groups without a value are absent."""
-    names = [f"__g{i}" for i in range(len(keys))]
-    groups = [F.col(n) for n in names]
-    number = F.nanvl(ref(value).cast("double"), F.lit(None))
-    cells = (
-        df.select(*[ref(k).alias(n) for k, n in zip(keys, names)], number.alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy(*groups, "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
+    groups = [f"__g{i}" for i in range(len(keys))]
     v = F.col("v")
-    coarse = F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * _PER_POWER_OF_TWO)
-    cells = cells.withColumn("coarse", coarse)
-    stretches = cells.groupBy(*groups, "coarse").agg(
-        F.sum("n").alias("n"), F.min("v").alias("from_v"), F.max("v").alias("to_v")
+    # Never null, so that the join below adds no filter and both scans stay alike.
+    coarse = F.coalesce(F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * _PER_POWER_OF_TWO), F.lit(0))
+    rows = (
+        df.where(reduce(lambda a, b: a & b, [present(df, c) for c in [*keys, value]]))
+        .select(*[ref(k).alias(g) for k, g in zip(keys, groups)], ref(value).cast("double").alias("v"))
+        .withColumn("coarse", coarse)
     )
-    total = F.sum("n").over(Window.partitionBy(*groups))
-    ranked = (
-        stretches.withColumn("total", total)
-        .withColumn("low", F.floor((F.col("total") + 1) / 2))
-        .withColumn("high", F.floor((F.col("total") + 2) / 2))
-        .withColumn("start", F.lit(0).cast("bigint"))
+    stretches = rows.groupBy(*groups, "coarse").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("from_v"), F.max("v").alias("to_v")
     )
-    middle = _around_middle(ranked, groups, "coarse").select(
-        *groups, "coarse", "from_v", "to_v", "low", "high", "start"
+    total = F.sum("n").over(Window.partitionBy(*groups))
+    ranked = stretches.select(
+        "*",
+        F.floor((total + 1) / 2).alias("low"),
+        F.floor((total + 2) / 2).alias("high"),
+        F.lit(0).cast("bigint").alias("start"),
     )
+    middle = _around_middle(ranked, groups, "coarse").drop("n")
 
     width = F.nullif(F.col("to_v") - F.col("from_v"), F.lit(0.0))
     fine = F.coalesce(F.floor((v - F.col("from_v")) / width * _PARTS), F.lit(0))
-    inside = cells.join(middle, [*names, "coarse"]).withColumn("fine", fine)
-    stretch = [*groups, F.col("coarse")]
-    parts = inside.groupBy(*stretch, "fine").agg(
-        F.sum("n").alias("n"),
-        F.first("low").alias("low"),
-        F.first("high").alias("high"),
-        F.first("start").alias("start"),
+    part = [*groups, "coarse", "fine"]
+    inside = (
+        rows.join(middle, [*groups, "coarse"])
+        .withColumn("fine", fine)
+        .groupBy(*part, "v", "low", "high", "start")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = _around_middle(parts, stretch, "fine").select(*stretch, "fine", "start")
+    parts = inside.groupBy(*part, "low", "high", "start").agg(F.sum("n").alias("n"))
+    found = _around_middle(parts, [*groups, "coarse"], "fine").select(*part, "start")
 
-    sliver = inside.drop("start").join(found, [*names, "coarse", "fine"])
-    values = _around_middle(sliver, [*stretch, F.col("fine")], "v")
-    return values.groupBy(*groups).agg(((F.min("v") + F.max("v")) / 2).alias(result)).select(
-        *[F.col(n).alias(k) for n, k in zip(names, keys)], F.col(result)
+    values = _around_middle(inside.drop("start").join(found, part), part, "v")
+    median = ((F.min("v") + F.max("v")) / 2).alias(result)
+    return (
+        values.groupBy(*groups)
+        .agg(median)
+        .select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], ref(result))
     )

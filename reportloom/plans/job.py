@@ -6,7 +6,6 @@ import time
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from reportloom.operators.columns import clean_output_name, keep_columns, project_detail
@@ -17,6 +16,7 @@ from reportloom.operators.lookup import link_tables
 from reportloom.operators.ordering import sort_rows
 from reportloom.operators.pivot import pivot_table
 from reportloom.operators.predicates import filter_rows
+from reportloom.plans.errors import SPARK_ERRORS, STEP_ERRORS, reason
 from reportloom.plans.spec import JobSpec, LookupRule, OutputTask, Source
 from reportloom.plans.staging import settle
 from reportloom.sources.folders import merge_folder
@@ -26,9 +26,6 @@ from reportloom.sources.tables import scan_sheet, scan_table
 DETAIL_LIMIT = 5_000  # fixed value: characters kept of a report entry
 REPORT_NAME = "run_report"
 
-# What building or running one output may raise without ending the job.
-_STEP_ERRORS = (PySparkException, ValueError, TypeError, KeyError, OSError)
-
 
 class RunReport:
     """Steps of a run: time, stage, status and detail."""
@@ -104,7 +101,7 @@ def build_pool(spark: SparkSession, spec: JobSpec, report: RunReport | None = No
     def note(rule: dict, error: Exception | None, picks: int) -> None:
         if report:
             stage = f"lookup:{rule['label'].rstrip('/').rsplit('/', 1)[-1]}"
-            report.add(stage, "FAIL" if error else "done", error or f"picked={picks}")
+            report.add(stage, "FAIL" if error else "done", reason(error) if error else f"picked={picks}")
 
     pool = link_tables(pool, rules, on_error, note)
     if spec.types is not None:
@@ -121,13 +118,13 @@ def build_output(pool: DataFrame, task: OutputTask, report: RunReport | None = N
     """One output of the joined table, as a lazy plan (but for unknown pivot values)."""
     df = pool
     for item in task.calc_fields:
-        item = item if isinstance(item, str) else tuple(item)
+        name, formula = (item, None) if isinstance(item, str) else item
         try:
-            df = derive(df, [item])
-        except PySparkException as error:
+            df = derive(df, [(name, formula)])
+        except SPARK_ERRORS as error:
             if report is None:
                 raise
-            report.add(f"derive:{task.name}", "FAIL", f"{item}: {error}")
+            report.add(f"derive:{task.name}", "FAIL", f"{name}: {reason(error)}")
     df = filter_rows(df, task.filter_expr)
     pivot = task.pivot_cfg
     if pivot.enabled:
@@ -155,11 +152,13 @@ def output_paths(spec: JobSpec) -> dict[str, str]:
     if not spec.output:
         raise ValueError("the job names no output folder")
     paths: dict[str, str] = {}
+    taken = {REPORT_NAME}
     for task in spec.tasks:
-        path = f"{spec.output.rstrip('/')}/{clean_output_name(task.name)}"
-        if path.lower() in {p.lower() for p in paths.values()}:
+        name = clean_output_name(task.name)
+        if name.lower() in taken:
             raise ValueError(f"output name {task.name!r} is used twice")
-        paths[task.name] = path
+        taken.add(name.lower())
+        paths[task.name] = f"{spec.output.rstrip('/')}/{name}"
     return paths
 
 
@@ -180,7 +179,7 @@ def run_report_job(spark: SparkSession, spec: JobSpec | dict) -> DataFrame:
             _run_output(pool, task, spec, paths[task.name], report)
         report.add("job", "done", f"seconds={report.elapsed:.1f}")
     except Exception as error:
-        report.add("job", "FAIL", error)
+        report.add("job", "FAIL", reason(error))
         raise
     finally:
         table = report.to_table(spark).coalesce(1)
@@ -196,5 +195,5 @@ def _run_output(pool, task: OutputTask, spec: JobSpec, path: str, report: RunRep
             df, path, spec.max_rows, spec.file_format, spec.mode, spec.numbered_sheets
         )
         report.add(f"output:{task.name}", "done", f"rows={rows} columns={len(df.columns)}")
-    except _STEP_ERRORS as error:
-        report.add(f"output:{task.name}", "FAIL", error)
+    except STEP_ERRORS as error:
+        report.add(f"output:{task.name}", "FAIL", reason(error))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from reportloom.operators.columns import ref
 from reportloom.operators.combine import append_tables
+from reportloom.plans.errors import STEP_ERRORS, reason
 from reportloom.sources.listing import Child, list_children, template_of
 from reportloom.sources.tables import csv_reader, pick_sheet, scan_table
 
@@ -65,8 +65,8 @@ def merge_folder(
     def header(pair):
         try:
             return _schema_of(spark, pair[1], encoding)
-        except (PySparkException, ValueError) as error:
-            return str(error).splitlines()[0]
+        except STEP_ERRORS as error:
+            return reason(error)
 
     with ThreadPoolExecutor(_HEADER_READERS) as readers:
         schemas = list(readers.map(header, tables))

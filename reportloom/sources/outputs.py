@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reportloom.plans.errors import STEP_ERRORS, reason
 from reportloom.plans.staging import new_path
 from reportloom.sources.listing import Child, list_children
 from reportloom.sources.tables import list_sheets, pick_sheet, scan_sheet, scan_table
@@ -112,8 +112,8 @@ def _convert(read, path: str, mode: str) -> tuple:
     name = path.rsplit("/", 1)[-1]
     try:
         return name, True, write_output(read(), path, max_rows=0, mode=mode), ""
-    except (PySparkException, ValueError) as error:
-        return name, False, None, str(error).splitlines()[0]
+    except STEP_ERRORS as error:
+        return name, False, None, reason(error)
 
 
 def _report(spark: SparkSession, records: list[tuple]) -> DataFrame:

@@ -32,6 +32,9 @@ def csv_reader(spark: SparkSession, encoding: str | None = None, bad_rows: str =
         .option("header", True)
         .option("inferSchema", False)
         .option("escape", '"')
+        # An empty cell is null, a quoted empty one is empty text: the null text itself
+        # must then be one that no file spells.
+        .option("nullValue", "\u0000")
         .option("mode", BAD_ROWS[bad_rows])
     )
     if encoding:
