@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reportloom.operators.columns import ref, repeated_name, value_of
+from reportloom.operators.lookup import matching_type, rows_not_in_table
+from reportloom.operators.ordering import tie_breaker
+from reportloom.plans.staging import settle
 
 
 def _common_type(types: Sequence[T.DataType]) -> str | None:
@@ -53,16 +55,34 @@ def align_tables(tables: Sequence[DataFrame], ordered: bool = True) -> DataFrame
     if twice is not None:
         raise ValueError(f"column {twice!r} is in several tables but not in all")
 
-    def keyed(df: DataFrame) -> DataFrame:
-        # Null-key rows match nothing, so a row hash as further key only spreads them over tasks.
-        lost = reduce(lambda a, b: a | b, [value_of(df, c).isNull() for c in common])
-        spread = F.when(lost, F.xxhash64(*[ref(c) for c in df.columns])).otherwise(F.lit(0).cast("bigint"))
-        return df.select(
-            *[value_of(df, c).alias(c) if c in common else ref(c) for c in df.columns],
-            spread.alias("__spread"),
-        )
+    types = {c: tables[0].schema[c].dataType for c in common}
+    casts = {c: types[c].simpleString() for c in common}
+    for df in tables[1:]:
+        for c in common:
+            if df.schema[c].dataType != types[c]:
+                casts[c] = matching_type(df.schema[c].dataType, types[c])
+    keyed = [
+        df.select([value_of(df, c).cast(casts[c]).alias(c) if c in casts else ref(c) for c in df.columns])
+        for df in tables
+    ]
+    joined = _full_outer(keyed[0], keyed[1], common)
+    for df in keyed[2:]:
+        # Each step reads its left side more than once: let it run once.
+        joined = _full_outer(settle(joined, "align"), df, common)
+    joined = joined.select([ref(c) for c in [*common, *extra]])
+    if not ordered:
+        return joined
+    return joined.orderBy([*[ref(c).asc_nulls_last() for c in common], tie_breaker(joined)])
+
 
-    joined = reduce(
-        lambda a, b: a.join(b, [*common, "__spread"], "full_outer"), [keyed(df) for df in tables]
-    ).select([ref(c) for c in [*common, *extra]])
-    return joined.orderBy([ref(c).asc_nulls_last() for c in common]) if ordered else joined
+def _full_outer(a: DataFrame, b: DataFrame, common: Sequence[str]) -> DataFrame:
+    """Matches and, apart, the rows of each side without one.
+
+    AQE cannot split a hot key in a full outer join, but it can in each of these.
+    """
+    matched = a.join(b, list(common))
+    left_only = rows_not_in_table(a, common, b, common)
+    right_only = rows_not_in_table(b, common, a, common)
+    return matched.unionByName(left_only, allowMissingColumns=True).unionByName(
+        right_only, allowMissingColumns=True
+    )

@@ -24,6 +24,25 @@ def parse_moment(text: Column) -> Column:
     return F.when(text.rlike(DATE_TEXT), dashed.try_cast("timestamp_ntz"))
 
 
+_KINDS = ("empty", "whole", "wide", "huge", "number", "moment", "text")
+
+
+def _kind(text: Column) -> Column:
+    """What one value looks like; each value is looked at once, the cheapest test first."""
+    return (
+        F.when(text == "", "empty")
+        .when(
+            text.rlike(INTEGER_TEXT),
+            F.when(text.try_cast("bigint").isNotNull(), "whole")
+            .when(text.try_cast(f"decimal({DECIMAL_DIGITS},0)").isNotNull(), "wide")
+            .otherwise("huge"),
+        )
+        .when(text.rlike(NUMBER_TEXT), "number")
+        .when(text.rlike(DATE_TEXT), "moment")
+        .when(text.isNotNull(), "text")
+    )
+
+
 def infer_schema(df: DataFrame, keep_text: Iterable[str] = ()) -> dict[str, str]:
     """Type found for each text column: one aggregate over all of them, one row to the driver.
 
@@ -38,31 +57,24 @@ def infer_schema(df: DataFrame, keep_text: Iterable[str] = ()) -> dict[str, str]
     ]
     if not names:
         return {}
-    counts = []
-    for i, name in enumerate(names):
-        text = ref(name)
-        whole = text.rlike(INTEGER_TEXT)
-        counts += [
-            F.count(text).alias(f"any{i}"),
-            F.count_if(text == "").alias(f"empty{i}"),
-            F.count_if(text.rlike(NUMBER_TEXT)).alias(f"number{i}"),
-            F.count_if(whole).alias(f"whole{i}"),
-            F.count_if(whole & text.try_cast("bigint").isNull()).alias(f"wide{i}"),
-            F.count_if(whole & text.try_cast(f"decimal({DECIMAL_DIGITS},0)").isNull()).alias(f"huge{i}"),
-            F.count_if(text.rlike(DATE_TEXT)).alias(f"date{i}"),
+    kinds = df.select([_kind(ref(c)).alias(f"kind{i}") for i, c in enumerate(names)])
+    seen = kinds.agg(
+        *[
+            F.count_if(F.col(f"kind{i}") == kind).alias(f"{kind}{i}")
+            for i in range(len(names))
+            for kind in _KINDS
         ]
-    seen = df.agg(*counts).first()
+    ).first()
     found = {}
     for i, name in enumerate(names):
-        total, empty, number, whole, wide, huge, dates = (
-            seen[f"{k}{i}"] for k in ("any", "empty", "number", "whole", "wide", "huge", "date")
-        )
-        if number + empty == total:
-            if number == 0 or whole < number or huge:
+        empty, whole, wide, huge, number, moment, text = (seen[f"{kind}{i}"] for kind in _KINDS)
+        numbers = whole + wide + huge + number
+        if not moment and not text:
+            if not numbers or huge or number:
                 found[name] = "double"
             else:
                 found[name] = f"decimal({DECIMAL_DIGITS},0)" if wide else "bigint"
-        elif dates >= total * DATE_SHARE:
+        elif moment >= (empty + numbers + moment + text) * DATE_SHARE:
             found[name] = "timestamp_ntz"
     return found
 

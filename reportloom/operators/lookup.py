@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,10 +114,8 @@ def lookup_join(
         pairs.append(F.xxhash64(*left) == F.xxhash64(*right))
 
     joined = master.join(found, reduce(lambda a, b: a & b, pairs), "left")
-    return joined.select(
-        *[ref(c) for c in master.columns],
-        *[F.col(f"__p{i}").alias(name) for i, name in enumerate(names)],
-    )
+    joined = joined.drop(*[f"__k{i}" for i in range(len(t_keys))])
+    return joined.withColumnsRenamed({f"__p{i}": name for i, name in enumerate(names)})
 
 
 def link_tables(
@@ -153,21 +151,28 @@ def pool_columns(master: DataFrame, rules: Iterable[dict]) -> list[str]:
     return link_tables(master, rules).columns
 
 
-def rows_in_table(df: DataFrame, name: str, values: DataFrame, values_name: str) -> DataFrame:
-    """Rows whose ``name`` occurs among the values of another table."""
-    return _value_list_join(df, name, values, values_name, "left_semi")
+def rows_in_table(df: DataFrame, names: Selector, values: DataFrame, value_names: Selector) -> DataFrame:
+    """Rows whose ``names`` occur among the values of another table."""
+    return _by_value_table(df, names, values, value_names, "left_semi")
 
 
-def rows_not_in_table(df: DataFrame, name: str, values: DataFrame, values_name: str) -> DataFrame:
-    """Rows whose ``name`` does not occur among the values; rows without a value stay."""
-    return _value_list_join(df, name, values, values_name, "left_anti")
+def rows_not_in_table(df: DataFrame, names: Selector, values: DataFrame, value_names: Selector) -> DataFrame:
+    """Rows whose ``names`` do not occur among the values; rows without a value stay."""
+    return _by_value_table(df, names, values, value_names, "left_anti")
 
 
-def _value_list_join(df, name, values, values_name, how) -> DataFrame:
-    common = matching_type(df.schema[name].dataType, values.schema[values_name].dataType)
-    left = value_of(df, name).cast(common)
-    right = F.col("__value")
-    listed = values.where(present(values, values_name))
-    listed = listed.select(value_of(values, values_name).cast(common).alias("__value")).distinct()
-    # The same further key as in lookup_join, for the same reason.
-    return df.join(listed, (left == right) & (F.xxhash64(left) == F.xxhash64(right)), how)
+def _by_value_table(df, names, values, value_names, how) -> DataFrame:
+    names = resolve_columns(names, df.columns)
+    value_names = resolve_columns(value_names, values.columns)
+    types = [
+        matching_type(df.schema[n].dataType, values.schema[v].dataType) for n, v in zip(names, value_names)
+    ]
+    left = [value_of(df, n).cast(t) for n, t in zip(names, types)]
+    right = [F.col(f"__k{i}") for i in range(len(names))]
+    listed = values.where(reduce(lambda a, b: a & b, [present(values, v) for v in value_names]))
+    listed = listed.select(
+        *[value_of(values, v).cast(t).alias(f"__k{i}") for i, (v, t) in enumerate(zip(value_names, types))]
+    ).distinct()
+    # The hash is a further key for the same reason as in lookup_join.
+    pairs = [*[a == b for a, b in zip(left, right)], F.xxhash64(*left) == F.xxhash64(*right)]
+    return df.join(listed, reduce(lambda a, b: a & b, pairs), how)

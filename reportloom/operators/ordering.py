@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,12 @@ def sort_keys(df: DataFrame, by: Iterable[tuple[str, bool] | dict | str]) -> lis
     return [(name, asc) for name, asc in pairs if name in df.columns]
 
 
+def tie_breaker(df: DataFrame) -> Column:
+    """A hash of the row, to spread rows with equal sort keys over tasks."""
+    unhashable = (T.MapType, T.VariantType)
+    return F.xxhash64(*[ref(f.name) for f in df.schema.fields if not isinstance(f.dataType, unhashable)])
+
+
 def sort_rows(
     df: DataFrame, by: Iterable[tuple[str, bool] | dict | str], spread_ties: bool = True
 ) -> DataFrame:
@@ -43,6 +49,5 @@ def sort_rows(
             value = F.lower(value)
         order.append(value.asc_nulls_last() if ascending else value.desc_nulls_last())
     if spread_ties:
-        hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        order.append(F.xxhash64(*[ref(c) for c in hashable]))
+        order.append(tie_breaker(df))
     return df.orderBy(order)

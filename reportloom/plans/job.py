@@ -79,7 +79,7 @@ def _target(spark: SparkSession, rule: LookupRule) -> Callable[[], DataFrame]:
 
 
 def build_pool(spark: SparkSession, spec: JobSpec, report: RunReport | None = None, on_error="raise") -> DataFrame:
-    """Main table with all lookups and inferred types; lazy but for the inference counts."""
+    """Main table with all lookups and inferred types; lazy but for the inference counts and ``share_pool``."""
     pool = read_master(spark, spec.master, report)
     if report:
         report.add("master", "done", f"columns={len(pool.columns)}")
@@ -104,6 +104,8 @@ def build_pool(spark: SparkSession, spec: JobSpec, report: RunReport | None = No
             report.add(stage, "FAIL" if error else "done", reason(error) if error else f"picked={picks}")
 
     pool = link_tables(pool, rules, on_error, note)
+    if spec.share_pool:
+        pool = settle(pool, "pool")
     if spec.types is not None:
         return apply_types(pool, spec.types)
     if spec.infer:
@@ -173,8 +175,6 @@ def run_report_job(spark: SparkSession, spec: JobSpec | dict) -> DataFrame:
     report = RunReport()
     try:
         pool = build_pool(spark, spec, report, on_error="skip")
-        if spec.share_pool:
-            pool = settle(pool, "pool")
         for task in spec.tasks:
             _run_output(pool, task, spec, paths[task.name], report)
         report.add("job", "done", f"seconds={report.elapsed:.1f}")

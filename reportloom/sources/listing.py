@@ -9,6 +9,7 @@ from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Endings of data files; how an editor's lock file begins.
 DATA_SUFFIXES = (".xlsx", ".xls", ".csv", ".parquet")
@@ -33,41 +34,43 @@ class Child:
         return os.path.splitext(self.name)[1].lower()
 
 
-def _folder_end(path: str, folder: str) -> int:
-    """Where a listed path leaves the folder; listed paths differ from the given one by their scheme."""
+def _inner_path(folder: str) -> str:
+    """The folder as it shows inside listed paths, whatever scheme it was given with."""
     bare = re.sub(r"^[A-Za-z][\w+.-]*:/*", "/", folder)
-    inner = "/" + os.path.normpath(bare).strip("/") + "/"
-    at = path.find(inner)
-    if at < 0:
-        raise ValueError(f"not a folder of tables: {folder!r}")
-    return at + len(inner)
+    return "/" + os.path.normpath(bare).strip("/") + "/"
 
 
 def list_children(spark: SparkSession, folder: str, books: bool = False) -> list[Child]:
     """Tables directly inside a folder, oldest first.
 
-    Only names, times and sizes of files come to the driver; contents are not read.
-    With ``books``, folders without a data ending are listed too: their tables are sheets.
+    File contents are not read, and one row per table comes to the driver. With
+    ``books``, folders without a data ending are listed too: their tables are sheets.
     """
+    inner = _inner_path(folder)
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     except AnalysisException as error:
         raise ValueError(f"no folder {folder!r}") from error
-    grouped: dict[str, list] = {}
-    roots: dict[str, str] = {}
-    for row in files.select("path", "modificationTime", "length").collect():
-        start = _folder_end(row.path, folder)
-        name, _, below = row.path[start:].partition("/")
-        is_table = name.lower().endswith(DATA_SUFFIXES)
-        if name.startswith(LOCK_PREFIX) or not (is_table or (books and below)):
-            continue
-        grouped.setdefault(name, []).append(row)
-        roots[name] = row.path[: start + len(name)]
-    children = [
-        Child(name, roots[name], max(r.modificationTime for r in rows), sum(r.length for r in rows))
-        for name, rows in grouped.items()
-    ]
-    return sorted(children, key=lambda c: (c.modified, c.name))
+    start = F.locate(inner, F.col("path"))
+    below = F.substring(F.col("path"), start + len(inner), F.length("path"))
+    children = (
+        files.withColumn("inside", F.when(start > 0, below))
+        .groupBy(F.split_part("inside", F.lit("/"), F.lit(1)).alias("name"))
+        .agg(
+            F.min(F.substring(F.col("path"), F.lit(1), start + len(inner) - 1)).alias("root"),
+            F.bool_or(F.contains("inside", F.lit("/"))).alias("nested"),
+            F.max("modificationTime").alias("modified"),
+            F.sum("length").alias("length"),
+        )
+    )
+    found = []
+    for row in children.collect():
+        if row.name is None:
+            raise ValueError(f"not a folder of tables: {folder!r}")
+        is_table = row.name.lower().endswith(DATA_SUFFIXES)
+        if not row.name.startswith(LOCK_PREFIX) and (is_table or (books and row.nested)):
+            found.append(Child(row.name, row.root + row.name, row.modified, row.length))
+    return sorted(found, key=lambda c: (c.modified, c.name))
 
 
 def list_data_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ SHEET_ROWS = 1_048_575
 
 SHEET_COLUMN = "sheet_no"
 
+_WRITE_JOBS = 8
+
 
 def _writer(df: DataFrame, file_format: str, mode: str):
     writer = df.write.format(file_format).mode(mode)
@@ -127,14 +130,17 @@ def convert_folder(
     """Convert every CSV table and book of a folder to Parquet; Parquet tables are left alone.
 
     ``sheets`` is ``'ALL'``, a position (cut to the last sheet) or a name. One write job per
-    source, parallel inside; a failed source is reported and the others go on.
+    source, a few at a time so that small sources do not leave the cluster idle; a failed
+    source is reported and the others go on.
     """
-    records = []
-    for child in list_children(spark, src, books=True):
-        if child.suffix == ".parquet":
-            continue
-        records += [tuple(r) for r in _convert_child(spark, child, dst, sheets, encoding, bad_rows, mode)]
-    return _report(spark, records)
+    children = [c for c in list_children(spark, src, books=True) if c.suffix != ".parquet"]
+
+    def convert(child: Child) -> list:
+        return _convert_child(spark, child, dst, sheets, encoding, bad_rows, mode)
+
+    with ThreadPoolExecutor(_WRITE_JOBS) as jobs:
+        reports = list(jobs.map(convert, children))
+    return _report(spark, [tuple(row) for rows in reports for row in rows])
 
 
 def _convert_child(spark, child: Child, dst, sheets, encoding, bad_rows, mode) -> list:
