@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +117,12 @@ def build_pool(spark: SparkSession, spec: JobSpec, report: RunReport | None = No
     return pool
 
 
+def analyze_pool(spark: SparkSession, spec: JobSpec | dict) -> list[str]:
+    """Names of the joined table's columns. Headers are read, data is not."""
+    spec = JobSpec.from_dict(spec) if isinstance(spec, dict) else spec
+    return build_pool(spark, replace(spec, infer=False, types=None, share_pool=False)).columns
+
+
 def build_output(pool: DataFrame, task: OutputTask, report: RunReport | None = None) -> DataFrame:
     """One output of the joined table, as a lazy plan (but for unknown pivot values)."""
     df = pool

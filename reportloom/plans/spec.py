@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, fields
 
+from reportloom.operators.predicates import split_values
+
 
 def _known(cls, data: dict) -> dict:
     names = {f.name for f in fields(cls)}
@@ -57,7 +59,10 @@ class LookupRule(_Plain):
 
 @dataclass
 class PivotSpec(_Plain):
-    """A pivot table or grouped aggregate. ``pivot_values`` spares the job that finds them."""
+    """A pivot table or grouped aggregate. ``pivot_values`` spares the job that finds them.
+
+    ``renames`` may be text such as ``"sales=turnover, 2023=last year"``.
+    """
 
     enabled: bool = False
     group_by: list[str] = field(default_factory=list)
@@ -67,6 +72,11 @@ class PivotSpec(_Plain):
     pivot_values: list | None = None
     order_by: list[str] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        if isinstance(self.renames, str):
+            pairs = (part.partition("=") for part in split_values(self.renames))
+            self.renames = {old.strip(): new.strip() for old, sign, new in pairs if sign}
+
 
 @dataclass
 class OutputTask(_Plain):
@@ -119,6 +129,28 @@ class JobSpec(_Plain):
         known["tasks"] = [_as(OutputTask, t) for t in known["tasks"]]
         return cls(**known)
 
+    @classmethod
+    def from_preset(cls, data: dict) -> JobSpec:
+        """The job of a saved preset, whose master settings lie side by side.
+
+        Formulas must be ``[name, SQL]`` pairs and conditions SQL or plain specifications;
+        Python text is not run.
+        """
+        for task in data.get("tasks", []):
+            if isinstance(task.get("calc_fields"), str) and task["calc_fields"].strip():
+                raise ValueError(f"output {task['name']!r}: give calc_fields as [name, SQL] pairs")
+        folder = bool(data.get("master_is_folder", False))
+        path, sheet = data["master"], data.get("folder_sheet" if folder else "master_sheet")
+        single_table = not folder and path.rstrip("/").lower().endswith((".csv", ".parquet"))
+        master = {
+            "path": path,
+            "folder": folder,
+            "sheet": None if single_table else sheet,
+            "columns": data.get("master_schema_cols") or None,
+        }
+        rest = {"rules": data.get("rules", []), "tasks": data.get("tasks", []), "output": data.get("output")}
+        return cls.from_dict({"master": master, **rest})
+
 
 def _as(cls, data):
     return cls.from_dict(data) if isinstance(data, dict) else data

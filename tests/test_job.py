@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from reportloom.plans.job import RunReport, build_outputs, output_paths, run_report_job
+from reportloom.plans.job import RunReport, analyze_pool, build_outputs, output_paths, run_report_job
 from reportloom.plans.spec import JobSpec, OutputTask
 
 
@@ -123,6 +123,28 @@ def test_specification_round_trip(files):
         OutputTask.from_dict({"name": "x", "sorting": []})
 
 
+def test_presets_and_rename_text(spark, files):
+    spec = spec_of(files)
+    spec["rules"].pop()
+    task = spec["tasks"][0]
+    task["pivot_cfg"]["renames"] = "qty=units; 2023 = last"
+    preset = {
+        "master": f"{files}/lines.csv", "master_sheet": 0, "master_is_folder": False,
+        "master_schema_cols": ["dept", "planner", "qty", "year"], "output": "",
+        "folder_sheet": 0, "rules": spec["rules"], "tasks": [task | {"calc_fields": ""}],
+    }
+    loaded = JobSpec.from_preset(preset)
+    assert analyze_pool(spark, loaded) == ["dept", "planner", "qty", "year", "city", "qty_dup"]
+    assert loaded.tasks[0].pivot_cfg.renames == {"qty": "units", "2023": "last"}
+    out = build_outputs(spark, loaded)["by dept"]
+    # Every pair is read against the original names; where two hit one column the later counts.
+    assert out.columns == ["dept", "qty_last", "units_2024"]
+    folder = JobSpec.from_preset(preset | {"master": str(files), "master_is_folder": True})
+    assert folder.master.folder and folder.master.sheet == 0
+    with pytest.raises(ValueError, match="SQL"):
+        JobSpec.from_preset(preset | {"tasks": [task | {"calc_fields": "x = df['a'] * 2"}]})
+
+
 def test_colliding_names_are_an_error(files):
     spec = JobSpec.from_dict(spec_of(files))
     spec.tasks.append(OutputTask("by/dept"))

@@ -154,6 +154,12 @@ def test_align_is_a_sorted_full_outer_join(spark):
     out = [tuple(r) for r in align_tables([a, b]).collect()]
     assert out[:3] == [(1, "y", None), (2, "x", 20), (3, None, 30)]
     assert rows_of(out[3:]) == rows_of([(None, "n", None), (None, None, 0)])
+    c = spark.createDataFrame([(1, "c"), (1, "C"), (9, "z")], "k bigint, c string")
+    three = align_tables([a, b, c])
+    assert three.columns == ["k", "a", "b", "c"]
+    assert rows(three.where("k IS NOT NULL")) == rows_of(
+        [(1, "y", None, "C"), (1, "y", None, "c"), (2, "x", 20, None), (3, None, 30, None), (9, None, None, "z")]
+    )
     with pytest.raises(ValueError, match="share no column"):
         align_tables([a.select("a"), b])
     with pytest.raises(ValueError, match="several tables"):

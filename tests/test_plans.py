@@ -6,7 +6,7 @@ import pytest
 
 from reportloom.catalog import QUERIES
 from reportloom.operators import predicates as P
-from reportloom.operators.combine import append_tables
+from reportloom.operators.combine import align_tables, append_tables
 from reportloom.operators.lookup import link_tables, lookup_join, rows_not_in_table
 from reportloom.operators.pivot import group_agg, pivot_table
 from reportloom.plans import staging
@@ -106,6 +106,18 @@ def test_hot_keys_of_value_tables_are_split(spark):
         assert out.count() == expected
 
 
+def test_hot_keys_of_aligned_tables_are_split(spark):
+    other = spark.range(100, 40_000, numPartitions=4).selectExpr("id AS k", "id AS w").union(
+        spark.range(1).selectExpr("7 AS k", "7 AS w")
+    )
+    with settings(spark, **SKEW):
+        out = align_tables([skewed(spark), other], ordered=False)
+        assert plan_of(out, executed=True).count("SortMergeJoin(skew=true)") >= 2
+        left = skewed(spark)
+        alone = other.join(left, "k", "left_anti").count()
+        assert tuple(out.selectExpr("count(*)", "count(id)", "count_if(w <> k)").first()) == (60_000 + alone, 60_000, 0)
+
+
 def test_two_lookups_by_one_key_shuffle_the_main_table_once(spark, lines, orders):
     rules = [
         {"target": orders, "master_keys": "l_orderkey", "target_keys": "o_orderkey", "pick": "o_custkey"},
