@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reportloom.operators.columns import ref, repeated_name, value_of
@@ -72,7 +73,8 @@ def align_tables(tables: Sequence[DataFrame], ordered: bool = True) -> DataFrame
     joined = joined.select([ref(c) for c in [*common, *extra]])
     if not ordered:
         return joined
-    return joined.orderBy([*[ref(c).asc_nulls_last() for c in common], tie_breaker(joined)])
+    order = [*[ref(c).asc_nulls_last() for c in common], F.col("__tie")]
+    return joined.withColumn("__tie", tie_breaker(joined)).orderBy(order).drop("__tie")
 
 
 def _full_outer(a: DataFrame, b: DataFrame, common: Sequence[str]) -> DataFrame:

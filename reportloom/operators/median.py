@@ -1,10 +1,11 @@
-"""Exact medians without gathering a group in one place.
+"""Exact medians, also of groups too large for one task.
 
-The built-in ``median`` buffers every distinct value of a group in one task. Here the
-stretch of values that holds the middle is found by counting: first among 4,096
-stretches per power of two, then, in the stretch found, among 2**20 equal parts. Both
-counts combine before their shuffle, and only the values of the last sliver are ranked,
-so each ranking window sees a bounded number of rows however large its group is.
+The built-in ``median`` buffers every distinct value of a group in one task, which is
+right for groups of a known modest size. Larger groups are narrowed instead: counting
+finds the stretch of values that holds the middle, first among 4,096 stretches per power
+of two, then, in the stretch found, among 2**20 equal parts. Both counts combine before
+their shuffle, and only the values of the last sliver are ranked, so each ranking window
+sees a bounded number of rows however large its group is.
 """
 
 from __future__ import annotations
@@ -16,11 +17,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.operators.columns import present, ref
+from reportloom.operators.lookup import rows_in_table, rows_not_in_table
+from reportloom.plans.staging import settle
 
+BUFFERED_ROWS = 20_000
 _PER_POWER_OF_TWO = 4096
 _PARTS = 2**20
 
 
+def group_median(
+    df: DataFrame, keys: Sequence[str], value: str, result: str, buffered_rows: int = BUFFERED_ROWS
+) -> DataFrame:
+    """``keys`` and the exact median of ``value`` as double; groups without a value are absent.
+
+    One job counts the rows per group to tell which groups are small enough to buffer.
+    """
+    groups = [f"__g{i}" for i in range(len(keys))]
+    rows = df.where(reduce(lambda a, b: a & b, [present(df, c) for c in [*keys, value]])).select(
+        *[ref(k).alias(g) for k, g in zip(keys, groups)], ref(value).cast("double").alias("v")
+    )
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    large = F.col("n") > buffered_rows
+    seen = sizes.agg(F.count_if(large).alias("large"), F.count_if(~large).alias("small")).first()
+    if not seen.large:
+        medians = _buffered(rows, groups)
+    elif not seen.small:
+        medians = _narrowed(rows, groups)
+    else:
+        # At most one group per ``buffered_rows`` rows: short, and of known size once settled.
+        listed = settle(sizes.where(large).select(*groups), "groups")
+        small = _buffered(rows_not_in_table(rows, groups, listed, groups), groups)
+        medians = small.unionByName(_narrowed(rows_in_table(rows, groups, listed, groups), groups))
+    return medians.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col("m").alias(result))
+
+
+def _buffered(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*groups).agg(F.median("v").alias("m"))
+
+
 def _around_middle(counted: DataFrame, within: Sequence[str], by: str) -> DataFrame:
     """Rows whose run of ranks touches the middle; ``start`` becomes the ranks before the row."""
     ahead = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
@@ -29,17 +63,11 @@ def _around_middle(counted: DataFrame, within: Sequence[str], by: str) -> DataFr
     return placed.where((F.col("start") < F.col("high")) & (F.col("start") + F.col("n") >= F.col("low")))
 
 
-def group_median(df: DataFrame, keys: Sequence[str], value: str, result: str) -> DataFrame:
-    """``keys`` and the exact median of ``value`` as double; groups without a value are absent."""
-    groups = [f"__g{i}" for i in range(len(keys))]
+def _narrowed(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     v = F.col("v")
     # Never null, so that the join below adds no filter and both scans stay alike.
     coarse = F.coalesce(F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * _PER_POWER_OF_TWO), F.lit(0))
-    rows = (
-        df.where(reduce(lambda a, b: a & b, [present(df, c) for c in [*keys, value]]))
-        .select(*[ref(k).alias(g) for k, g in zip(keys, groups)], ref(value).cast("double").alias("v"))
-        .withColumn("coarse", coarse)
-    )
+    rows = rows.withColumn("coarse", coarse)
     stretches = rows.groupBy(*groups, "coarse").agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("from_v"), F.max("v").alias("to_v")
     )
@@ -65,9 +93,4 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, result: str) ->
     found = _around_middle(parts, [*groups, "coarse"], "fine").select(*part, "start")
 
     values = _around_middle(inside.drop("start").join(found, part), part, "v")
-    median = ((F.min("v") + F.max("v")) / 2).alias(result)
-    return (
-        values.groupBy(*groups)
-        .agg(median)
-        .select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], ref(result))
-    )
+    return values.groupBy(*groups).agg(((F.min("v") + F.max("v")) / 2).alias("m"))

@@ -42,12 +42,16 @@ def sort_rows(
     keys = sort_keys(df, by)
     if not keys:
         return df
-    order = []
-    for name, ascending in keys:
+    values, order = {}, []
+    for i, (name, ascending) in enumerate(keys):
         value = value_of(df, name)
         if isinstance(df.schema[name].dataType, T.StringType):
             value = F.lower(value)
-        order.append(value.asc_nulls_last() if ascending else value.desc_nulls_last())
+        values[f"__s{i}"] = value
+        key = F.col(f"__s{i}")
+        order.append(key.asc_nulls_last() if ascending else key.desc_nulls_last())
     if spread_ties:
-        order.append(tie_breaker(df))
-    return df.orderBy(order)
+        values["__tie"] = tie_breaker(df)
+        order.append(F.col("__tie"))
+    # As columns the keys are computed once per row, within orderBy once per comparison.
+    return df.withColumns(values).orderBy(order).drop(*values)

@@ -130,6 +130,7 @@ def test_renaming_rules():
     assert pivot_renames(["g"], {"other": "x"}) == {}
 
 
+@pytest.mark.parametrize("buffered_rows", [0, 5, 20_000], ids=["narrowed", "mixed", "buffered"])
 @pytest.mark.parametrize(
     "values",
     [
@@ -144,7 +145,7 @@ def test_renaming_rules():
         [float("-inf"), 1.0, 2.0, float("inf")],
     ],
 )
-def test_exact_median(spark, values):
+def test_exact_median(spark, values, buffered_rows):
     data = [("g", v) for v in values] + [("h", 1.0), ("g", None), ("g", float("nan")), (None, 3.0), ("i", None)]
     df = spark.createDataFrame(data, "k string, v double").repartition(5)
-    assert rows(group_median(df, ["k"], "v", "m")) == [("g", statistics.median(values)), ("h", 1.0)]
+    assert rows(group_median(df, ["k"], "v", "m", buffered_rows)) == [("g", statistics.median(values)), ("h", 1.0)]
