@@ -111,25 +111,23 @@ def group_null_keys(spark, sf_dir):
 
 
 @query("""
-    SELECT d.source, d.doc_id % 500 AS slot, avg(l.quality) AS quality
+    SELECT d.source, d.n_chars, avg(l.quality) AS quality
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-    GROUP BY d.source, d.doc_id % 500 HAVING avg(l.quality) IS NOT NULL
+    GROUP BY d.source, d.n_chars HAVING avg(l.quality) IS NOT NULL
 """)
 def group_all_null_dropped(spark, sf_dir):
     """Groups with nothing to average disappear."""
-    labelled = derive(lookup_unmatched(spark, sf_dir), [("slot", "doc_id % 500")])
-    return group_agg(labelled, ["source", "slot"], {"quality": "mean"})
+    return group_agg(lookup_unmatched(spark, sf_dir), ["source", "n_chars"], {"quality": "mean"})
 
 
 @query("""
-    SELECT d.source, d.doc_id % 500 AS slot, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS quality
+    SELECT d.source, d.n_chars, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS quality
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-    GROUP BY d.source, d.doc_id % 500
+    GROUP BY d.source, d.n_chars
 """)
 def group_all_null_sum(spark, sf_dir):
     """With a sum they stay, as 0."""
-    labelled = derive(lookup_unmatched(spark, sf_dir), [("slot", "doc_id % 500")])
-    return group_agg(labelled, ["source", "slot"], {"quality": "sum"})
+    return group_agg(lookup_unmatched(spark, sf_dir), ["source", "n_chars"], {"quality": "sum"})
 
 
 _YEARS = range(1992, 2002)

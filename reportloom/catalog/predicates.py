@@ -144,9 +144,9 @@ def filter_and_or(spark, sf_dir):
     return P.filter_rows(table(spark, sf_dir, "events"), spec)
 
 
-@query("SELECT * FROM supplier WHERE s_acctbal > 1000 AND s_nationkey % 5 < 3")
+@query("SELECT * FROM supplier WHERE s_acctbal > 1000 AND (s_nationkey < 12 OR s_name LIKE '%7')")
 def filter_sql(spark, sf_dir):
-    return P.filter_rows(table(spark, sf_dir, "supplier"), "s_acctbal > 1000 AND s_nationkey % 5 < 3")
+    return P.filter_rows(table(spark, sf_dir, "supplier"), "s_acctbal > 1000 AND (s_nationkey < 12 OR s_name LIKE '%7')")
 
 
 @query("""

@@ -31,7 +31,7 @@ def detail_rename_missing(spark, sf_dir):
 
 @query("""
     SELECT o_orderkey AS id, o_totalprice AS price, o_orderstatus AS status,
-           CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS cust,
+           CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey END AS cust,
            CAST(NULL AS DOUBLE) AS nothing
     FROM orders
 """)
@@ -41,7 +41,7 @@ def infer_numeric(spark, sf_dir):
         F.concat(F.lit(" "), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("id"),
         F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"),
         F.col("o_orderstatus").alias("status"),
-        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).cast("string").alias("cust"),
+        F.when(F.col("o_orderstatus") != "F", F.col("o_custkey")).cast("string").alias("cust"),
         F.lit(None).cast("string").alias("nothing"),
     )
     return infer_types(text)

@@ -30,7 +30,8 @@ def group_median(
 ) -> DataFrame:
     """``keys`` and the exact median of ``value`` as double; groups without a value are absent.
 
-    One job counts the rows per group to tell which groups are small enough to buffer.
+    One job counts the rows per group to tell which groups are small enough to buffer; if
+    some are not, the first narrowing runs here too.
     """
     groups = [f"__g{i}" for i in range(len(keys))]
     rows = df.where(reduce(lambda a, b: a & b, [present(df, c) for c in [*keys, value]])).select(
@@ -78,7 +79,8 @@ def _narrowed(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
         F.floor((total + 2) / 2).alias("high"),
         F.lit(0).cast("bigint").alias("start"),
     )
-    middle = _around_middle(ranked, groups, "coarse").drop("n")
+    # Two rows per group at most; settled, its true size tells Spark whether to broadcast it.
+    middle = settle(_around_middle(ranked, groups, "coarse").drop("n"), "middle")
 
     width = F.nullif(F.col("to_v") - F.col("from_v"), F.lit(0.0))
     fine = F.coalesce(F.floor((v - F.col("from_v")) / width * _PARTS), F.lit(0))

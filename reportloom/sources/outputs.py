@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reportloom.plans.errors import STEP_ERRORS, reason
-from reportloom.plans.staging import new_path
+from reportloom.plans.staging import new_path, settle
 from reportloom.sources.listing import Child, list_children
 from reportloom.sources.tables import list_sheets, pick_sheet, scan_sheet, scan_table
 
@@ -66,6 +66,8 @@ def _numbered(df: DataFrame, max_rows: int) -> DataFrame:
     ahead = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = rows.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
     tasks = tasks.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
+    # Settled, the few rows are broadcast for certain and the result is not shuffled to meet them.
+    tasks = settle(tasks, "tasks")
     position = F.col("__before") + F.col("__row") - F.col("__first")
     numbered = rows.join(tasks, "__task").withColumn(
         SHEET_COLUMN, F.floor(position / max_rows).cast("int") + 1
