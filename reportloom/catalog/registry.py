@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,5 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; its schema is read once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -74,7 +74,8 @@ def lookup_join(
 
     Of several target rows with one key, the smallest by ``order_by`` (default: by
     the picked columns) is used. ``unique=True`` promises that target keys are
-    unique and saves that step.
+    unique, which saves that step and lets tables bucketed by the keys meet without
+    a shuffle.
 
     Nothing is hinted: Catalyst broadcasts the target when its known size is below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both sides otherwise.

@@ -48,9 +48,13 @@ class RunReport:
         return spark.createDataFrame(self.records, self.schema)
 
 
+def _csv_options(source: Source | LookupRule) -> dict:
+    return {"encoding": source.encoding, "bad_rows": source.bad_rows, "multiline": source.multiline}
+
+
 def read_master(spark: SparkSession, source: Source, report: RunReport | None = None) -> DataFrame:
     """The main table of a job."""
-    options = {"encoding": source.encoding, "bad_rows": source.bad_rows}
+    options = _csv_options(source)
     if source.folder:
         sheet = 0 if source.sheet is None else source.sheet
         df, skipped = merge_folder(spark, source.path, source.columns, sheet, **options)
@@ -73,8 +77,8 @@ def read_master(spark: SparkSession, source: Source, report: RunReport | None =
 def _target(spark: SparkSession, rule: LookupRule) -> Callable[[], DataFrame]:
     def read() -> DataFrame:
         if rule.sheet_idx is None or rule.target_path.lower().endswith((".csv", ".parquet")):
-            return scan_table(spark, rule.target_path, encoding=rule.encoding)
-        return scan_sheet(spark, rule.target_path, rule.sheet_idx, encoding=rule.encoding)
+            return scan_table(spark, rule.target_path, **_csv_options(rule))
+        return scan_sheet(spark, rule.target_path, rule.sheet_idx, **_csv_options(rule))
 
     return read
 

@@ -39,6 +39,7 @@ class Source(_Plain):
     combine: str = "append"
     encoding: str | None = None
     bad_rows: str = "keep"
+    multiline: bool | None = None
 
 
 @dataclass
@@ -55,6 +56,8 @@ class LookupRule(_Plain):
     order_by: str | list[str] | None = None
     unique: bool = False
     encoding: str | None = None
+    bad_rows: str = "keep"
+    multiline: bool | None = None
 
 
 @dataclass

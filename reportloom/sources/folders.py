@@ -12,7 +12,7 @@ from reportloom.operators.columns import ref
 from reportloom.operators.combine import append_tables
 from reportloom.plans.errors import STEP_ERRORS, reason
 from reportloom.sources.listing import Child, list_children, template_of
-from reportloom.sources.tables import csv_reader, pick_sheet, scan_table
+from reportloom.sources.tables import csv_header, pick_sheet, read_csv_files, scan_table
 
 _HEADER_READERS = 16
 
@@ -34,8 +34,10 @@ def _book_sheets(spark: SparkSession, children: list[Child], sheet: int | str) -
 
 def _schema_of(spark: SparkSession, table: Child, encoding: str | None) -> T.StructType:
     """Schema from the header line or the footer of one file; no data is read."""
-    df = scan_table(spark, table.path, encoding=encoding)
-    return df.schema
+    if table.suffix == ".csv":
+        names = csv_header(spark, table.path, encoding)
+        return T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return scan_table(spark, table.path).schema
 
 
 def merge_folder(
@@ -45,6 +47,7 @@ def merge_folder(
     sheet: int | str = 0,
     encoding: str | None = None,
     bad_rows: str = "keep",
+    multiline: bool | None = None,
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Tables of a folder stacked on the ``required`` columns, and ``(name, reason)`` of those left out.
 
@@ -95,8 +98,7 @@ def merge_folder(
     scans = []
     for (kind, shape), paths in groups.items():
         if kind == "csv":
-            header_schema = T.StructType([T.StructField(c, T.StringType()) for c in shape])
-            scan = csv_reader(spark, encoding, bad_rows).schema(header_schema).load(paths)
+            scan = read_csv_files(spark, paths, shape, encoding, bad_rows, multiline)
         else:
             fields = [T.StructField(c, t) for c, t in zip(required, shape)]
             scan = spark.read.schema(T.StructType(fields)).parquet(*paths)

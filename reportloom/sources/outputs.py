@@ -23,7 +23,7 @@ _WRITE_JOBS = 8
 
 def _writer(df: DataFrame, file_format: str, mode: str):
     writer = df.write.format(file_format).mode(mode)
-    return writer.option("header", True) if file_format == "csv" else writer
+    return writer.option("header", True).option("escape", '"') if file_format == "csv" else writer
 
 
 def write_output(

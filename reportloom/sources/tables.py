@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reportloom.operators.columns import keep_columns, ref
 from reportloom.sources.listing import list_children
@@ -45,19 +49,67 @@ def csv_reader(spark: SparkSession, encoding: str | None = None, bad_rows: str =
     return reader
 
 
+def files_with_line_breaks(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """CSV files that hold a line break inside quotes: some line has an odd number of quotes.
+
+    Spark cannot split such a file between tasks, so it pays to know which ones they are.
+    """
+    lines = spark.read.text(list(paths))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    broken = lines.where(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("path"))
+    return {unquote(row.path) for row in broken.distinct().collect()}
+
+
+def read_csv_files(
+    spark: SparkSession,
+    paths: Sequence[str],
+    header: Sequence[str],
+    encoding: str | None = None,
+    bad_rows: str = "keep",
+    multiline: bool | None = None,
+) -> DataFrame:
+    """CSV files that share a header, every column as text.
+
+    ``multiline`` says whether quoted cells may hold line breaks. By default the files are
+    looked through once, and only those that do are read whole by one task each.
+    """
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+
+    def read(files: Sequence[str], whole: bool) -> DataFrame:
+        reader = csv_reader(spark, encoding, bad_rows).option("multiLine", whole)
+        return reader.schema(schema).load(list(files))
+
+    if multiline is not None:
+        return read(paths, multiline)
+    whole = files_with_line_breaks(spark, paths)
+    if not whole:
+        return read(paths, False)
+    listed = spark.read.format("binaryFile").load(list(paths)).select("path").collect()
+    files = {row.path for row in listed}
+    parts = [read(sorted(part), flag) for part, flag in ((files - whole, False), (whole, True)) if part]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def csv_header(spark: SparkSession, path: str, encoding: str | None = None) -> list[str]:
+    """Column names of a CSV table; only the first line is read."""
+    return clean_header(csv_reader(spark, encoding).load(path).columns)
+
+
 def scan_csv(
     spark: SparkSession,
     path: str,
     columns: Iterable[str] | None = None,
     encoding: str | None = None,
     bad_rows: str = "keep",
+    multiline: bool | None = None,
 ) -> DataFrame:
     """CSV with every column as text; requested columns it lacks are left out.
 
     Short rows are filled with nulls and long ones cut; ``bad_rows='drop'`` drops both.
+    For ``multiline`` see :func:`read_csv_files`.
     """
-    df = csv_reader(spark, encoding, bad_rows).load(path)
-    df = df.toDF(*clean_header(df.columns))
+    header = csv_header(spark, path, encoding)
+    df = read_csv_files(spark, [path], header, encoding, bad_rows, multiline)
     return df if columns is None else keep_columns(df, columns)
 
 
@@ -72,12 +124,13 @@ def scan_table(
     columns: Iterable[str] | None = None,
     encoding: str | None = None,
     bad_rows: str = "keep",
+    multiline: bool | None = None,
 ) -> DataFrame:
     """Table at a path. A requested column that a Parquet table lacks is an error."""
     if path.lower().endswith((".xlsx", ".xls")):
         raise ValueError(f"workbook files are not decoded; export the sheets to a folder: {path}")
     if table_format(path) == "csv":
-        return scan_csv(spark, path, columns, encoding, bad_rows)
+        return scan_csv(spark, path, columns, encoding, bad_rows, multiline)
     df = spark.read.parquet(path)
     return df if columns is None else df.select([ref(c) for c in columns])
 
@@ -103,11 +156,11 @@ def scan_sheet(
     columns: Iterable[str] | None = None,
     encoding: str | None = None,
     bad_rows: str = "keep",
+    multiline: bool | None = None,
 ) -> DataFrame:
     """One sheet of a book; requested columns it lacks are left out."""
     children = {child.stem: child.path for child in list_children(spark, book)}
-    df = scan_table(
-        spark, children[pick_sheet(sorted(children), sheet)], encoding=encoding, bad_rows=bad_rows
-    )
+    path = children[pick_sheet(sorted(children), sheet)]
+    df = scan_table(spark, path, None, encoding, bad_rows, multiline)
     return df if columns is None else keep_columns(df, columns)
 

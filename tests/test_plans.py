@@ -118,6 +118,19 @@ def test_hot_keys_of_aligned_tables_are_split(spark):
         assert tuple(out.selectExpr("count(*)", "count(id)", "count_if(w <> k)").first()) == (60_000 + alone, 60_000, 0)
 
 
+def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path):
+    for name in ("main_b", "target_b"):
+        rows = spark.range(1_000).selectExpr("id AS k", f"id * 2 AS {name}_v")
+        rows.write.bucketBy(4, "k").option("path", str(tmp_path / name)).saveAsTable(name)
+    try:
+        with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+            out = lookup_join(spark.table("main_b"), spark.table("target_b"), "k", "k", "target_b_v", unique=True)
+            assert "SortMergeJoin" in plan_of(out) and "Exchange" not in plan_of(out)
+    finally:
+        for name in ("main_b", "target_b"):
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_two_lookups_by_one_key_shuffle_the_main_table_once(spark, lines, orders):
     rules = [
         {"target": orders, "master_keys": "l_orderkey", "target_keys": "o_orderkey", "pick": "o_custkey"},
