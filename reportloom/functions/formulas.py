@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reportloom.operators.columns import ref
-from reportloom.operators.infer import parse_moment
+from reportloom.operators.infer import INTEGER_TEXT, NUMBER_TEXT, parse_moment
 
 Operand = Column | str
 
@@ -28,12 +28,20 @@ def _lit(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def _number(operand: Operand, wanted: str, pattern: str) -> Column:
+    """The column as a number. Text is tested first: a failed conversion costs an exception,
+    and Spark would also take text such as ``1d``. ``typeof`` is constant, so one branch remains."""
+    column = _col(operand)
+    number = column.try_cast(wanted)
+    return F.when(F.typeof(column) != "string", number).when(column.cast("string").rlike(pattern), number)
+
+
 def _int(operand: Operand) -> Column:
-    return _col(operand).try_cast("bigint")
+    return _number(operand, "bigint", INTEGER_TEXT)
 
 
 def _float(operand: Operand) -> Column:
-    return _col(operand).try_cast("double")
+    return _number(operand, "double", NUMBER_TEXT)
 
 
 def _moment(operand: Operand) -> Column:
@@ -255,7 +263,7 @@ def mask_middle(a: Operand, head: int = 3, tail: int = 4, mask: str = "****") ->
 
 def digit_from_end(a: Operand, place: int) -> Column:
     """The digit ``place`` characters from the end, as a number."""
-    return F.substring(_col(a).cast("string"), -place, 1).try_cast("int")
+    return _int(F.substring(_col(a).cast("string"), -place, 1)).cast("int")
 
 
 def parity(a: Operand, odd, even) -> Column:

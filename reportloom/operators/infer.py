@@ -24,6 +24,7 @@ def parse_moment(text: Column) -> Column:
     return F.when(text.rlike(DATE_TEXT), dashed.try_cast("timestamp_ntz"))
 
 
+_WHOLE = ("bigint", "int", f"decimal({DECIMAL_DIGITS},0)")
 _KINDS = ("empty", "whole", "wide", "huge", "number", "moment", "text")
 
 
@@ -80,7 +81,7 @@ def infer_schema(df: DataFrame, keep_text: Iterable[str] = ()) -> dict[str, str]
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Convert text columns to known types; a value that does not parse becomes null."""
+    """Convert text columns to known number types or ``timestamp_ntz``; what does not parse becomes null."""
 
     def converted(name: str) -> Column:
         wanted = types.get(name)
@@ -88,7 +89,9 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
             return ref(name)
         if wanted == "timestamp_ntz":
             return parse_moment(ref(name)).alias(name)
-        return ref(name).try_cast(wanted).alias(name)
+        # A failed conversion costs an exception, so text that cannot be a number is not tried.
+        pattern = INTEGER_TEXT if wanted in _WHOLE else NUMBER_TEXT
+        return F.when(ref(name).rlike(pattern), ref(name).try_cast(wanted)).alias(name)
 
     return df.select([converted(c) for c in df.columns])
 

@@ -10,13 +10,13 @@ sees a bounded number of rows however large its group is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.operators.columns import present, ref
+from reportloom.operators.columns import present, ref, value_of
 from reportloom.operators.lookup import rows_in_table, rows_not_in_table
 from reportloom.plans.staging import settle
 
@@ -25,31 +25,46 @@ _PER_POWER_OF_TWO = 4096
 _PARTS = 2**20
 
 
-def group_median(
-    df: DataFrame, keys: Sequence[str], value: str, result: str, buffered_rows: int = BUFFERED_ROWS
+def group_medians(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, str], buffered_rows: int = BUFFERED_ROWS
 ) -> DataFrame:
-    """``keys`` and the exact median of ``value`` as double; groups without a value are absent.
+    """``keys`` and the exact median, as double, of each value column under its result name.
 
-    One job counts the rows per group to tell which groups are small enough to buffer; if
-    some are not, the first narrowing runs here too.
+    Groups without any value are absent. All value columns go through one pass. One job
+    counts the rows per group to tell which groups are small enough to buffer; if some are
+    not, the first narrowing runs here too.
     """
     groups = [f"__g{i}" for i in range(len(keys))]
-    rows = df.where(reduce(lambda a, b: a & b, [present(df, c) for c in [*keys, value]])).select(
-        *[ref(k).alias(g) for k, g in zip(keys, groups)], ref(value).cast("double").alias("v")
-    )
+    results = list(values.values())
+    numbers = [value_of(df, name).cast("double") for name in values]
+    rows = df.where(reduce(lambda a, b: a & b, [present(df, k) for k in keys]))
+    grouped = [ref(k).alias(g) for k, g in zip(keys, groups)]
+    if len(values) == 1:
+        rows = rows.select(*grouped, numbers[0].alias("v"))
+    else:
+        labelled = [F.struct(F.lit(r).alias("of"), v.alias("v")) for r, v in zip(results, numbers)]
+        rows = rows.select(*grouped, F.inline(F.array(*labelled)))
+    medians = _medians(rows.where(F.col("v").isNotNull()), [c for c in rows.columns if c != "v"], buffered_rows)
+    if len(values) == 1:
+        medians = medians.withColumnRenamed("m", results[0])
+    else:
+        columns = [F.max(F.when(F.col("of") == r, F.col("m"))).alias(r) for r in results]
+        medians = medians.groupBy(*groups).agg(*columns)
+    return medians.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], *[ref(r) for r in results])
+
+
+def _medians(rows: DataFrame, groups: Sequence[str], buffered_rows: int) -> DataFrame:
     sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     large = F.col("n") > buffered_rows
     seen = sizes.agg(F.count_if(large).alias("large"), F.count_if(~large).alias("small")).first()
     if not seen.large:
-        medians = _buffered(rows, groups)
-    elif not seen.small:
-        medians = _narrowed(rows, groups)
-    else:
-        # At most one group per ``buffered_rows`` rows: short, and of known size once settled.
-        listed = settle(sizes.where(large).select(*groups), "groups")
-        small = _buffered(rows_not_in_table(rows, groups, listed, groups), groups)
-        medians = small.unionByName(_narrowed(rows_in_table(rows, groups, listed, groups), groups))
-    return medians.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col("m").alias(result))
+        return _buffered(rows, groups)
+    if not seen.small:
+        return _narrowed(rows, groups)
+    # At most one group per ``buffered_rows`` rows: short, and of known size once settled.
+    listed = settle(sizes.where(large).select(*groups), "groups")
+    small = _buffered(rows_not_in_table(rows, groups, listed, groups), groups)
+    return small.unionByName(_narrowed(rows_in_table(rows, groups, listed, groups), groups))
 
 
 def _buffered(rows: DataFrame, groups: Sequence[str]) -> DataFrame:

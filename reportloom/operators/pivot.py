@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from reportloom.functions.aggregates import AGGREGATES, MEDIAN, NEVER_NULL, check_function
 from reportloom.operators.columns import present, ref, value_of
 from reportloom.operators.lookup import COLLISION_SUFFIX
-from reportloom.operators.median import group_median
+from reportloom.operators.median import group_medians
 from reportloom.plans.staging import settle
 
 # Fixed values.
@@ -47,13 +47,12 @@ def _grouped(
     order = [value_of(df, c) for c in order_by]
     names = sorted(values)
     plain = [n for n in names if values[n] != MEDIAN]
-    medians = [n for n in names if values[n] == MEDIAN]
+    medians = {n: f"__v_{n}" for n in names if values[n] == MEDIAN}
     aggregates = [AGGREGATES[values[n]](value_of(df, n), order).alias(f"__v_{n}") for n in plain]
     result = df.groupBy(*[ref(k) for k in keys]).agg(*aggregates) if plain else None
-    for name in medians:
-        median = group_median(df, keys, name, f"__v_{name}")
-        how = "left" if plain else "full_outer"
-        result = median if result is None else result.join(median, list(keys), how)
+    if medians:
+        found = group_medians(df, keys, medians)
+        result = found if result is None else result.join(found, list(keys), "left")
     cells = [ref(f"__v_{n}") for n in names]
     if not any(values[n] in NEVER_NULL for n in names):
         result = result.where(F.coalesce(*[c.cast("string") for c in cells]).isNotNull())

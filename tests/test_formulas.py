@@ -88,7 +88,7 @@ def test_day_differences_are_floored_periods(spark):
 def test_conversion_and_rounding(spark):
     assert values(spark, "s string", [("12",), ("x",), (None,)], X.to_int("s")) == [12, None, None]
     assert values(spark, "d double", [(12.9,), (-1.5,)], X.to_int("d")) == [12, -1]
-    assert values(spark, "s string", [("1.5",), ("x",)], X.to_float("s")) == [1.5, None]
+    assert values(spark, "s string", [("1.5",), ("x",), ("1d",)], X.to_float("s")) == [1.5, None, None]
     assert values(spark, "n int", [(5,), (None,)], X.to_text("n")) == ["5", None]
     assert values(spark, "d double", [(0.125,), (2.5,)], X.round_half_even("d", 2)) == [0.12, 2.5]
     assert values(spark, "d double", [(7.0,), (None,)], X.ceil_quotient("d", 2)) == [4, None]

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reportloom.operators.median import group_median
+from reportloom.operators.median import group_medians
 from reportloom.operators.pivot import group_agg, pivot_renames, pivot_table
 
 
@@ -148,4 +148,7 @@ def test_renaming_rules():
 def test_exact_median(spark, values, buffered_rows):
     data = [("g", v) for v in values] + [("h", 1.0), ("g", None), ("g", float("nan")), (None, 3.0), ("i", None)]
     df = spark.createDataFrame(data, "k string, v double").repartition(5)
-    assert rows(group_median(df, ["k"], "v", "m", buffered_rows)) == [("g", statistics.median(values)), ("h", 1.0)]
+    two = group_medians(df.withColumn("w", -df.v), ["k"], {"v": "m", "w": "minus"}, buffered_rows)
+    expected = statistics.median(values)
+    assert rows(two) == [("g", expected, -expected), ("h", 1.0, -1.0)]
+    assert rows(group_medians(df, ["k"], {"v": "m"}, buffered_rows)) == [("g", statistics.median(values)), ("h", 1.0)]

@@ -5,6 +5,7 @@ from contextlib import contextmanager
 import pytest
 
 from reportloom.catalog import QUERIES
+from reportloom.functions import formulas as X
 from reportloom.operators import predicates as P
 from reportloom.operators.combine import align_tables, append_tables
 from reportloom.operators.lookup import link_tables, lookup_join, rows_not_in_table
@@ -154,6 +155,13 @@ def test_pivot_scans_the_source_once(lines):
     assert given.count("Exchange hashpartitioning") == 2
 
 
+def test_number_conversion_tests_text_only(lines):
+    plan = plan_of(lines.select(X.to_float("l_quantity").alias("a"), X.to_float("l_linenumber").alias("b")))
+    assert "RLIKE" not in plan and "typeof" not in plan
+    plan = plan_of(lines.select(X.to_float("l_returnflag").alias("a")))
+    assert plan.count("RLIKE") == 1 and "typeof" not in plan
+
+
 def test_append_prunes_each_side(spark, lines):
     df = append_tables([lines, lines]).select("l_tax")
     assert plan_of(df).count("ReadSchema: struct<l_tax:double>") == 2
