@@ -92,7 +92,10 @@ def resolve_columns(
     lookups = (_by_position, _by_name) if by_letter else (_by_name, _by_position)
     chosen: dict[str, None] = {}
     for raw in tokens:
-        token = raw if not isinstance(spec, str) and raw in columns else raw.strip()
+        if not isinstance(spec, str) and not by_letter and raw in columns:
+            chosen[raw] = None
+            continue
+        token = raw.strip()
         if len(token) > 1 and token[0] == token[-1] and token[0] in "'\"":
             token = token[1:-1].strip()
         if not token:

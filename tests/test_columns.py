@@ -55,7 +55,9 @@ def test_ambiguous_case_and_unknown_tokens_fail():
 
 
 def test_list_reaches_names_with_separators():
-    assert resolve_columns(["a+b", "c,d"], ["a+b", "c,d", "e"]) == ["a+b", "c,d"]
+    odd = ["a+b", "c,d", "A:B", "'q'", " x "]
+    assert resolve_columns(odd, odd) == odd
+    assert resolve_columns(["A:B"], ["x", "y"]) == ["x", "y"]
 
 
 def test_select_keep_and_list(spark):
