@@ -47,7 +47,10 @@ def _float(operand: Operand) -> Column:
 def _moment(operand: Operand) -> Column:
     """Time of a typed or text column; text with slashes costs a second look only where needed."""
     column = _col(operand)
-    return F.coalesce(column.try_cast("timestamp_ntz"), parse_moment(column.cast("string")))
+    typed = column.try_cast("timestamp_ntz")
+    return F.when(F.typeof(column) != "string", typed).otherwise(
+        F.coalesce(typed, parse_moment(column.cast("string")))
+    )
 
 
 # --- new and constant columns (1-4)

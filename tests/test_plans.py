@@ -158,6 +158,7 @@ def test_pivot_scans_the_source_once(lines):
 def test_number_conversion_tests_text_only(lines):
     plan = plan_of(lines.select(X.to_float("l_quantity").alias("a"), X.to_float("l_linenumber").alias("b")))
     assert "RLIKE" not in plan and "typeof" not in plan
+    assert "RLIKE" not in plan_of(lines.select(X.year("l_shipdate").alias("y")))
     plan = plan_of(lines.select(X.to_float("l_returnflag").alias("a")))
     assert plan.count("RLIKE") == 1 and "typeof" not in plan
 
