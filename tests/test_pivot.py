@@ -109,6 +109,12 @@ def test_pivot_without_groups(gaps):
     assert rows(out) == [("d", 100.0, 2.0), ("n", 109.0, 0.0)]
 
 
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "g string, p string, v int")
+    assert group_agg(empty, ["g"], {"v": "median"}).collect() == []
+    assert pivot_table(empty, ["g"], ["p"], {"v": "sum"}).columns == ["g"]
+
+
 def test_arguments_are_checked(gaps):
     for group, pivot, values in (([], [], {}), (["g"], [], {}), ([], [], {"n": "sum"})):
         with pytest.raises(ValueError):

@@ -146,6 +146,15 @@ def test_numbered_sheets_keep_the_global_order(spark, tmp_path):
     assert first == list(range(300))
 
 
+def test_empty_results_are_written_and_counted(spark, tmp_path):
+    nothing = spark.range(10).where("false")
+    sorted_nothing = spark.range(10).where("id > 100").orderBy("id")
+    assert write_output(nothing, str(tmp_path / "a")) == 0
+    assert write_output(sorted_nothing, str(tmp_path / "b")) == 0
+    assert write_output(sorted_nothing, str(tmp_path / "c"), numbered_sheets=True) == 0
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 0
+
+
 def test_csv_output_reads_back(spark, tmp_path):
     out = str(tmp_path / "o.csv")
     write_output(spark.createDataFrame([(1, "x,y")], "a int, b string"), out, file_format="csv")
