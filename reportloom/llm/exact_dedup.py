@@ -20,6 +20,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # Many small states: no disk set aside for each of their logs.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 #: Digests (each below 100 bytes) up to which the list of repeated ones is broadcast.
