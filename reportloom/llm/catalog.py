@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.catalog.registry import Query
 from reportloom.llm.exact_dedup import exact_groups
 from reportloom.llm.mixing import mix
+from reportloom.llm.packing import pack
+from reportloom.llm.token_counts import over_limit, token_counts
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +51,16 @@ def op6_stateful_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256")
     )
+
+
+@query()
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the byte-level vocabulary."""
+    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", over_limit(F.col("n_tokens")))
+
+
+@query()
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens along the Hilbert curve."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")

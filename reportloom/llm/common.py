@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import tempfile
+import zipfile
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +39,6 @@ def crc_bucket(key: Column, buckets: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % buckets
 
 
-def narrowed(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under the operator's own names, so that no other column can clash."""
-    return df.select(*(df[source].alias(name) for name, source in columns.items()))
-
-
 def stop_if_unchanged(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")
@@ -87,8 +85,23 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.range(1).select(F.explode(F.array(*one)).alias("r")).select("r.*")
 
 
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+@lru_cache(maxsize=8)
+def _shipped(application: str) -> str:
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="code-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    return str(archive)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Let Spark send this package's code to the executors, where their Python may not have it installed."""
+    context = spark.sparkContext
+    before = _shipped.cache_info().misses
+    archive = _shipped(context.applicationId)
+    if _shipped.cache_info().misses > before:
+        context.addPyFile(archive)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
