@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.catalog.registry import Query
 from reportloom.llm.exact_dedup import exact_groups
 from reportloom.llm.mixing import mix
 from reportloom.llm.packing import pack
+from reportloom.llm.pii import KINDS, personal_data, written
 from reportloom.llm.token_counts import over_limit, token_counts
+from reportloom.llm.url_filter import Rule, judge
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +66,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens along the Hilbert curve."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+#: The rules of the contract.
+RULES = [
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+]
+
+
+@query()
+def op2_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by the rules and the components of redirects and canonical links."""
+    return judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query()
+def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by the fixed patterns and by boosted candidates."""
+    found = personal_data(table(spark, sf_dir, "documents"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(number, KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.concat("base", "added")).alias("spans"),
+    )
