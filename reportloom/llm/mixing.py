@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import WORD, staged
+from reportloom.llm.common import WORD, bounded, staged
 
 #: Cells into which the ranks of a source are counted before any of them is sorted.
 CELLS = 4096
+#: Sources up to which the list of sources is broadcast to the documents.
+BROADCAST_SOURCES = 50_000
 
 
 def source_targets(
@@ -92,7 +94,7 @@ def mix(
         ).drop("source"),
         "mix-targets",
     )
-    rows = slim.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = slim.join(bounded(targets, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     share = F.col("weight") * F.col("target") / F.col("weighed")
     expected = F.when(F.col("size") > 0, F.least(F.lit(float(most_times)), share)).otherwise(0.0)
     whole = F.floor(expected + 1e-9)
@@ -123,7 +125,8 @@ def mix(
     # Where no cell ends the sample, the source gives all it can or lacks nothing.
     ended = ends.select("s", "c").join(cut.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1")), "left").drop("s1")
     lacking = lacks.join(ended.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1")), "left").drop("s1")
-    judged = rows.join(lacking, F.col("source").eqNullSafe(F.col("s")))
+    lacking = staged(lacking, "mix-lacking")
+    judged = rows.join(bounded(lacking, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s")))
     own = F.struct("rank", "doc_id", "size", "text_hash")
     chosen = F.col("rank").isNotNull() & (F.col("lack") > 0) & (
         F.col("c").isNull() | (cell < F.col("c")) | ((cell == F.col("c")) & F.coalesce(own <= F.col("last"), F.lit(False)))
