@@ -12,6 +12,7 @@ from reportloom.llm.mixing import mix
 from reportloom.llm.packing import pack
 from reportloom.llm.pii import KINDS, personal_data, written
 from reportloom.llm.token_counts import over_limit, token_counts
+from reportloom.llm.toxicity import toxicity
 from reportloom.llm.url_filter import Rule, judge
 
 QUERIES: dict[str, Query] = {}
@@ -96,3 +97,11 @@ def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(number, KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.concat("base", "added")).alias("spans"),
     )
+
+
+@query()
+def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by the conditional random field."""
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"))
