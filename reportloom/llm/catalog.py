@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reportloom.catalog.registry import Query
 from reportloom.llm.exact_dedup import exact_groups
 from reportloom.llm.mixing import mix
+from reportloom.llm.ngram_join import near_duplicates
 from reportloom.llm.packing import pack
 from reportloom.llm.pii import KINDS, personal_data, written
 from reportloom.llm.token_counts import over_limit, token_counts
@@ -105,3 +106,9 @@ def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     predicted = (F.col("score") >= 0.7).cast("int")
     return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"))
+
+
+@query()
+def op8_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share three quarters of their five-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
