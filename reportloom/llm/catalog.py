@@ -13,6 +13,7 @@ from reportloom.llm.ngram_join import near_duplicates
 from reportloom.llm.packing import pack
 from reportloom.llm.pii import KINDS, personal_data, written
 from reportloom.llm.token_counts import over_limit, token_counts
+from reportloom.llm.ppm import score_texts
 from reportloom.llm.toxicity import toxicity
 from reportloom.llm.url_filter import Rule, judge
 
@@ -112,3 +113,9 @@ def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share three quarters of their five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the byte model and by word counts."""
+    return score_texts(table(spark, sf_dir, "documents"))
