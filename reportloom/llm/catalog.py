@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.catalog.registry import Query
+from reportloom.llm.embed_dedup import near_duplicate_vectors
 from reportloom.llm.exact_dedup import exact_groups
 from reportloom.llm.mixing import mix
 from reportloom.llm.ngram_join import near_duplicates
@@ -119,3 +120,9 @@ def op8_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by the byte model and by word counts."""
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with a cosine of at least 0.98."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
