@@ -20,6 +20,8 @@ STRETCH = 16
 RARE = 16
 #: Rows (of one or two long numbers) up to which lists of documents are broadcast.
 BROADCAST_IDS = 1_000_000
+#: Bits of the fixed-size map that keeps most unshared tokens out of the shuffles (16 MB), in words of 32 bits.
+MAP_BITS, MAP_WORD = 27, 5
 #: Words a worker remembers the hashes of.
 REMEMBERED = 500_000
 
@@ -125,12 +127,46 @@ def sizes_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) * UNDER >= F.greatest(n, m) * OVER
 
 
+def token_map(shared: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size that has the bits of all given tokens, and by chance those of some others."""
+    place = F.col("token").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    bit = place.bitwiseAND(F.lit((1 << MAP_WORD) - 1)).cast("int")
+    words = shared.groupBy(F.shiftright(place, MAP_WORD).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")
+    )
+    out = np.zeros(1 << (MAP_BITS - MAP_WORD), np.uint32)
+    for batch in words.select(F.col("word").cast("int"), "bits").toArrow().to_batches():
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _mapped(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Prefixes without the tokens that the map shows to be in one document only."""
+    bits = shared.value
+    for batch in batches:
+        prefixes = batch.column("prefix")
+        tokens = prefixes.flatten().to_numpy()
+        place = tokens & ((1 << MAP_BITS) - 1)
+        kept = (bits[place >> MAP_WORD] >> (place & ((1 << MAP_WORD) - 1)).astype(np.uint32)) & 1 == 1
+        lengths = np.diff(prefixes.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(lengths)), lengths)[kept]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("d").take(pa.array(owner)), batch.column("n").take(pa.array(owner)), pa.array(tokens[kept])],
+            names=["d", "n", "token"],
+        )
+
+
+def prefix_tokens(n: Column) -> Column:
+    """``prefix_length`` as an expression."""
+    return F.least(n, n - F.ceil(n * OVER / UNDER) + 2 + F.floor(n / STRETCH))
+
+
 def leader_pairs(hits: DataFrame, leader: str) -> DataFrame:
-    """Each document with the one document that leads most of its shared tokens, where they are many of its prefix."""
+    """Each document with the one document that leads most of its shared tokens, where they are many."""
     shared = hits.where(F.col("d") != F.col(leader)).groupBy("d", F.col(leader).alias("led")).agg(
         F.count("*").alias("c"), F.first("n").alias("n")
     )
-    shared = shared.where(F.col("c") * 8 >= F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 2)
+    shared = shared.where(F.col("c") * 8 >= F.col("n"))
     best = shared.groupBy("d").agg(F.max(F.struct("c", (-F.col("led")).alias("led"))).alias("best"))
     return best.select(F.col("d").alias("a"), (-F.col("best.led")).alias("b"))
 
@@ -153,15 +189,31 @@ def spanning(postings: DataFrame, key: list[str]) -> DataFrame:
 
 
 def across(postings: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of documents of different components that share a key and whose sizes allow a link."""
-    other = postings.select(*key, F.col("d").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    """Pairs of documents of different components that share a key and whose sizes allow a link, with the number of keys."""
+    other = postings.select(
+        *key, F.col("d").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("frequent").alias("others")
+    )
     met = postings.join(other, key).where("d < b AND component <> other").where(sizes_fit(F.col("n"), F.col("m")))
-    return met.select(F.col("d").alias("a"), "b").distinct()
+    return met.groupBy(F.col("d").alias("a"), "b").agg(
+        F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"),
+        F.least(F.first("frequent"), F.first("others")).alias("frequent"),
+    )
+
+
+def enough(pairs: DataFrame) -> DataFrame:
+    """Pairs that may link, by what their prefixes share: the rare tokens counted and, at most, the fewer frequent ones.
+
+    The prefix that ends first is known in full, so the overlap is at most what is shared there and that set's other tokens.
+    """
+    n, m = F.col("n"), F.col("m")
+    overlap = F.ceil((n + m) * OVER / (UNDER + OVER))
+    beyond = F.greatest(n - prefix_tokens(n), m - prefix_tokens(m))
+    return pairs.where(F.col("shared") + F.col("frequent") >= overlap - beyond).select("a", "b")
 
 
 def token_pairs(postings: DataFrame) -> DataFrame:
     """Pairs of tokens that a document has in its prefix, as postings of their own."""
-    first = postings.select("d", "n", "component", F.col("token").alias("t1"))
+    first = postings.select("d", "n", "component", "frequent", F.col("token").alias("t1"))
     second = postings.select("d", F.col("token").alias("t2"))
     return first.join(second, "d").where("t1 < t2")
 
@@ -178,7 +230,8 @@ def near_duplicates(
        their extended prefixes, so only prefixes are indexed, and only tokens of at least two documents are kept.
     3. Each document is compared with the first, then with the last document of most of its tokens. That joins large
        groups of near copies without pairing their members. Tokens held within one component say nothing new and go.
-    4. Rare tokens (at most 16 documents) that span components make candidates one by one. Documents that have so many frequent
+    4. Rare tokens (at most 16 documents) that span components make candidates one by one; pairs that share too little of their
+       prefixes for a link, counting all frequent tokens as shared, go. Documents that have so many frequent
        spanning tokens that they might be linked by those alone go on: their whole sets are ordered rarest first, and in the prefix
        that holds two common tokens of any linked pair, rare tokens are signatures alone and frequent ones in pairs.
        So a passage that very many documents share makes candidates only where it is three quarters of a document.
@@ -209,14 +262,17 @@ def near_duplicates(
         bounded(copies.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_anti"
     )
     # 2. Postings of the prefixes; df, first and last document of every token of several.
-    entries = led.select(F.col("doc_id").alias("d"), "n", F.explode("prefix").alias("token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("df"), F.min("d").alias("first"), F.max("d").alias("last"))
-    shared = staged(shared.where("first <> last"), "join-tokens")
-    hits = staged(entries.join(shared, "token"), "join-hits")
+    entries = led.select(F.col("doc_id").alias("d"), "n", "prefix")
+    repeated = entries.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    bits = spark.sparkContext.broadcast(token_map(repeated))
+    postings = entries.mapInArrow(lambda batches: _mapped(batches, bits), "d long, n long, token long")
+    postings = staged(postings, "join-postings")
+    shared = postings.groupBy("token").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last")
+    hits = staged(postings.join(shared, "token"), "join-hits")
     # 3. Large groups, by their leaders.
     links = verified(staged(leader_pairs(hits, "first"), "join-pairs"), texts, words)
     member = components(links, "join-components")
-    rest = spanning(with_component(hits.select("d", "n", "token", "last", "df"), member), ["token"]).drop("df")
+    rest = spanning(with_component(hits.select("d", "n", "token", "last"), member), ["token"]).drop("df")
     again = verified(staged(leader_pairs(rest, "last"), "join-pairs"), texts, words)
     links = links.union(again)
     member = components(links, "join-components")
@@ -225,23 +281,26 @@ def near_duplicates(
         spanning(with_component(hits.select("d", "n", "token"), member), ["token"]).select("d", "n", "token", "component", "df"),
         "join-spanning",
     )
-    pairs = across(rest.where(F.col("df") <= RARE), ["token"])
+    many = rest.where(F.col("df") > RARE).groupBy("d").agg(F.count("*").alias("frequent"), F.first("n").alias("n"))
+    many = staged(many, "join-frequent")
+    rare = rest.where(F.col("df") <= RARE).drop("df").join(many.select("d", "frequent"), "d", "left")
+    pairs = enough(across(rare.withColumn("frequent", F.coalesce("frequent", F.lit(0))), ["token"]))
     least = 2 + F.floor(F.ceil(F.col("n") * OVER / UNDER) / STRETCH)
-    laden = rest.where(F.col("df") > RARE).groupBy("d").agg(F.count("*").alias("frequent"), F.first("n").alias("n"))
-    laden = staged(laden.where(F.col("frequent") >= least).select(F.col("d").alias("doc_id")), "join-laden")
+    laden = staged(many.where(F.col("frequent") >= least).select(F.col("d").alias("doc_id")), "join-laden")
     whole = texts.join(bounded(laden, BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(
         lambda batches: _whole_sets(batches, words), "d long, n long, tokens array<long>"
     )
     tokens = staged(with_component(whole.select("d", "n", F.explode("tokens").alias("token")).distinct(), member), "join-whole")
-    counted = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("d").orderBy("df", "token"))
-    ahead = tokens.join(counted, "token").withColumn("place", place)
+    counted = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    place = F.row_number().over(Window.partitionBy("d").orderBy(F.coalesce("df", F.lit(1)), "token"))
+    ahead = tokens.join(counted, "token", "left").withColumn("place", place)
     ahead = ahead.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 2).where("df > 1")
-    ahead = staged(ahead.select("d", "n", "token", "component", "df"), "join-ahead")
-    pairs = pairs.union(across(spanning(ahead.where(F.col("df") <= RARE).drop("df"), ["token"]).drop("df"), ["token"]))
+    ahead = staged(ahead.select("d", "n", "token", "component", "df", F.lit(0).alias("frequent")), "join-ahead")
+    alone = spanning(ahead.where(F.col("df") <= RARE).drop("df"), ["token"]).drop("df")
     frequent = spanning(ahead.where(F.col("df") > RARE).drop("df"), ["token"]).drop("df")
     doubles = spanning(token_pairs(frequent), ["t1", "t2"]).drop("df")
-    pairs = staged(pairs.union(across(doubles, ["t1", "t2"])).distinct(), "join-pairs")
+    pairs = pairs.union(across(alone, ["token"]).select("a", "b")).union(across(doubles, ["t1", "t2"]).select("a", "b"))
+    pairs = staged(pairs.distinct(), "join-pairs")
     # 5. Verification and closure.
     links = links.union(verified(pairs, texts, words)).union(copies.toDF("u", "v"))
     member = components(links, "join-components").select(F.col("node").alias("doc_id"), "component")
