@@ -181,7 +181,8 @@ def train(texts: DataFrame) -> Model:
     every = spark.range(BLOCKS).select(F.col("id").alias("block"), F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("n"))
     cells = counted.where("leaf").select(block.alias("block"), "cell", "n").union(every)
     symbols = np.empty((CLASSES ** (ORDER - 2), BLOCKS, CLASSES), np.float32)
-    built = cells.groupBy("block").applyInArrow(build, "block long, table binary").coalesce(16)
+    # Small partitions, so that what is on its way to the driver at once is a few megabytes.
+    built = cells.groupBy("block").applyInArrow(build, "block long, table binary").repartition(64)
     for row in built.toLocalIterator(prefetchPartitions=True):
         symbols[:, row["block"]] = np.frombuffer(row["table"], np.float32).reshape(-1, CLASSES)
     # A byte within its class, by the class before, with half a count for each byte of the class.
