@@ -130,7 +130,8 @@ def group_all_null_sum(spark, sf_dir):
     return group_agg(lookup_unmatched(spark, sf_dir), ["source", "n_chars"], {"quality": "sum"})
 
 
-_YEARS = range(1992, 2002)
+# The years that the given tables hold; the query itself finds them.
+_YEARS = range(1995, 2002)
 
 
 def _region_year_sql(cells: str) -> str:
@@ -144,7 +145,7 @@ def _region_year_sql(cells: str) -> str:
               LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
               LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
               WHERE l.l_returnflag IS DISTINCT FROM 'R')
-        WHERE r_name IS NOT NULL AND y BETWEEN 1992 AND 2001
+        WHERE r_name IS NOT NULL
         GROUP BY r_name"""
 
 
@@ -163,7 +164,7 @@ def revenue_by_region_and_year(spark, sf_dir):
     revenue = (ref("l_extendedprice") * (1 - ref("l_discount"))).cast("decimal(18,4)")
     pool = derive(pool, [("revenue", revenue), ("y", X.year("o_orderdate"))])
     pool = P.filter_rows(pool, P.ne("l_returnflag", "R"))
-    result = pivot_table(pool, ["r_name"], ["y"], {"revenue": "sum"}, pivot_values=list(_YEARS))
+    result = pivot_table(pool, ["r_name"], ["y"], {"revenue": "sum"})
     return sort_rows(_money_as_double(result), [("r_name", True)])
 
 
@@ -212,41 +213,44 @@ def pivot_two_columns(spark, sf_dir):
 
 @query("""
     SELECT d.lang,
+           CAST(coalesce(sum(d.n_chars) FILTER (WHERE l.quality = 0 AND l.toxic = 0), 0) AS BIGINT) AS "n_chars_0_0",
            CAST(coalesce(sum(d.n_chars) FILTER (WHERE l.quality = 0 AND l.toxic = 1), 0) AS BIGINT) AS "n_chars_0_1",
            CAST(coalesce(sum(d.n_chars) FILTER (WHERE l.quality = 1 AND l.toxic = 0), 0) AS BIGINT) AS "n_chars_1_0",
+           CAST(coalesce(sum(d.n_chars) FILTER (WHERE l.quality = 1 AND l.toxic = 1), 0) AS BIGINT) AS "n_chars_1_1",
+           CAST(0 AS BIGINT) AS "n_chars_2_2",
+           max(d.source) FILTER (WHERE l.quality = 0 AND l.toxic = 0) AS "source_0_0",
            max(d.source) FILTER (WHERE l.quality = 0 AND l.toxic = 1) AS "source_0_1",
-           max(d.source) FILTER (WHERE l.quality = 1 AND l.toxic = 0) AS "source_1_0"
+           max(d.source) FILTER (WHERE l.quality = 1 AND l.toxic = 0) AS "source_1_0",
+           max(d.source) FILTER (WHERE l.quality = 1 AND l.toxic = 1) AS "source_1_1",
+           CAST(NULL AS VARCHAR) AS "source_2_2"
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-    WHERE (l.quality = 0 AND l.toxic = 1) OR (l.quality = 1 AND l.toxic = 0)
     GROUP BY d.lang
 """)
 def pivot_zero_fill(spark, sf_dir):
-    """Given combinations only; numbers without a cell are 0, text stays empty."""
+    """All combinations and one that never occurs; numbers without a cell are 0, text stays empty."""
     return pivot_table(
         lookup_unmatched(spark, sf_dir), ["lang"], ["quality", "toxic"], {"n_chars": "sum", "source": "max"},
-        pivot_values=[(0, 1), (1, 0)],
+        pivot_values=[(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)],
     )
 
 
-@query("""
-    SELECT 'event_id' AS "index",
-           CAST(count(event_id) FILTER (WHERE event_type = 'click') AS DOUBLE) AS click,
-           CAST(count(event_id) FILTER (WHERE event_type = 'view') AS DOUBLE) AS view
-    FROM events
-    UNION ALL
-    SELECT 'user_id', CAST(max(user_id) FILTER (WHERE event_type = 'click') AS DOUBLE),
-           CAST(max(user_id) FILTER (WHERE event_type = 'view') AS DOUBLE)
-    FROM events
-    UNION ALL
-    SELECT 'value', avg(CAST(value * 100 AS BIGINT)) FILTER (WHERE event_type = 'click'),
-           avg(CAST(value * 100 AS BIGINT)) FILTER (WHERE event_type = 'view')
-    FROM events
+_EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def _event_types_sql(cell: str) -> str:
+    return ", ".join(f"{cell} FILTER (WHERE event_type = '{t}') AS DOUBLE) AS \"{t}\"" for t in _EVENT_TYPES)
+
+
+@query(f"""
+    SELECT 'event_id' AS "index", {_event_types_sql("CAST(count(event_id)")} FROM events
+    UNION ALL SELECT 'user_id', {_event_types_sql("CAST(max(user_id)")} FROM events
+    UNION ALL SELECT 'value', {_event_types_sql("CAST(avg(CAST(value * 100 AS BIGINT))")} FROM events
 """)
 def pivot_no_group(spark, sf_dir):
     """Without group keys there is one row per value column."""
     events = derive(table(spark, sf_dir, "events"), [("value", F.round(ref("value") * 100).cast("bigint"))])
     values = {"event_id": "count", "user_id": "max", "value": "mean"}
-    return pivot_table(events, [], ["event_type"], values, pivot_values=["click", "view"])
+    return pivot_table(events, [], ["event_type"], values)
 
 
 @query("""

@@ -48,20 +48,20 @@ def align_documents_labels(spark, sf_dir):
 
 @query("""
     SELECT coalesce(o.custkey, c.custkey) AS custkey, o.orderkey, c.name
-    FROM (SELECT min(o_orderkey) AS orderkey, o_custkey AS custkey FROM orders
-          WHERE o_orderstatus = 'P' GROUP BY o_custkey) o
+    FROM (SELECT o_orderkey AS orderkey, CASE WHEN o_orderstatus = 'P' THEN o_custkey END AS custkey FROM orders) o
     FULL JOIN (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_custkey END AS custkey,
                       c_name AS name FROM customer) c
     ON o.custkey = c.custkey
 """)
 def align_with_null_keys(spark, sf_dir):
     """Keys missing on one side: such rows stay, alone."""
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    firsts = orders.groupBy(orders.o_custkey.alias("custkey")).agg({"o_orderkey": "min"})
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS orderkey", "CASE WHEN o_orderstatus = 'P' THEN o_custkey END AS custkey"
+    )
     customer = table(spark, sf_dir, "customer").selectExpr(
         "CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS custkey", "c_name AS name"
     )
-    return align_tables([firsts.withColumnRenamed("min(o_orderkey)", "orderkey"), customer])
+    return align_tables([orders, customer])
 
 
 @query("SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels")

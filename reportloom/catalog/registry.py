@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reportloom.plans.session import configure
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -17,7 +19,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its SQL where SQL can say it."""
 
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        @wraps(fn)
+        def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(configure(spark), sf_dir)
+
+        QUERIES[fn.__name__] = configured
         if sql is not None:
             ORACLES[fn.__name__] = sql
         return fn
@@ -25,7 +31,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; its schema is read once per session."""
+    """One of the given tables, listed anew each time."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -148,14 +148,14 @@ def output_numbered_sheets(spark, sf_dir):
 
 @query("""
     SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
-           c_mktsegment FROM customer
+           c_acctbal, c_mktsegment FROM customer
 """)
 def csv_round_trip(spark, sf_dir):
     """Written as CSV, every column comes back as text."""
     out = new_path(spark, "csv") + ".csv"
-    customer = table(spark, sf_dir, "customer").drop("c_acctbal")
-    write_output(customer, out, file_format="csv")
-    return scan_csv(spark, out)
+    write_output(table(spark, sf_dir, "customer"), out, file_format="csv")
+    # The text of a double is the engine's own; it must give the same number again.
+    return scan_csv(spark, out, multiline=True).withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
@@ -163,21 +163,22 @@ def csv_long_text(spark, sf_dir):
     """Whole texts survive CSV, with their quotes, commas and line breaks."""
     out = new_path(spark, "csv") + ".csv"
     write_output(table(spark, sf_dir, "documents").select("doc_id", "text"), out, file_format="csv")
-    return scan_csv(spark, out)
+    return scan_csv(spark, out, multiline=True)
 
 
 @query("""
     SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey,
-           CAST(NULL AS VARCHAR) AS s_suppkey, CAST(NULL AS VARCHAR) AS s_name FROM nation
+           CAST(NULL AS VARCHAR) AS s_suppkey, CAST(NULL AS VARCHAR) AS s_name, CAST(NULL AS VARCHAR) AS s_nationkey,
+           CAST(NULL AS DOUBLE) AS s_acctbal FROM nation
     UNION ALL
-    SELECT NULL, NULL, NULL, CAST(s_suppkey AS VARCHAR), s_name FROM supplier
+    SELECT NULL, NULL, NULL, CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR), s_acctbal FROM supplier
 """)
 def convert_csv_folder(spark, sf_dir):
     """A folder of CSV tables converted to Parquet."""
     src, dst = new_path(spark, "in"), new_path(spark, "out")
     write_output(table(spark, sf_dir, "nation"), f"{src}/nation.csv", file_format="csv")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    write_output(supplier, f"{src}/supplier.csv", file_format="csv")
+    write_output(table(spark, sf_dir, "supplier"), f"{src}/supplier.csv", file_format="csv")
     convert_folder(spark, src, dst)
     nation = scan_table(spark, f"{dst}/nation.parquet")
-    return nation.unionByName(scan_table(spark, f"{dst}/supplier.parquet"), allowMissingColumns=True)
+    supplier = scan_table(spark, f"{dst}/supplier.parquet").withColumn("s_acctbal", F.col("s_acctbal").cast("double"))
+    return nation.unionByName(supplier, allowMissingColumns=True)

@@ -6,6 +6,28 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+_EPOCH = "timestamp_ntz'1970-01-01'"
+
+
+def is_moment(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def micros(value: Column) -> Column:
+    """Microseconds of a date or time since 1970, as its clock shows it."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), value.cast("timestamp_ntz"))
+
+
+def from_micros(number: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", number, F.expr(_EPOCH))
+
+
+def mean_moment(value: Column) -> Column:
+    """The mean of dates or times, as a time."""
+    return from_micros(F.floor(F.avg(micros(value).cast("decimal(20,0)"))).cast("bigint"))
 
 
 def _ordered(pick) -> Callable[[Column, Sequence[Column]], Column]:

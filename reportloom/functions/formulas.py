@@ -98,7 +98,8 @@ def add_then_scale(a: Operand, b: Operand, factor: float) -> Column:
 def remainder(a: Operand, divisor) -> Column:
     """Remainder with the sign of the divisor."""
     a, divisor = _col(a), _lit(divisor)
-    return a - divisor * F.floor(F.try_divide(a, divisor))
+    rest = F.try_mod(a, divisor)
+    return F.when((rest != 0) & ((rest < 0) != (divisor < 0)), rest + divisor).otherwise(rest)
 
 
 # --- text (13-23)

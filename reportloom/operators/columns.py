@@ -9,14 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values.
-MAX_OUTPUT_NAME = 31
+# Fixed value.
 FALLBACK_OUTPUT_NAME = "TASK"
 
-_CELL_LETTERS = r"\[?\s*([A-Za-z]{1,3})\s*\]?"
-_ONE_LETTER = re.compile(_CELL_LETTERS)
-_LETTER_SPAN = re.compile(_CELL_LETTERS + r"\s*:\s*" + _CELL_LETTERS)
-
 
 def ref(name: str) -> Column:
     """Column by its exact name, also when the name holds dots or blanks."""
@@ -53,27 +48,40 @@ def letter_position(letters: str) -> int:
     return total - 1
 
 
-def _by_name(token: str, columns: Sequence[str]) -> str | None:
-    if token in columns:
-        return token
-    folded = [c for c in columns if c.lower() == token.lower()]
-    return folded[0] if len(folded) == 1 else None
-
-
-def _by_position(token: str, columns: Sequence[str]) -> str | None:
-    found = _ONE_LETTER.fullmatch(token)
-    if not found:
-        return None
-    at = letter_position(found.group(1))
-    return columns[at] if at < len(columns) else None
-
-
-def _span(token: str, columns: Sequence[str]) -> list[str]:
-    found = _LETTER_SPAN.fullmatch(token)
-    if not found:
-        return []
-    low, high = sorted(letter_position(part) for part in found.groups())
-    return list(columns[low : high + 1])
+class _Places:
+    """Positions of a table's columns by exact name, by name without case, and by letter."""
+
+    def __init__(self, columns: Sequence[str]) -> None:
+        self.count = len(columns)
+        self.exact = {name: i for i, name in enumerate(columns)}
+        self.folded: dict[str, list[int]] = {}
+        for i, name in enumerate(columns):
+            self.folded.setdefault(name.lower(), []).append(i)
+
+    def named(self, token: str) -> int | None:
+        alike = self.folded.get(token.lower(), [])
+        return self.exact.get(token, alike[0] if len(alike) == 1 else None)
+
+    def letter(self, token: str) -> int | None:
+        """Position of a letter address of up to three letters, bare or with brackets; it may be past the end."""
+        bare = token.strip().removeprefix("[").removesuffix("]").strip()
+        plain = bare.isascii() and bare.isalpha() and len(bare) <= 3
+        return letter_position(bare) if plain else None
+
+    def meant(self, token: str, by_letter: bool) -> range | list[int]:
+        """Positions that a token stands for; none if it fits nothing."""
+        low, colon, high = token.partition(":")
+        ends = [self.letter(low), self.letter(high)] if colon else [None]
+        if None not in ends:
+            span = range(min(ends), min(max(ends) + 1, self.count))
+            if span:
+                return span
+        letter = self.letter(token)
+        if letter is not None and letter >= self.count:
+            letter = None
+        name = self.named(token)
+        first, second = (letter, name) if by_letter else (name, letter)
+        return [i for i in (second if first is None else first,) if i is not None]
 
 
 def resolve_columns(
@@ -88,27 +96,23 @@ def resolve_columns(
     """
     if spec is None:
         return []
-    tokens = re.split(r"[+,]", spec) if isinstance(spec, str) else list(spec)
-    lookups = (_by_position, _by_name) if by_letter else (_by_name, _by_position)
-    chosen: dict[str, None] = {}
-    for raw in tokens:
-        if not isinstance(spec, str) and not by_letter and raw in columns:
-            chosen[raw] = None
+    places = _Places(columns)
+    listed = not isinstance(spec, str)
+    chosen: list[int] = []
+    for raw in list(spec) if listed else re.split(r"[+,]", spec):
+        if listed and not by_letter and raw in places.exact:
+            chosen.append(places.exact[raw])
             continue
         token = raw.strip()
-        if len(token) > 1 and token[0] == token[-1] and token[0] in "'\"":
+        if token[:1] in ("'", '"') and len(token) > 1 and token.endswith(token[0]):
             token = token[1:-1].strip()
         if not token:
             continue
-        names = _span(token, columns)
-        if not names:
-            single = next((hit for find in lookups if (hit := find(token, columns))), None)
-            if single is None:
-                shown = ", ".join(columns[:30]) + (" ..." if len(columns) > 30 else "")
-                raise ValueError(f"unknown column {token!r}; available: {shown}")
-            names = [single]
-        chosen.update(dict.fromkeys(names))
-    return list(chosen)
+        found = places.meant(token, by_letter)
+        if not found:
+            raise ValueError(f"unknown column {token!r}; available: {', '.join(columns)}")
+        chosen.extend(found)
+    return [columns[i] for i in dict.fromkeys(chosen)]
 
 
 def select_columns(df: DataFrame, spec: str | Iterable[str], by_letter: bool = False) -> DataFrame:
@@ -152,6 +156,5 @@ def project_detail(df: DataFrame, col_map: Iterable[tuple[str, str] | dict]) ->
 
 
 def clean_output_name(name: str) -> str:
-    """Name usable as a folder: runs of other signs become ``_``, at most 31 characters."""
-    cleaned = re.sub(r"\W+", "_", name).strip("_")
-    return (cleaned or FALLBACK_OUTPUT_NAME)[:MAX_OUTPUT_NAME]
+    """Name usable as a folder, in full: runs of other signs become ``_``."""
+    return re.sub(r"\W+", "_", name).strip("_") or FALLBACK_OUTPUT_NAME

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,15 +29,21 @@ def append_tables(tables: Sequence[DataFrame]) -> DataFrame:
     """Stack tables by column name; a column missing from one is null there, duplicates stay."""
     if not tables:
         raise ValueError("no table to append")
+    # Spark matches names without case, so types are gathered that way; the first spelling names the column.
     seen: dict[str, list[T.DataType]] = {}
+    spelled: dict[str, str] = {}
     for df in tables:
         for field in df.schema.fields:
-            seen.setdefault(field.name, []).append(field.dataType)
+            folded = field.name.lower()
+            seen.setdefault(folded, []).append(field.dataType)
+            spelled.setdefault(folded, field.name)
     casts = {name: _common_type(types) for name, types in seen.items()}
-    aligned = [
-        df.select([ref(c).cast(casts[c]).alias(c) if casts[c] else ref(c) for c in df.columns])
-        for df in tables
-    ]
+
+    def fitted(name: str) -> Column:
+        cast = casts[name.lower()]
+        return (ref(name).cast(cast) if cast else ref(name)).alias(spelled[name.lower()])
+
+    aligned = [df.select([fitted(c) for c in df.columns]) for df in tables]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)
 
 
@@ -80,7 +86,9 @@ def align_tables(tables: Sequence[DataFrame], ordered: bool = True) -> DataFrame
 def _full_outer(a: DataFrame, b: DataFrame, common: Sequence[str]) -> DataFrame:
     """Matches and, apart, the rows of each side without one.
 
-    AQE cannot split a hot key in a full outer join, but it can in each of these.
+    AQE cannot split a hot key in a full outer join, and in a left join only on the left; in an inner and in an anti join
+    it can wherever it lies. That is worth reading a side once more. A key that is frequent on both sides
+    gives all its pairs: that is what the join means.
     """
     matched = a.join(b, list(common))
     left_only = rows_not_in_table(a, common, b, common)

@@ -105,7 +105,7 @@ def lookup_join(
     if unique:
         found = found.select(*key_cols, *pick_cols)
     else:
-        ordered = resolve_columns(order_by, target.columns)
+        ordered = resolve_columns(order_by, target.columns, by_letter)
         order_cols = [ref(c).alias(f"__o{i}") for i, c in enumerate(ordered)]
         found = found.groupBy(*key_cols).agg(F.min(F.struct(*order_cols, *pick_cols)).alias("__row"))
         found = found.select(*right, *[F.col(f"__row.__p{i}").alias(f"__p{i}") for i in range(len(picks))])

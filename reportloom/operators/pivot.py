@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -10,16 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportloom.functions.aggregates import AGGREGATES, MEDIAN, NEVER_NULL, check_function
+from reportloom.functions.aggregates import (
+    AGGREGATES,
+    MEDIAN,
+    NEVER_NULL,
+    check_function,
+    is_moment,
+    mean_moment,
+)
 from reportloom.operators.columns import present, ref, value_of
 from reportloom.operators.lookup import COLLISION_SUFFIX
 from reportloom.operators.median import group_medians
 from reportloom.plans.staging import settle
 
-# Fixed values.
-PIVOT_LIMIT = 10_000
-AGGREGATE_SUFFIX = r"_(sum|avg|count|min|max|median|nunique|mean)$"
-
 _CELL = "__cell"
 _KEY_SEPARATOR = "\u0001"
 
@@ -34,6 +36,15 @@ def _check(df: DataFrame, group_by: Sequence[str], pivot: Sequence[str], values:
     missing = [c for c in [*group_by, *pivot, *values] if c not in df.columns]
     if missing:
         raise ValueError(f"unknown columns: {missing}")
+    both = [c for c in [*group_by, *pivot] if c in values]
+    if both:
+        raise ValueError(f"keys cannot be values too: {both}")
+
+
+def _aggregate(df: DataFrame, name: str, fn: str, order: Sequence[Column]) -> Column:
+    if fn in ("mean", "avg") and is_moment(df.schema[name].dataType):
+        return mean_moment(ref(name))
+    return AGGREGATES[fn](value_of(df, name), order)
 
 
 def _grouped(
@@ -48,7 +59,7 @@ def _grouped(
     names = sorted(values)
     plain = [n for n in names if values[n] != MEDIAN]
     medians = {n: f"__v_{n}" for n in names if values[n] == MEDIAN}
-    aggregates = [AGGREGATES[values[n]](value_of(df, n), order).alias(f"__v_{n}") for n in plain]
+    aggregates = [_aggregate(df, n, values[n], order).alias(f"__v_{n}") for n in plain]
     result = df.groupBy(*[ref(k) for k in keys]).agg(*aggregates) if plain else None
     if medians:
         found = group_medians(df, keys, medians)
@@ -103,12 +114,27 @@ def _distinct_names(taken: Sequence[str], names: Iterable[str]) -> list[str]:
 
 
 def _combinations(cells: DataFrame, pivot: Sequence[str]) -> list:
-    """Pivot key combinations that occur, in typed order; never more than the limit plus one."""
+    """Pivot key combinations that occur, in typed order. They become columns, so the caller wants them on the driver."""
     columns = [ref(p) for p in pivot]
-    rows = cells.select(*columns, F.col(_CELL)).distinct().orderBy(*columns).limit(PIVOT_LIMIT + 1).collect()
-    if len(rows) > PIVOT_LIMIT:
-        raise ValueError(f"more than {PIVOT_LIMIT} pivot columns")
-    return rows
+    return cells.select(*columns, F.col(_CELL)).distinct().orderBy(*columns).collect()
+
+
+def pivot_long(
+    df: DataFrame,
+    group_by: Sequence[str],
+    pivot_cols: Sequence[str],
+    values: Mapping[str, str],
+    order_by: Sequence[str] = (),
+) -> DataFrame:
+    """The cells of a pivot table one below the other: group keys, pivot keys, ``measure`` and ``value``.
+
+    For pivot keys that are too many to be columns. Cells that occur have a row per value column; numbers
+    without a value are 0; differing types of results meet as ``double``, or as text.
+    """
+    _check(df, group_by, pivot_cols, values)
+    keys = [*group_by, *pivot_cols]
+    cells = _zero_filled(_grouped(df, keys, values, order_by), keys)
+    return _measures(cells, [ref(k) for k in keys], sorted(values), "measure", "value")
 
 
 def pivot_table(
@@ -173,43 +199,47 @@ def _spread(cells: DataFrame, group_by, names, ids, labels) -> DataFrame:
     return _zero_filled(wide.select(*[ref(g) for g in group_by], *columns), group_by)
 
 
-def _spread_values(cells: DataFrame, names, ids, labels) -> DataFrame:
-    """Without group keys: one row per value column, named in ``index``."""
+def _measures(cells: DataFrame, keys: Sequence[Column], names: Sequence[str], title: str, value: str) -> DataFrame:
+    """One row per cell and value column: the keys, the column's name and its value in a common type."""
     types = {cells.schema[n].dataType.simpleString() for n in names}
     numeric = all(isinstance(cells.schema[n].dataType, T.NumericType) for n in names)
     common = types.pop() if len(types) == 1 else "double" if numeric else "string"
     pairs = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("index"), ref(n).cast(common).alias("v")) for n in names])
+        F.array(*[F.struct(F.lit(n).alias(title), ref(n).cast(common).alias(value)) for n in names])
     )
-    long = cells.select(_CELL, pairs.alias("__pair")).select(_CELL, "__pair.index", "__pair.v")
+    return cells.select(*keys, pairs.alias("__pair")).select(*keys, f"__pair.{title}", f"__pair.{value}")
+
+
+def _spread_values(cells: DataFrame, names, ids, labels) -> DataFrame:
+    """Without group keys: one row per value column, named in ``index``."""
+    long = _measures(cells, [F.col(_CELL)], names, "index", "v")
     wide = long.groupBy("index").pivot(_CELL, ids).agg(F.max("v"))
     titles = _distinct_names(["index"], [label.strip("_") for label in labels])
     wide = wide.select("index", *[ref(c).alias(t) for c, t in zip(ids, titles)])
     return _zero_filled(wide, ["index"])
 
 
+def _renamed(name: str, renames: Mapping[str, str], columns: Sequence[str]) -> str:
+    """The new name of one column: by the last rename that fits it. A rename of a whole name fits that column only."""
+    for old, new in reversed(list(renames.items())):
+        if old == name:
+            return new
+        if old in columns:
+            continue
+        if name.startswith(old + "_"):
+            return new + name[len(old) :]
+        if name.endswith("_" + old):
+            return name[: -len(old)] + new
+    return name
+
+
 def pivot_renames(columns: Sequence[str], renames: Mapping[str, str]) -> dict[str, str]:
     """Column renames meant by ``{old: new}``.
 
-    ``old`` may be a whole name, the part before or after an underscore of any number
-    of names, or a name that carries a function suffix such as ``_sum``.
+    ``old`` is a whole name, or the part before or after an underscore of any number of names.
     """
-    result: dict[str, str] = {}
-    for old, new in renames.items():
-        if old in columns:
-            result[old] = new
-            continue
-        hits = {}
-        for name in columns:
-            if name.startswith(f"{old}_"):
-                hits[name] = new + name.removeprefix(old)
-            elif name.endswith(f"_{old}"):
-                hits[name] = name.removesuffix(old) + new
-        if not hits:
-            bare = (c for c in columns if re.sub(AGGREGATE_SUFFIX, "", c) == old)
-            hits = {name: new for name in list(bare)[:1]}
-        result.update(hits)
-    return result
+    meant = {name: _renamed(name, renames, columns) for name in columns}
+    return {name: new for name, new in meant.items() if new != name}
 
 
 def rename_pivot(df: DataFrame, renames: Mapping[str, str] | Iterable[tuple[str, str]]) -> DataFrame:

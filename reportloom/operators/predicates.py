@@ -7,6 +7,7 @@ fail every condition except ``ne``, ``not_in``, ``not_contains`` and ``is_null``
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable
 from datetime import date, datetime
@@ -28,15 +29,41 @@ LIST_SEPARATORS = "\t\n,;，；"
 
 
 def _number(value) -> int | float | Decimal | None:
+    """The value as a number, digit for digit: text without an exponent never passes through a float."""
     if isinstance(value, bool):
         return int(value)
     if isinstance(value, (int, float, Decimal)):
         return value
     if isinstance(value, str) and _NUMBER.fullmatch(value):
-        return int(value) if re.fullmatch(r"\s*[+-]?\d{1,18}\s*", value) else float(value)
+        if re.fullmatch(r"\s*[+-]?\d+\s*", value):
+            return int(value)
+        return float(value) if "e" in value.lower() else Decimal(value.strip())
     return None
 
 
+def _as_float(number: int | float | Decimal) -> float:
+    try:
+        return float(number)
+    except OverflowError:
+        return math.copysign(math.inf, number)
+
+
+def _number_literal(number: int | float | Decimal, dtype: T.DataType) -> Column:
+    """A literal that compares with the column without losing digits of either."""
+    if is_float(dtype) or isinstance(number, float):
+        return F.lit(_as_float(number))
+    if isinstance(number, int):
+        if -(2**63) <= number < 2**63:
+            return F.lit(number)
+        number = Decimal(number)
+    sign, digits, exponent = number.as_tuple()
+    # Spark's decimals have 38 digits; no column value has more, so order alone matters beyond.
+    if not isinstance(exponent, int) or max(len(digits), -exponent, len(digits) + exponent) > 38:
+        return F.lit(_as_float(number))
+    scale = max(0, -exponent)
+    return F.lit(str(number)).cast(f"decimal({max(len(digits) + max(exponent, 0), scale, 1)},{scale})")
+
+
 def _moment(value) -> str | None:
     if isinstance(value, (datetime, date)):
         return value.isoformat()
@@ -55,7 +82,7 @@ def _literal(df: DataFrame, name: str, value) -> Column | None:
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.NumericType):
         number = _number(value)
-        return None if number is None else F.lit(number)
+        return None if number is None else _number_literal(number, dtype)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         moment = _moment(value)
         # A date column against a time of day compares as time, not as a cut date.

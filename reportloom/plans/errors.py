@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.errors import PySparkException
 
-SPARK_ERRORS = (PySparkException, Py4JJavaError)
+SPARK_ERRORS = (PySparkException, Py4JError)
 STEP_ERRORS = (*SPARK_ERRORS, ValueError, TypeError, KeyError, OSError)
 
 
 def reason(error: Exception) -> str:
-    """What went wrong, without the stack of the Java side."""
-    if isinstance(error, Py4JJavaError):
-        return str(error.java_exception.getMessage()).splitlines()[0]
-    text = str(error).strip()
-    return text.splitlines()[0] if text else type(error).__name__
+    """What went wrong, in full, without the stack of the Java side; the error's kind where it says nothing."""
+    said = error.java_exception.getMessage() if isinstance(error, Py4JJavaError) else str(error)
+    return (said or "").strip() or type(error).__name__

@@ -1,4 +1,7 @@
-"""Specification of a report job: dataclasses that read and write plain JSON data."""
+"""Specification of a report job: dataclasses that read and write plain JSON data.
+
+Fixed values: the names of the fields, which saved presets use.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, fields
 
 from reportloom.operators.predicates import split_values
+from reportloom.plans.preset import preset_filter
 
 
 def _known(cls, data: dict) -> dict:
@@ -39,7 +43,7 @@ class Source(_Plain):
     combine: str = "append"
     encoding: str | None = None
     bad_rows: str = "keep"
-    multiline: bool | None = None
+    multiline: bool = False
 
 
 @dataclass
@@ -57,7 +61,7 @@ class LookupRule(_Plain):
     unique: bool = False
     encoding: str | None = None
     bad_rows: str = "keep"
-    multiline: bool | None = None
+    multiline: bool = False
 
 
 @dataclass
@@ -136,12 +140,19 @@ class JobSpec(_Plain):
     def from_preset(cls, data: dict) -> JobSpec:
         """The job of a saved preset, whose master settings lie side by side.
 
-        Formulas must be ``[name, SQL]`` pairs and conditions SQL or plain specifications;
-        Python text is not run.
+        Formulas must be ``[name, SQL]`` pairs. Filter texts are read in the forms that presets write
+        (:func:`~reportloom.plans.preset.preset_filter`); Python text is not run.
         """
+        tasks = []
         for task in data.get("tasks", []):
             if isinstance(task.get("calc_fields"), str) and task["calc_fields"].strip():
                 raise ValueError(f"output {task['name']!r}: give calc_fields as [name, SQL] pairs")
+            if isinstance(task.get("filter_expr"), str):
+                try:
+                    task = task | {"filter_expr": preset_filter(task["filter_expr"])}
+                except ValueError as error:
+                    raise ValueError(f"output {task['name']!r}: {error}") from None
+            tasks.append(task)
         folder = bool(data.get("master_is_folder", False))
         path, sheet = data["master"], data.get("folder_sheet" if folder else "master_sheet")
         single_table = not folder and path.rstrip("/").lower().endswith((".csv", ".parquet"))
@@ -151,7 +162,7 @@ class JobSpec(_Plain):
             "sheet": None if single_table else sheet,
             "columns": data.get("master_schema_cols") or None,
         }
-        rest = {"rules": data.get("rules", []), "tasks": data.get("tasks", []), "output": data.get("output")}
+        rest = {"rules": data.get("rules", []), "tasks": tasks, "output": data.get("output")}
         return cls.from_dict({"master": master, **rest})
 
 

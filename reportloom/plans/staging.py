@@ -2,48 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
-
-def staging_folder(spark: SparkSession) -> str | None:
-    """``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local-mode session gets a temporary folder; a cluster
-    session gets none, because a folder of one machine would not be shared.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not context.master.startswith("local"):
-        return None
-    return _local_folders.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="reportloom-")
-    )
+_open_scopes: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the staging folder."""
-    folder = staging_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{folder.rstrip('/')}/reportloom-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names, which all executors share."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{folder.rstrip('/')}/reportloom-{label}-{uuid.uuid4().hex}"
+    for scope in _open_scopes:
+        scope.append(path)
+    return path
 
 
 def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     """Run the plan once, keep its rows as a written table and continue from there.
 
-    The table survives lost executors and gives later plans real sizes. With no
-    shared folder the plan itself is returned and simply runs again when used.
+    The table survives lost executors, is the same however often it is read, and gives later plans real sizes.
     """
-    spark = df.sparkSession
-    if staging_folder(spark) is None:
-        return df
-    path = new_path(spark, label)
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def dropped_afterwards(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are staged within the block, once it ends."""
+    scope: list[str] = []
+    _open_scopes.append(scope)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(scope)
+        for path in scope:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

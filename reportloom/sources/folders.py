@@ -47,7 +47,7 @@ def merge_folder(
     sheet: int | str = 0,
     encoding: str | None = None,
     bad_rows: str = "keep",
-    multiline: bool | None = None,
+    multiline: bool = False,
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Tables of a folder stacked on the ``required`` columns, and ``(name, reason)`` of those left out.
 

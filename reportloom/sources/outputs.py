@@ -40,6 +40,8 @@ def write_output(
     ``numbered_sheets`` the rows are cut, in the result's order, into folders
     ``sheet_no=1, 2, ...`` of exactly ``max_rows`` rows (the last may be shorter).
     """
+    if numbered_sheets and SHEET_COLUMN in (name.lower() for name in df.columns):
+        raise ValueError(f"a result with numbered sheets cannot have a column {SHEET_COLUMN!r} of its own; rename it")
     counted = Observation()
     df = df.observe(counted, F.count(F.lit(1)).alias("rows"))
     if numbered_sheets:
@@ -50,12 +52,11 @@ def write_output(
     return counted.get["rows"]
 
 
-def _numbered(df: DataFrame, max_rows: int) -> DataFrame:
-    """Rows with the number of their sheet, one task per sheet.
+def with_positions(df: DataFrame, position: str) -> DataFrame:
+    """The rows in the result's order with their places in it, counted from 0.
 
-    The sorted result is written once with the number of each task and row in it, so
-    positions cannot shift when a task runs again. Row counts per task (one row each)
-    then turn them into positions in the whole result.
+    The sorted result is written once with the number of each task and row in it, so positions cannot shift when a task
+    runs again. Row counts per task (one row each) then turn them into positions in the whole result.
     """
     spark = df.sparkSession
     table = new_path(spark, "sheets")
@@ -68,15 +69,16 @@ def _numbered(df: DataFrame, max_rows: int) -> DataFrame:
     tasks = tasks.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
     # Settled, the few rows are broadcast for certain and the result is not shuffled to meet them.
     tasks = settle(tasks, "tasks")
-    position = F.col("__before") + F.col("__row") - F.col("__first")
-    numbered = rows.join(tasks, "__task").withColumn(
-        SHEET_COLUMN, F.floor(position / max_rows).cast("int") + 1
-    )
-    return (
-        numbered.repartition(SHEET_COLUMN)
-        .sortWithinPartitions(SHEET_COLUMN, "__row")
-        .select(*df.columns, SHEET_COLUMN)
-    )
+    place = F.col("__before") + F.col("__row") - F.col("__first")
+    return rows.join(tasks, "__task").select(*df.columns, place.alias(position))
+
+
+def _numbered(df: DataFrame, max_rows: int) -> DataFrame:
+    """Rows with the number of their sheet. What was written by one task stays in order and together; a sheet that
+    reaches over the border of two tasks gets a file from each."""
+    placed = with_positions(df, "__place")
+    numbered = placed.withColumn(SHEET_COLUMN, F.floor(F.col("__place") / max_rows).cast("int") + 1)
+    return numbered.sortWithinPartitions(SHEET_COLUMN, "__place").select(*df.columns, SHEET_COLUMN)
 
 
 def convert_table(

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reportloom.operators.columns import keep_columns, ref
@@ -49,45 +46,22 @@ def csv_reader(spark: SparkSession, encoding: str | None = None, bad_rows: str =
     return reader
 
 
-def files_with_line_breaks(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """CSV files that hold a line break inside quotes: some line has an odd number of quotes.
-
-    Spark cannot split such a file between tasks, so it pays to know which ones they are.
-    """
-    lines = spark.read.text(list(paths))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    broken = lines.where(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("path"))
-    return {unquote(row.path) for row in broken.distinct().collect()}
-
-
 def read_csv_files(
     spark: SparkSession,
     paths: Sequence[str],
     header: Sequence[str],
     encoding: str | None = None,
     bad_rows: str = "keep",
-    multiline: bool | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
-    """CSV files that share a header, every column as text.
+    """CSV files that share a header, every column as text. Nothing is read while planning.
 
-    ``multiline`` says whether quoted cells may hold line breaks. By default the files are
-    looked through once, and only those that do are read whole by one task each.
+    With ``multiline`` quoted cells may hold line breaks; each file is then read whole by one task. Without, a
+    line is a row: files are split between tasks, and a quote left open spoils its own line only.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-
-    def read(files: Sequence[str], whole: bool) -> DataFrame:
-        reader = csv_reader(spark, encoding, bad_rows).option("multiLine", whole)
-        return reader.schema(schema).load(list(files))
-
-    if multiline is not None:
-        return read(paths, multiline)
-    whole = files_with_line_breaks(spark, paths)
-    if not whole:
-        return read(paths, False)
-    listed = spark.read.format("binaryFile").load(list(paths)).select("path").collect()
-    files = {row.path for row in listed}
-    parts = [read(sorted(part), flag) for part, flag in ((files - whole, False), (whole, True)) if part]
-    return reduce(DataFrame.unionByName, parts)
+    reader = csv_reader(spark, encoding, bad_rows).option("multiLine", multiline)
+    return reader.schema(schema).load(list(paths))
 
 
 def csv_header(spark: SparkSession, path: str, encoding: str | None = None) -> list[str]:
@@ -101,7 +75,7 @@ def scan_csv(
     columns: Iterable[str] | None = None,
     encoding: str | None = None,
     bad_rows: str = "keep",
-    multiline: bool | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV with every column as text; requested columns it lacks are left out.
 
@@ -124,7 +98,7 @@ def scan_table(
     columns: Iterable[str] | None = None,
     encoding: str | None = None,
     bad_rows: str = "keep",
-    multiline: bool | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """Table at a path. A requested column that a Parquet table lacks is an error."""
     if path.lower().endswith((".xlsx", ".xls")):
@@ -156,7 +130,7 @@ def scan_sheet(
     columns: Iterable[str] | None = None,
     encoding: str | None = None,
     bad_rows: str = "keep",
-    multiline: bool | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """One sheet of a book; requested columns it lacks are left out."""
     children = {child.stem: child.path for child in list_children(spark, book)}

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from reportloom.plans.job import RunReport, analyze_pool, build_outputs, output_paths, run_report_job
+from reportloom.plans.job import Journal, analyze_pool, build_outputs, output_paths, run_report_job
 from reportloom.plans.spec import JobSpec, OutputTask
 
 
@@ -155,7 +155,7 @@ def test_colliding_names_are_an_error(files):
         output_paths(spec)
 
 
-def test_report_details_are_cut(spark):
-    report = RunReport()
-    report.add("s", "done", "x" * 6_000)
-    assert len(report.to_table(spark).first().detail) == 5_000
+def test_report_details_are_kept_in_full(spark):
+    report = Journal()
+    report.note("s", "done", "x" * 6_000)
+    assert len(report.table(spark).first().detail) == 6_000

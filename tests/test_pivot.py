@@ -136,7 +136,22 @@ def test_renaming_rules():
     assert pivot_renames(["g"], {"other": "x"}) == {}
 
 
-@pytest.mark.parametrize("buffered_rows", [0, 5, 20_000], ids=["narrowed", "mixed", "buffered"])
+def test_median_of_largest_numbers(spark):
+    df = spark.createDataFrame([("g", 1.7e308), ("g", 1.7e308)], "k string, v double")
+    assert rows(group_medians(df, ["k"], {"v": "m"})) == [("g", 1.7e308)]
+
+
+def test_medians_and_means_of_other_types(spark):
+    df = spark.sql("""
+        SELECT 'g' AS k, CAST(12345678901234567890123456789012345678 AS DECIMAL(38, 0)) AS d, DATE'2024-01-01' AS day
+        UNION ALL SELECT 'g', 12345678901234567890123456789012345679, DATE'2024-01-02'
+    """)
+    out = group_agg(df, ["k"], {"d": "median", "day": "median"}).first()
+    assert str(out.d) == "12345678901234567890123456789012345679"  # 38 digits leave none for the half
+    assert out.day.isoformat() == "2024-01-01T12:00:00"
+    assert group_agg(df, ["k"], {"day": "mean"}).first().day.isoformat() == "2024-01-01T12:00:00"
+
+
 @pytest.mark.parametrize(
     "values",
     [
@@ -149,12 +164,13 @@ def test_renaming_rules():
         [1e-12 * i for i in range(100)] + [1e300],
         [0.0, -0.0, -5.0, 5.0],
         [float("-inf"), 1.0, 2.0, float("inf")],
+        [10.0**-k for k in range(5, 320)],
     ],
 )
-def test_exact_median(spark, values, buffered_rows):
+def test_exact_median(spark, values):
     data = [("g", v) for v in values] + [("h", 1.0), ("g", None), ("g", float("nan")), (None, 3.0), ("i", None)]
     df = spark.createDataFrame(data, "k string, v double").repartition(5)
-    two = group_medians(df.withColumn("w", -df.v), ["k"], {"v": "m", "w": "minus"}, buffered_rows)
+    two = group_medians(df.withColumn("w", -df.v), ["k"], {"v": "m", "w": "minus"})
     expected = statistics.median(values)
     assert rows(two) == [("g", expected, -expected), ("h", 1.0, -1.0)]
-    assert rows(group_medians(df, ["k"], {"v": "m"}, buffered_rows)) == [("g", statistics.median(values)), ("h", 1.0)]
+    assert rows(group_medians(df, ["k"], {"v": "m"})) == [("g", statistics.median(values)), ("h", 1.0)]

@@ -2,6 +2,8 @@
 
 from contextlib import contextmanager
 
+from pathlib import Path
+
 import pytest
 
 from reportloom.catalog import QUERIES
@@ -176,9 +178,11 @@ def test_no_query_leaves_the_jvm_or_crosses_tables(spark, name):
 
 
 def test_staging_follows_the_session_setting(spark, tmp_path):
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = staging.staging_folder(spark)
-    assert folder == named if named else folder == staging.staging_folder(spark)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     settled = staging.settle(spark.range(5).selectExpr("id", "CAST(NULL AS string) AS `odd name`"))
     assert settled.columns == ["id", "odd name"] and settled.count() == 5
     assert folder in settled.inputFiles()[0]
+    with staging.dropped_afterwards(spark):
+        path = staging.settle(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        assert Path(path).exists()
+    assert not Path(path).exists() and settled.count() == 5
