@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.catalog.registry import Query
+from reportloom.llm.common import UPPER
 from reportloom.llm.embed_dedup import near_duplicate_vectors
 from reportloom.llm.exact_dedup import exact_groups
 from reportloom.llm.mixing import mix
@@ -82,7 +83,51 @@ RULES = [
 ]
 
 
-@query()
+def _address_sql(url: str) -> str:
+    rest = f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    host = f"translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}')"
+    return f"CASE WHEN {host} <> '' THEN {host} || CASE WHEN {rest} LIKE '/%' THEN {rest} ELSE '/' || {rest} END END"
+
+
+_RULES_SQL = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
+_JUDGE_SQL = rf"""
+    WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES {_RULES_SQL}),
+    seen AS (
+        SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
+               regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, {_address_sql("url")} AS address
+        FROM pages),
+    targets AS (
+        SELECT url, regexp_extract(regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*>'),
+                                   '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1) AS aim FROM pages
+        UNION ALL
+        SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>'),
+                                   '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages),
+    whole AS (
+        SELECT url AS a, CASE WHEN contains(aim, '://') THEN aim WHEN aim LIKE '//%' THEN 'http:' || aim
+                              WHEN aim LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || aim END AS b
+        FROM targets WHERE aim <> '' AND url IS NOT NULL),
+    links AS (SELECT a, b, {_address_sql("a")} AS u, {_address_sql("b")} AS v FROM whole WHERE b IS NOT NULL),
+    edges AS (SELECT u, v FROM links WHERE u <> v UNION SELECT v, u FROM links WHERE u <> v),
+    reach(node, other) AS (SELECT u, u FROM edges UNION SELECT r.node, e.v FROM reach r JOIN edges e ON r.other = e.u),
+    ends AS (SELECT a AS url, u AS node FROM links UNION SELECT b, v FROM links),
+    told AS (
+        SELECT e.node, arg_max(r.verdict, length(r.rh || r.rp) * 2 + (r.verdict = 'allow')::INT) AS verdict
+        FROM ends e JOIN rules r
+          ON ('.' || translate(regexp_extract(e.url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}')) LIKE ('%.' || r.rh)
+         AND starts_with(regexp_extract(e.url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), r.rp)
+        GROUP BY e.node, e.url),
+    passed AS (SELECT r.node, min(t.verdict) AS verdict FROM reach r JOIN told t ON t.node = r.other GROUP BY r.node),
+    own AS (
+        SELECT s.page_id, arg_max(r.rh || r.rp, length(r.rh || r.rp) * 2 + (r.verdict = 'allow')::INT) AS rule,
+               arg_max(r.verdict, length(r.rh || r.rp) * 2 + (r.verdict = 'allow')::INT) AS verdict
+        FROM seen s JOIN rules r ON ('.' || s.host) LIKE ('%.' || r.rh) AND starts_with(s.path, r.rp) GROUP BY s.page_id)
+    SELECT s.page_id, s.host, s.path, o.rule, coalesce(o.verdict, p.verdict, 'allow') AS verdict,
+           o.verdict IS NULL AND p.verdict IS NOT NULL AS passed_on
+    FROM seen s LEFT JOIN own o USING (page_id) LEFT JOIN passed p ON p.node = s.address
+"""
+
+
+@query(_JUDGE_SQL)
 def op2_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page by the rules and the components of redirects and canonical links."""
     return judge(table(spark, sf_dir, "pages"), RULES)

@@ -13,7 +13,7 @@ REMEMBERED = 800_000
 
 #: Characters that one of the libraries takes as white space, besides the four plain ones.
 PLAIN = " \n\t\r"
-ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    　"
+ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000"
 
 _W, _N, _X = f"[{PLAIN}{ODD}]", f"[^{PLAIN}{ODD}]", f"[{ODD}]"
 #: A unit begins at the text's start or at plain white space right after a character that is no white space.
