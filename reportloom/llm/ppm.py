@@ -121,8 +121,11 @@ def escape_levels(counts: list[np.ndarray]) -> np.ndarray:
     return out + np.divide(left, rest, out=np.zeros_like(left), where=rest > 0) * open_
 
 
-def _block(block: int, codes: np.ndarray, n: np.ndarray, low: list[np.ndarray]) -> np.ndarray:
-    """log10 probabilities of a block: contexts that end with its two symbols. ``low``: counts of orders 0 and 1."""
+def _block(block: int, codes: np.ndarray, n: np.ndarray, low: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Code lengths of a block: contexts that end with its two symbols. ``low``: counts of orders 0 and 1.
+
+    Gives the longest contexts that were seen, their code lengths, and those of all contexts one symbol shorter.
+    """
     inner = CLASSES ** (ORDER - 2)
     # A leaf's code is (older symbols, block, symbol).
     older, symbol = codes // (BLOCKS * CLASSES), codes % CLASSES
@@ -131,19 +134,30 @@ def _block(block: int, codes: np.ndarray, n: np.ndarray, low: list[np.ndarray])
     counts = [low[0], low[1][block % CLASSES : block % CLASSES + 1]]
     for k in range(2, ORDER + 1):
         counts.append(leaves.reshape(-1, CLASSES ** (k - 2), CLASSES).sum(0))
-    return np.log10(np.maximum(escape_levels(counts), 1e-30)).astype(np.float32)
+    seen = np.flatnonzero(leaves.any(1))
+    return seen, code_lengths(escape_levels(counts)[seen]), code_lengths(escape_levels(counts[:-1]))
+
+
+def code_lengths(p: np.ndarray) -> np.ndarray:
+    """-log10 of probabilities in steps of 1/8192, at most 8; two bytes each keep the model small."""
+    return np.minimum(np.rint(-np.log10(np.maximum(p, 1e-30)) * 8192), 65535).astype(np.uint16)
 
 
 class Model:
-    """The trained trie as one table: log10 probability of each symbol after each context, and of a byte in its class."""
+    """The trained trie as one table: a row of code lengths for each context seen, and for all that are one symbol shorter.
+
+    ``rows_of`` leads from each longest context to its row, or to that of its shorter one where it was never seen, which
+    says the same at no cost.
+    """
 
-    def __init__(self, symbols: np.ndarray, in_class: np.ndarray):
-        self.symbols, self.in_class = symbols, in_class
+    def __init__(self, rows_of: np.ndarray, lengths: np.ndarray, in_class: np.ndarray):
+        self.rows_of, self.lengths, self.in_class = rows_of, lengths, in_class
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         joined, kinds, codes, real = _contexts(texts)
         before = np.concatenate([[0], kinds[:-1]])
-        each = (self.symbols[codes].astype(np.float64) + self.in_class[before * 256 + joined]) * real
+        symbols = self.lengths[self.rows_of[codes // CLASSES] * CLASSES + codes % CLASSES] / -8192.0
+        each = (symbols + self.in_class[before * 256 + joined]) * real
         lengths = np.array([len(t) + ORDER for t in texts], np.int64)
         return np.add.reduceat(each, np.cumsum(lengths) - lengths)
 
@@ -151,8 +165,8 @@ class Model:
 def train(texts: DataFrame) -> Model:
     """Count every byte context of all texts and turn the counts into the model's tables.
 
-    Counting is partial in each task and summed by Spark. The trie has at most 32**5 leaves by its construction, whatever the
-    corpus: its tables are built block by block in tasks and come to the driver as 1024 rows of 128 KB.
+    Counting is partial in each task and summed by Spark. The trie has at most 32**4 longest contexts by its construction,
+    whatever the corpus: its table is built block by block in tasks and comes to the driver as 1024 rows of at most 70 KB.
     """
     counted = staged(
         texts.select("text").mapInArrow(_count, "leaf boolean, cell long, n long")
@@ -172,24 +186,33 @@ def train(texts: DataFrame) -> Model:
         block = key[0].as_py()
         codes, n = (group.column(c).to_numpy() for c in ("cell", "n"))
         real = codes >= 0
-        table = _block(block, codes[real], n[real], low)
-        return pa.table({"block": pa.array([block], pa.int64()), "table": pa.array([table.tobytes()], pa.binary())})
+        seen, own, shorter = _block(block, codes[real], n[real], low)
+        parts = [part.tobytes() for part in (seen.astype(np.int32), own, shorter)]
+        return pa.table([pa.array([block], pa.int64()), *(pa.array([part], pa.binary()) for part in parts)], names=["block", "seen", "own", "shorter"])
 
     spark = texts.sparkSession
     block = (F.floor(F.col("cell") / CLASSES) % BLOCKS).cast("long")
     # Every block has a row, so that contexts never seen have their tables too.
     every = spark.range(BLOCKS).select(F.col("id").alias("block"), F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("n"))
     cells = counted.where("leaf").select(block.alias("block"), "cell", "n").union(every)
-    symbols = np.empty((CLASSES ** (ORDER - 2), BLOCKS, CLASSES), np.float32)
-    # Small partitions, so that what is on its way to the driver at once is a few megabytes.
-    built = cells.groupBy("block").applyInArrow(build, "block long, table binary").repartition(64)
+    # Small partitions, so that what is on its way to the driver at once is little.
+    built = cells.groupBy("block").applyInArrow(build, "block long, seen binary, own binary, shorter binary").repartition(32)
+    shorter = CLASSES ** (ORDER - 1)
+    rows_of = np.tile(np.arange(shorter, dtype=np.int32), CLASSES)
+    base = np.empty((shorter // BLOCKS, BLOCKS, CLASSES), np.uint16)
+    own, placed = [], shorter
     for row in built.toLocalIterator(prefetchPartitions=True):
-        symbols[:, row["block"]] = np.frombuffer(row["table"], np.float32).reshape(-1, CLASSES)
+        base[:, row["block"]] = np.frombuffer(row["shorter"], np.uint16).reshape(-1, CLASSES)
+        seen = np.frombuffer(row["seen"], np.int32)
+        rows_of[seen.astype(np.int64) * BLOCKS + row["block"]] = np.arange(placed, placed + len(seen))
+        own.append(np.frombuffer(row["own"], np.uint16))
+        placed += len(seen)
+    lengths = np.concatenate([base.reshape(-1), *own])
     # A byte within its class, by the class before, with half a count for each byte of the class.
     kinds = byte_classes()
-    own = ahead.reshape(CLASSES, 256) + 0.5
-    totals = np.stack([np.bincount(kinds, weights=row, minlength=CLASSES) for row in own])
-    return Model(symbols.reshape(-1), np.log10(own / totals[:, kinds]).reshape(-1))
+    halves = ahead.reshape(CLASSES, 256) + 0.5
+    totals = np.stack([np.bincount(kinds, weights=row, minlength=CLASSES) for row in halves])
+    return Model(rows_of, lengths, np.log10(halves / totals[:, kinds]).reshape(-1))
 
 
 class WordKeys(dict):

@@ -208,7 +208,7 @@ def test_scores_equal_a_slow_model(spark):
         tokens = [*(text or "").encode().lower().split(), None]
         base = sum(math.log10((words[w] + 0.5) / (total + 0.5 * (len(words) + 1))) for w in tokens)
         r = out[i]
-        assert r.score == pytest.approx(wanted, abs=1e-3) and r.base_score == pytest.approx(base)
+        assert r.score == pytest.approx(wanted, abs=1e-5 + 7e-5 * len((text or "").encode())) and r.base_score == pytest.approx(base)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(words[w] > 0 for w in tokens), total)
 
 
