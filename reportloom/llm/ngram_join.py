@@ -200,6 +200,20 @@ def across(postings: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def in_lists(postings: DataFrame) -> DataFrame:
+    """The same for rare tokens, most of which come with others that the very same documents hold: each list of
+    documents (at most RARE of them) is taken once, with the number of its tokens."""
+    member = F.struct("d", "n", "component", "frequent")
+    lists = postings.groupBy("token").agg(F.array_sort(F.collect_list(member)).alias("docs")).groupBy("docs").agg(F.count("*").alias("tokens"))
+    one = lists.select("tokens", "docs", F.posexplode("docs").alias("place", "x"))
+    two = one.select("tokens", "x", F.explode(F.slice("docs", F.col("place") + 2, F.lit(RARE))).alias("y"))
+    met = two.where("x.component <> y.component").where(sizes_fit(F.col("x.n"), F.col("y.n")))
+    return met.groupBy(F.col("x.d").alias("a"), F.col("y.d").alias("b")).agg(
+        F.sum("tokens").alias("shared"), F.first("x.n").alias("n"), F.first("y.n").alias("m"),
+        F.least(F.first("x.frequent"), F.first("y.frequent")).alias("frequent"),
+    )
+
+
 def enough(pairs: DataFrame) -> DataFrame:
     """Pairs that may link, by what their prefixes share: the rare tokens counted and, at most, the fewer frequent ones.
 
@@ -284,7 +298,7 @@ def near_duplicates(
     many = rest.where(F.col("df") > RARE).groupBy("d").agg(F.count("*").alias("frequent"), F.first("n").alias("n"))
     many = staged(many, "join-frequent")
     rare = rest.where(F.col("df") <= RARE).drop("df").join(many.select("d", "frequent"), "d", "left")
-    pairs = enough(across(rare.withColumn("frequent", F.coalesce("frequent", F.lit(0))), ["token"]))
+    pairs = enough(in_lists(rare.withColumn("frequent", F.coalesce("frequent", F.lit(0)))))
     least = 2 + F.floor(F.ceil(F.col("n") * OVER / UNDER) / STRETCH)
     laden = staged(many.where(F.col("frequent") >= least).select(F.col("d").alias("doc_id")), "join-laden")
     whole = texts.join(bounded(laden, BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(
@@ -299,7 +313,7 @@ def near_duplicates(
     alone = spanning(ahead.where(F.col("df") <= RARE).drop("df"), ["token"]).drop("df")
     frequent = spanning(ahead.where(F.col("df") > RARE).drop("df"), ["token"]).drop("df")
     doubles = spanning(token_pairs(frequent), ["t1", "t2"]).drop("df")
-    pairs = pairs.union(across(alone, ["token"]).select("a", "b")).union(across(doubles, ["t1", "t2"]).select("a", "b"))
+    pairs = pairs.union(in_lists(alone).select("a", "b")).union(across(doubles, ["t1", "t2"]).select("a", "b"))
     pairs = staged(pairs.distinct(), "join-pairs")
     # 5. Verification and closure.
     links = links.union(verified(pairs, texts, words)).union(copies.toDF("u", "v"))
