@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reportloom.llm.common import bounded, crc_bucket, ship_code
 
 #: Bound of the labelled sample: rows of each class on which the field is fitted.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1000
 #: Buckets for hashed words; words remembered by a worker; words judged together; steps of a block.
 BUCKETS, REMEMBERED, TOGETHER, STEPS = 1 << 18, 600_000, 1 << 17, 512
 #: Lengths of the beginnings of a word that are keys of their own, so that forms of one stem are known by it.
@@ -210,15 +210,14 @@ def fit(texts: list[str], toxic: list[int], toxic_share: float = 0.5) -> Field |
     split, labels = [split[k] for k in chosen], np.array([toxic[k] for k in chosen], bool)
     if labels.all() or not labels.any():
         return None
-    held = [Counter(), Counter()]
-    for words, label in zip(split, labels, strict=True):
-        held[int(label)].update({key for w in set(words) for key in keys(w)})
     # Both classes weigh alike, however many documents the sample has of each.
     rate = [max(1, int((labels == y).sum())) for y in (False, True)]
-    telling = {
-        key for key, n in held[1].items()
-        if n >= max(LEAST, COMMON * rate[1]) and n / rate[1] >= SURE * (n / rate[1] + held[0][key] / rate[0])
-    }
+    toxic_docs = Counter(key for words, y in zip(split, labels, strict=True) if y for key in {k for w in set(words) for k in keys(w)})
+    toxic_docs = {key: n for key, n in toxic_docs.items() if n >= max(LEAST, COMMON * rate[1])}
+    clean_docs = Counter(
+        key for words, y in zip(split, labels, strict=True) if not y for key in toxic_docs.keys() & {k for w in set(words) for k in keys(w)}
+    )
+    telling = {key for key, n in toxic_docs.items() if n / rate[1] >= SURE * (n / rate[1] + clean_docs[key] / rate[0])}
     if not telling:
         return None
     ids, first, lengths = laid_out(split)
