@@ -43,4 +43,4 @@ def test_entry_points(spark):
     assert entry_points.queries().keys() >= QUERIES.keys() == ORACLES.keys()
     assert entry_points.queries().keys() >= entry_points.oracle_sql().keys() >= ORACLES.keys()
     out = entry_points.entry(spark)
-    assert out.columns[:2] == ["r_name", "revenue_1992"] and out.count() == 5
+    assert out.columns[:2] == ["r_name", "revenue_1995"] and out.count() == 5
