@@ -155,7 +155,26 @@ def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"))
 
 
-@query()
+@query(rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x20\x09-\x0D]+'),
+                                   lambda w: w <> '') AS w FROM documents),
+    sets AS (
+        SELECT doc_id, list_distinct(CASE
+            WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+    tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+    shared AS (
+        SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m
+        FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT u, v FROM shared WHERE 100 * c >= 75 * (n + m - c)),
+    reach(node, other) AS (SELECT u, u FROM links UNION SELECT r.node, l.v FROM reach r JOIN links l ON r.other = l.u),
+    least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+    equal AS (SELECT u, min(v) AS v FROM shared WHERE c = n AND c = m GROUP BY u)
+    SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id,
+           least(s.doc_id, coalesce(e.v, s.doc_id)) AS class_id
+    FROM sets s LEFT JOIN least l ON l.node = s.doc_id LEFT JOIN equal e ON e.u = s.doc_id
+""")
 def op8_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share three quarters of their five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -167,7 +186,22 @@ def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE usable AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.98),
+    reach(node, other) AS (SELECT u, u FROM links UNION SELECT r.node, l.v FROM reach r JOIN links l ON r.other = l.u),
+    least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+    counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+           vec_id = coalesce(component_id, vec_id) AS kept
+    FROM embeddings LEFT JOIN least ON node = vec_id LEFT JOIN counts ON u = vec_id
+""")
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings with a cosine of at least 0.98."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
