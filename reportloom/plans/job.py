@@ -20,9 +20,9 @@ from reportloom.operators.ordering import sort_rows
 from reportloom.operators.pivot import pivot_table
 from reportloom.operators.predicates import filter_rows
 from reportloom.plans.errors import SPARK_ERRORS, STEP_ERRORS, reason
-from reportloom.plans.spec import JobSpec, LookupRule, OutputTask, Source
 from reportloom.plans.session import configure
-from reportloom.plans.staging import dropped_afterwards, settle
+from reportloom.plans.spec import JobSpec, LookupRule, OutputTask, Source
+from reportloom.plans.staging import collecting, dropped_afterwards, settle
 from reportloom.sources.folders import merge_folder
 from reportloom.sources.listing import list_children
 from reportloom.sources.outputs import write_output
@@ -223,9 +223,14 @@ def run_report_job(spark: SparkSession, spec: JobSpec | dict) -> DataFrame:
     configure(spark)
     report, began = Journal(), time.monotonic()
     try:
-        with dropped_afterwards(spark), ThreadPoolExecutor(_OUTPUTS_AT_ONCE) as jobs:
+        with dropped_afterwards(spark) as staged, ThreadPoolExecutor(_OUTPUTS_AT_ONCE) as jobs:
             pool = build_pool(spark, spec, report, on_error="skip")
-            for steps in jobs.map(lambda task: _run_output(pool, task, spec, paths[task.name]), spec.tasks):
+
+            def run(task: OutputTask) -> Journal:
+                with collecting(staged):
+                    return _run_output(pool, task, spec, paths[task.name])
+
+            for steps in jobs.map(run, spec.tasks):
                 report.extend(steps)
         report.note("job", "done", f"seconds={time.monotonic() - began:.1f}")
     except Exception as error:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open_scopes: list[list[str]] = []
+#: Per thread, the lists that collect the paths of tables to be dropped.
+_collecting = threading.local()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -17,8 +19,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{folder.rstrip('/')}/reportloom-{label}-{uuid.uuid4().hex}"
-    for scope in _open_scopes:
-        scope.append(path)
+    for paths in getattr(_collecting, "lists", []):
+        paths.append(path)
     return path
 
 
@@ -33,14 +35,26 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 @contextmanager
-def dropped_afterwards(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables that are staged within the block, once it ends."""
-    scope: list[str] = []
-    _open_scopes.append(scope)
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Note the paths of tables that this thread stages within the block."""
+    _collecting.lists = [*getattr(_collecting, "lists", []), paths]
     try:
         yield
     finally:
-        _open_scopes.remove(scope)
-        for path in scope:
+        _collecting.lists = _collecting.lists[:-1]
+
+
+@contextmanager
+def dropped_afterwards(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the tables that this thread stages within the block, once it ends.
+
+    Yields the list of their paths; threads that work for this one join in by ``collecting`` it.
+    """
+    paths: list[str] = []
+    try:
+        with collecting(paths):
+            yield paths
+    finally:
+        for path in paths:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
