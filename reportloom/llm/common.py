@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.plans.staging import new_path
+from reportloom.plans.staging import dropped_afterwards, new_path
 
 #: The white space of the contracts, and a word between such space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,6 +30,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Write a result and read it from there; the tables that were staged on the way to it are deleted."""
+    path = new_path(spark, label)
+    with dropped_afterwards(spark):
+        result = make()
+        result.write.parquet(path)
+    return spark.read.schema(result.schema).parquet(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

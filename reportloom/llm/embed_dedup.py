@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import components, ship_code, staged
+from reportloom.llm.common import components, finished, ship_code, staged
 
 #: Cosine of a link; cosine from which a neighbour is kept in the graph.
 LINK, NEAR = 0.98, 0.9
@@ -225,8 +225,13 @@ def near_duplicate_vectors(
     of each other; an empty table gives an empty table; other columns are not looked at. Returns ``vec_id``, ``n_links``,
     ``component_id``, ``kept``.
     """
-    spark = embeddings.sparkSession
-    ship_code(spark)
+    ship_code(embeddings.sparkSession)
+    return finished(
+        embeddings.sparkSession, "nn-result", lambda: _near_duplicate_vectors(embeddings, id_col, vector_col, label_col)
+    )
+
+
+def _near_duplicate_vectors(embeddings: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     rows = embeddings.select(
         embeddings[id_col].cast("long").alias("vec_id"), embeddings[vector_col].alias("embedding"),
         embeddings[label_col].cast("string").alias("label"),

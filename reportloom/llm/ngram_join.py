@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import bounded, components, ship_code, staged
+from reportloom.llm.common import bounded, components, finished, ship_code, staged
 
 #: Words in a shingle; the similarity as a fraction.
 WORDS, OVER, UNDER = 5, 75, 100
@@ -256,8 +256,12 @@ def near_duplicates(
     an id link with nothing and have no component; an empty table gives an empty table; other columns are not looked at. Returns
     ``doc_id``, ``n_shingles``, ``component_id``, ``class_id`` (smallest id with an equal set) for each row.
     """
+    ship_code(docs.sparkSession)
+    return finished(docs.sparkSession, "join-result", lambda: _near_duplicates(docs, words, id_col, text_col))
+
+
+def _near_duplicates(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    ship_code(spark)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     sets = staged(
         texts.mapInArrow(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.llm.common import crc_bucket, ship_code, staged
+from reportloom.plans.staging import dropped_afterwards
 
 #: Symbols before the one that is predicted; classes of bytes that contexts are made of.
 ORDER, CLASSES = 4, 32
@@ -318,7 +319,8 @@ def score_texts(
         (crc_bucket(docs[id_col], folds) == held_out).alias("held_out"),
         F.coalesce(docs[text_col], F.lit("")).alias("text"),
     )
-    shared = spark.sparkContext.broadcast(train(rows.where("NOT held_out").select("text")))
+    with dropped_afterwards(spark):
+        shared = spark.sparkContext.broadcast(train(rows.where("NOT held_out").select("text")))
     kinds = ", ".join(f"{name} {kind}" for name, kind in _SCHEMA.items())
     chunks = staged(rows.mapInArrow(lambda batches: _chunks(batches, shared), kinds), "ppm-chunks")
     words = chunks.where("key IS NOT NULL").select("chunk", "key", "place", "train")
