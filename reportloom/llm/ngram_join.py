@@ -225,11 +225,22 @@ def enough(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("shared") + F.col("frequent") >= overlap - beyond).select("a", "b")
 
 
+def groups_of(n: Column) -> Column:
+    """Groups that a document's frequent tokens are dealt to, a power of two.
+
+    Linked sets share k = 2 + n // STRETCH tokens of their prefixes (n of the smaller), more than there are groups at the
+    largest power of two up to k - 1, so two of them are in one group. That power differs by a factor of two at most
+    between sets that can link, and half of it divides both.
+    """
+    return F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(1 + F.floor(n / STRETCH))) - 1).cast("long"))
+
+
 def token_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of tokens that a document has in its prefix, as postings of their own."""
-    first = postings.select("d", "n", "component", "frequent", F.col("token").alias("t1"))
-    second = postings.select("d", F.col("token").alias("t2"))
-    return first.join(second, "d").where("t1 < t2")
+    """Pairs of tokens that a document has in one group of its prefix, as postings of their own."""
+    dealt = postings.withColumn("grp", F.pmod(F.xxhash64("token"), groups_of(F.col("n"))))
+    first = dealt.select("d", "grp", "n", "component", "frequent", F.col("token").alias("t1"))
+    second = dealt.select("d", "grp", F.col("token").alias("t2"))
+    return first.join(second, ["d", "grp"]).where("t1 < t2").drop("grp")
 
 
 def near_duplicates(
@@ -246,9 +257,10 @@ def near_duplicates(
        groups of near copies without pairing their members. Tokens held within one component say nothing new and go.
     4. Rare tokens (at most 16 documents) that span components make candidates one by one; pairs that share too little of their
        prefixes for a link, counting all frequent tokens as shared, go. Documents that have so many frequent
-       spanning tokens that they might be linked by those alone go on: their whole sets are ordered rarest first, and in the prefix
-       that holds two common tokens of any linked pair, rare tokens are signatures alone and frequent ones in pairs.
-       So a passage that very many documents share makes candidates only where it is three quarters of a document.
+       spanning tokens that they might be linked by those alone go on: their whole sets are ordered rarest first, and in their
+       extended prefixes rare tokens are signatures alone and frequent ones in pairs, within groups of tokens
+       of which one must hold two common ones of any linked pair. So a passage that very many documents share makes
+       candidates only where it is most of a document.
     5. Candidates are verified on whole texts, and components closed over all verified links.
 
     Nothing is capped: every token, pair and candidate of these lists is used. Null and empty text has no shingles and links
@@ -312,13 +324,17 @@ def _near_duplicates(docs: DataFrame, words: int, id_col: str, text_col: str) ->
     counted = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("d").orderBy(F.coalesce("df", F.lit(1)), "token"))
     ahead = tokens.join(counted, "token", "left").withColumn("place", place)
-    ahead = ahead.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 2).where("df > 1")
-    ahead = staged(ahead.select("d", "n", "token", "component", "df", F.lit(0).alias("frequent")), "join-ahead")
+    ahead = staged(ahead.where(F.col("place") <= prefix_tokens(F.col("n"))).where("df > 1").drop("place"), "join-ahead")
+    often = staged(ahead.where(F.col("df") > RARE).groupBy("d").agg(F.count("*").alias("frequent")), "join-often")
+    ahead = ahead.join(often, "d", "left").withColumn("frequent", F.coalesce("frequent", F.lit(0)))
     alone = spanning(ahead.where(F.col("df") <= RARE).drop("df"), ["token"]).drop("df")
     frequent = spanning(ahead.where(F.col("df") > RARE).drop("df"), ["token"]).drop("df")
     doubles = spanning(token_pairs(frequent), ["t1", "t2"]).drop("df")
-    pairs = pairs.union(in_lists(alone).select("a", "b")).union(across(doubles, ["t1", "t2"]).select("a", "b"))
-    pairs = staged(pairs.distinct(), "join-pairs")
+    met = in_lists(alone).union(across(doubles, ["t1", "t2"]).withColumn("shared", F.lit(0).cast("long")))
+    met = met.groupBy("a", "b").agg(
+        F.max("shared").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("frequent").alias("frequent")
+    )
+    pairs = staged(pairs.union(enough(met)).distinct(), "join-pairs")
     # 5. Verification and closure.
     links = links.union(verified(pairs, texts, words)).union(copies.toDF("u", "v"))
     member = components(links, "join-components").select(F.col("node").alias("doc_id"), "component")
