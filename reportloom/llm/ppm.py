@@ -21,7 +21,7 @@ ORDER, CLASSES = 4, 32
 #: Contexts are handed over in blocks by their last two symbols.
 BLOCKS = CLASSES**2
 #: Bytes scored or counted together; bytes of a chunk of documents that shares a dictionary; words a worker remembers.
-TOGETHER, CHUNK, REMEMBERED = 1 << 21, 1 << 24, 400_000
+TOGETHER, CHUNK, REMEMBERED = 1 << 20, 12 << 20, 200_000
 
 _SCHEMA = {
     "chunk": "long", "key": "long", "place": "int", "train": "long", "doc_id": "long", "held_out": "boolean",
@@ -62,25 +62,24 @@ def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return joined, kinds, codes, real
 
 
-def _rounds(texts: list[bytes]) -> Iterator[list[bytes]]:
-    begin, held = 0, 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= TOGETHER:
-            yield texts[begin : k + 1]
-            begin, held = k + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
-
-
-def _as_bytes(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
+def _rounds(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a batch, some at a time, with the place of the first; few are turned into Python objects at once."""
+    begin, texts, held = 0, [], 0
+    for at in range(0, batch.num_rows, 64):
+        for text in batch.column("text").slice(at, 64).cast(pa.binary()).to_pylist():
+            texts.append(text)
+            held += len(text)
+            if held >= TOGETHER:
+                yield begin, texts
+                begin, texts, held = begin + len(texts), [], 0
+    if texts:
+        yield begin, texts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the trie's leaves (context and symbol) and of bytes after the class before, one row per cell and task's round."""
     for batch in batches:
-        for texts in _rounds(_as_bytes(batch.column("text"))):
+        for _, texts in _rounds(batch):
             joined, kinds, codes, real = _contexts(texts)
             leaves, n = np.unique(codes[real], return_counts=True)
             before = np.concatenate([[0], kinds[:-1]])
@@ -239,12 +238,11 @@ def word_keys(text: bytes) -> np.ndarray:
 def _chunk_rows(chunk: int, keys: list[np.ndarray], held: list[bool], docs: pa.Array, scores: np.ndarray) -> pa.RecordBatch:
     """A chunk's dictionary (key, place, how often its training texts hold it) and its documents (places, times)."""
     lengths = np.array([len(k) for k in keys], np.int64)
-    every = np.concatenate(keys)
-    known, places = np.unique(every, return_inverse=True)
-    owner = np.repeat(np.arange(len(keys)), lengths)
-    training = ~np.repeat(np.array(held, bool), lengths)
-    train = np.bincount(places[training], minlength=len(known))
-    pairs, times = np.unique(owner * len(known) + places, return_counts=True)
+    known, places = np.unique(np.concatenate(keys), return_inverse=True)
+    train = np.bincount(places[~np.repeat(np.array(held, bool), lengths)], minlength=len(known))
+    places += np.repeat(np.arange(len(keys)) * len(known), lengths)
+    pairs, times = np.unique(places, return_counts=True)
+    del places
     ends = np.searchsorted(pairs, np.arange(len(keys) + 1) * len(known)).astype(np.int32)
     n, m = len(known), len(keys)
     at = pa.ListArray.from_arrays(ends, pa.array((pairs % len(known)).astype(np.int32)))
@@ -276,14 +274,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         return _chunk_rows(base + seq, keys, held, pa.concat_arrays(docs), np.concatenate(scores))
 
     for batch in batches:
-        texts = _as_bytes(batch.column("text"))
-        at = 0
-        for some in _rounds(texts):
+        for at, some in _rounds(batch):
             keys += [word_keys(text) for text in some]
             held += batch.column("held_out").slice(at, len(some)).to_pylist()
             docs.append(batch.column("doc_id").slice(at, len(some)))
             scores.append(shared.value.scores(some))
-            at += len(some)
             size += sum(map(len, some))
             if size >= CHUNK:
                 yield done()
