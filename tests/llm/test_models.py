@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from reportloom.llm import ppm, toxicity as tox
-from reportloom.llm.pii import KINDS, personal_data, written
+from reportloom.llm.pii import KINDS, canonical, meets_base, personal_data, written
 from reportloom.llm.ppm import CLASSES, byte_classes, escape_levels, score_texts
 
 SF = "/root/testdata/sf0.01"
@@ -154,6 +154,35 @@ def test_boosted_candidates_add_spans(spark):
             assert not any(a.start < b.end and b.start < a.end for b in r.base)
 
 
+def test_spelled_out_addresses_are_added_and_bare_numbers_are_not(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(600):
+        name = "".join(rng.choice("abcdefgh") for _ in range(6))
+        form = f"{name}@host{k}.org" if k % 2 else f"{name} (at) host{k}.org"
+        bare = rng.randint(10**15, 10**16 - 1)
+        bare += luhn(str(bare))  # a changed last digit fails the check
+        rows.append((k, f"write a mail to {form} or see part {bare} of it, {rng.randint(10**9, 10**10 - 1)} in all"))
+    texts, out = dict(rows), personal_data(docs(spark, rows)).collect()
+    for r in out:
+        told = [(KINDS[a.kind], texts[r.doc_id][a.start : a.end]) for a in r.added]
+        written_out = re.search(r"[a-h]+ \(at\) \S+", texts[r.doc_id])
+        assert told == ([("email", written_out.group())] if written_out else [])
+
+
+def test_canonical_forms(spark):
+    cases = [
+        ("email", "ann (at) host.org", True), ("email", "ann at host dot org", True), ("email", "look at host.org", False),
+        ("email", "ann[at]host [dot] org", True), ("ip", "2001:db8:0:0:0:0:0:1", True), ("ip", "10:20:30:40", False), ("ip", "10.0.0.300", False),
+        ("card", "4111.1111.1111.1111", True), ("card", "4111.1111.1111.1112", False), ("phone", "(743) 555-3824", True),
+        ("phone", "(1743) 555-38242", True), ("phone", "0044 20 7946 0958", True), ("phone", "2123465659", False),
+        ("phone", "2024-01-15 1022", False),
+    ]
+    rows = spark.createDataFrame([(KINDS.index(k), m, w) for k, m, w in cases], "kind int, match string, wanted boolean")
+    told = rows.select("match", "wanted", meets_base(rows["kind"], canonical(rows["kind"], rows["match"])).alias("told"))
+    assert [(r["match"], r["told"]) for r in told.collect()] == [(m, w) for _, m, w in cases]
+
+
 # --- byte model
 
 
