@@ -183,7 +183,7 @@ def op8_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by the byte model and by word counts."""
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(table(spark, sf_dir, "documents"), whole_bytes=True)
 
 
 @query("""

@@ -25,8 +25,10 @@ TOGETHER, CHUNK, REMEMBERED = 1 << 20, 12 << 20, 200_000
 
 _SCHEMA = {
     "chunk": "long", "key": "long", "place": "int", "train": "long", "doc_id": "long", "held_out": "boolean",
-    "places": "array<int>", "times": "array<int>", "score": "double",
+    "places": "array<int>", "times": "array<int>", "score": "double", "cell": "long", "text": "binary",
 }
+#: A context's or a gram's number of bytes stands above its bytes in a cell.
+ABOVE = 40
 
 
 @lru_cache(maxsize=1)
@@ -215,6 +217,94 @@ def train(texts: DataFrame) -> Model:
     return Model(rows_of, lengths, np.log10(halves / totals[:, kinds]).reshape(-1))
 
 
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts laid end to end as for the classes: each byte after the ORDER bytes before it, oldest first; which are real."""
+    pad = b" " * ORDER
+    joined = np.frombuffer(pad + pad.join(texts), np.uint8).astype(np.int64)
+    grams = np.zeros(len(joined), np.int64)
+    for back in range(ORDER, -1, -1):
+        grams[ORDER:] = grams[ORDER:] << 8 | joined[ORDER - back : len(joined) - back]
+    lengths = np.array([len(t) for t in texts], np.int64) + ORDER
+    real = np.ones(len(joined), bool)
+    for k in range(ORDER):
+        real[np.cumsum(lengths) - lengths + k] = False
+    return grams, real
+
+
+def _cells(order: int, grams: np.ndarray) -> np.ndarray:
+    """The contexts of ``order`` bytes that stand before the grams' last bytes."""
+    return (grams >> 8 & (1 << 8 * order) - 1) | order << ABOVE
+
+
+def _gram_cells(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of a chunk: its grams with their counts in training texts, and its contexts of every order with 0."""
+    known, at = np.unique(grams, return_inverse=True)
+    counts = np.bincount(at, weights=train, minlength=len(known)).astype(np.int64)
+    contexts = np.concatenate([np.unique(_cells(k, known)) for k in range(ORDER + 1)])
+    cells = np.concatenate([known[counts > 0] | ORDER + 1 << ABOVE, contexts])
+    return cells, np.concatenate([counts[counts > 0], np.zeros(len(contexts), np.int64)])
+
+
+class Contexts:
+    """Rows of a corpus' contexts, as one chunk needs them, for prediction with escapes and exclusion.
+
+    What was seen after a context was also seen after every shorter one. So the symbols excluded at an order are those in the row of the
+    context one byte longer, and an order's remaining total is its own less what it counts for these.
+    """
+
+    def __init__(self, cells: np.ndarray, lengths: np.ndarray, packed: np.ndarray):
+        entries = np.repeat(cells, lengths) << 8 | packed & 255
+        order = np.argsort(entries)
+        entries, n = entries[order], (packed >> 8)[order]
+        ids, begins, distinct = np.unique(entries >> 8, return_index=True, return_counts=True)
+        orders = entries >> 8 + ABOVE
+        shorter = (orders - 1 << ABOVE | (entries >> 8) & (1 << 8 * np.maximum(orders - 1, 0)) - 1) << 8 | entries & 255
+        passed = np.where(orders > 0, n[np.minimum(np.searchsorted(entries, shorter), max(len(n) - 1, 0))], 0) if len(n) else n
+        sums = [np.add.reduceat(x, begins) if len(x) else x for x in (n, passed)]
+        # One more context that nothing asks for, so that every search ends on one.
+        self.ids, self.entries = np.append(ids, 1 << 62), np.append(entries, 1 << 62)
+        self.n, self.distinct, self.total, self.passed = (np.append(x, 0) for x in (n, distinct, *sums))
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of the grams' last bytes after those before."""
+        p, left, told = np.zeros(len(grams)), np.ones(len(grams)), np.zeros(len(grams), bool)
+        out_total, out_distinct = (np.zeros(len(grams), np.int64) for _ in range(2))
+        for k in range(ORDER, -1, -1):
+            cells = _cells(k, grams)
+            at = np.searchsorted(self.ids, cells)
+            found = self.ids[at] == cells
+            distinct = np.where(found, self.distinct[at], 0)
+            total = np.where(found, self.total[at], 0) - out_total
+            share = np.divide(left, total, out=np.zeros(len(grams)), where=total > 0)
+            place = np.searchsorted(self.entries, cells << 8 | grams & 255)
+            hit = (self.entries[place] == cells << 8 | grams & 255) & ~told
+            more = distinct < 256
+            p = np.where(hit, share * (self.n[place] - 0.5 * more), p)
+            left = np.where(total > 0, share * 0.5 * (distinct - out_distinct) * more, left)
+            told |= hit
+            out_total, out_distinct = np.where(found, self.passed[at], 0), distinct
+        return np.log10(np.where(told, p, left / np.maximum(256 - out_distinct, 1)))
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        grams, real = _grams(texts)
+        known, at = np.unique(grams, return_inverse=True)
+        lengths = np.array([len(t) + ORDER for t in texts], np.int64)
+        return np.add.reduceat(self.logs(known)[at] * real, np.cumsum(lengths) - lengths)
+
+
+def _corpus_rows(cells: DataFrame) -> DataFrame:
+    """Every context of the training texts (``cell``) and its ``row``: at most 256 counts, each above its symbol's byte."""
+    below = F.lit((1 << ABOVE) - 1).cast("long")
+    grams = cells.where("train > 0").select(F.col("cell").bitwiseAND(below).alias("gram"), "train")
+    grams = staged(grams.groupBy("gram").agg(F.sum("train").alias("n")), "ppm-grams")
+    entries = F.array(*(
+        F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1).cast("long")) + F.lit(k << ABOVE + 8).cast("long") for k in range(ORDER + 1)
+    ))
+    counted = grams.select(F.explode(entries).alias("entry"), "n").groupBy("entry").agg(F.sum("n").alias("n"))
+    packed = F.shiftleft("n", 8) + F.col("entry").bitwiseAND(F.lit(255).cast("long"))
+    return counted.groupBy(F.shiftright("entry", 8).alias("cell")).agg(F.collect_list(packed).alias("row"))
+
+
 class WordKeys(dict):
     """64-bit hashes of words, remembered by the worker; the empty word stands for a text's end."""
 
@@ -235,8 +325,10 @@ def word_keys(text: bytes) -> np.ndarray:
     return np.concatenate([np.fromiter(map(_keys.__getitem__, words), np.uint64, len(words)), _END])
 
 
-def _chunk_rows(chunk: int, keys: list[np.ndarray], held: list[bool], docs: pa.Array, scores: np.ndarray) -> pa.RecordBatch:
-    """A chunk's dictionary (key, place, how often its training texts hold it) and its documents (places, times)."""
+def _chunk_rows(
+    chunk: int, keys: list[np.ndarray], held: list[bool], docs: pa.Array, scores: pa.Array, cells: tuple[np.ndarray, np.ndarray], texts: pa.Array
+) -> pa.RecordBatch:
+    """A chunk's dictionary (key, place, how often its training texts hold it), its documents (places, times), its cells."""
     lengths = np.array([len(k) for k in keys], np.int64)
     known, places = np.unique(np.concatenate(keys), return_inverse=True)
     train = np.bincount(places[~np.repeat(np.array(held, bool), lengths)], minlength=len(known))
@@ -247,48 +339,71 @@ def _chunk_rows(chunk: int, keys: list[np.ndarray], held: list[bool], docs: pa.A
     n, m = len(known), len(keys)
     at = pa.ListArray.from_arrays(ends, pa.array((pairs % len(known)).astype(np.int32)))
     how = pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))
+    g = len(cells[0])
+
+    def spread(words, documents, grams) -> pa.Array:
+        kind = next(x.type for x in (words, documents, grams) if x is not None)
+        return pa.concat_arrays([pa.nulls(k, kind) if x is None else x for k, x in ((n, words), (m, documents), (g, grams))])
+
     columns = {
-        "chunk": pa.array(np.full(n + m, chunk, np.int64)),
-        "key": pa.concat_arrays([pa.array(known.view(np.int64)), pa.nulls(m, pa.int64())]),
-        "place": pa.concat_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(m, pa.int32())]),
-        "train": pa.concat_arrays([pa.array(train.astype(np.int64)), pa.nulls(m, pa.int64())]),
-        "doc_id": pa.concat_arrays([pa.nulls(n, docs.type), docs]),
-        "held_out": pa.concat_arrays([pa.nulls(n, pa.bool_()), pa.array(held, pa.bool_())]),
-        "places": pa.concat_arrays([pa.nulls(n, at.type), at]),
-        "times": pa.concat_arrays([pa.nulls(n, how.type), how]),
-        "score": pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(scores, pa.float64())]),
+        "chunk": pa.array(np.full(n + m + g, chunk, np.int64)),
+        "key": spread(pa.array(known.view(np.int64)), None, None),
+        "place": spread(pa.array(np.arange(n, dtype=np.int32)), None, None),
+        "train": spread(pa.array(train.astype(np.int64)), None, pa.array(cells[1])),
+        "doc_id": spread(None, docs, None),
+        "held_out": spread(None, pa.array(held, pa.bool_()), None),
+        "places": spread(None, at, None),
+        "times": spread(None, how, None),
+        "score": spread(None, scores, None),
+        "cell": spread(None, None, pa.array(cells[0])),
+        "text": spread(None, texts, None),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Chunks of consecutive documents: their words' dictionary and the documents with their model scores."""
+    """Chunks of consecutive documents: their words' dictionary and the documents with their model scores.
+
+    Without a model they have their texts and cells instead.
+    """
     base, seq = TaskContext.get().partitionId() << 32, 0
     keys: list[np.ndarray] = []
     held: list[bool] = []
     docs: list[pa.Array] = []
-    scores: list[np.ndarray] = []
+    scores: list[pa.Array] = []
+    texts: list[pa.Array] = []
+    grams: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def done() -> pa.RecordBatch:
-        return _chunk_rows(base + seq, keys, held, pa.concat_arrays(docs), np.concatenate(scores))
+        cells = _gram_cells(*map(np.concatenate, zip(*grams, strict=True))) if grams else (np.zeros(0, np.int64),) * 2
+        return _chunk_rows(base + seq, keys, held, pa.concat_arrays(docs), pa.concat_arrays(scores), cells, pa.concat_arrays(texts))
 
     for batch in batches:
         for at, some in _rounds(batch):
             keys += [word_keys(text) for text in some]
             held += batch.column("held_out").slice(at, len(some)).to_pylist()
             docs.append(batch.column("doc_id").slice(at, len(some)))
-            scores.append(shared.value.scores(some))
+            if shared is None:
+                scores.append(pa.nulls(len(some), pa.float64()))
+                texts.append(pa.array(some, pa.binary()))
+                codes, real = _grams(some)
+                known, at_known = np.unique(codes[real], return_inverse=True)
+                own = np.repeat(~np.array(held[-len(some) :], bool), [len(text) for text in some])
+                grams.append((known, np.bincount(at_known, weights=own, minlength=len(known))))
+            else:
+                scores.append(pa.array(shared.value.scores(some), pa.float64()))
+                texts.append(pa.nulls(len(some), pa.binary()))
             size += sum(map(len, some))
             if size >= CHUNK:
                 yield done()
-                keys, held, docs, scores, size, seq = [], [], [], [], 0, seq + 1
+                keys, held, docs, scores, texts, grams, size, seq = [], [], [], [], [], [], 0, seq + 1
     if keys:
         yield done()
 
 
 def score_texts(
-    docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", whole_bytes: bool = False
 ) -> DataFrame:
     """log10 probabilities of all whole texts by the pretrained byte model, and by word counts for comparison.
 
@@ -298,6 +413,10 @@ def score_texts(
     over total and distinct), and shorter contexts exclude the symbols already passed over. A byte costs its class, then itself
     within the class by the class before. ``score`` is the sum over a text's bytes, a proper probability.
 
+    With ``whole_bytes`` the symbols are the 256 bytes and the contexts up to four real bytes, as many as the corpus has. Each chunk of
+    documents sends its counts and the list of its contexts, and gets back the corpus' rows of these, as it does for words;
+    no model is broadcast, and code lengths are doubles.
+
     ``base_score`` sums ``log10((c + 0.5) / (N + 0.5 (V + 1)))`` over the words (A-Z lower-cased) and one end of text. Word counts
     are no table that could be broadcast: each chunk of documents sends its dictionary to meet the corpus' counts, every word
     once, and gets back its own part. Words meet by 64-bit hashes.
@@ -314,8 +433,10 @@ def score_texts(
         (crc_bucket(docs[id_col], folds) == held_out).alias("held_out"),
         F.coalesce(docs[text_col], F.lit("")).alias("text"),
     )
-    with dropped_afterwards(spark):
-        shared = spark.sparkContext.broadcast(train(rows.where("NOT held_out").select("text")))
+    shared = None
+    if not whole_bytes:
+        with dropped_afterwards(spark):
+            shared = spark.sparkContext.broadcast(train(rows.where("NOT held_out").select("text")))
     kinds = ", ".join(f"{name} {kind}" for name, kind in _SCHEMA.items())
     chunks = staged(rows.mapInArrow(lambda batches: _chunks(batches, shared), kinds), "ppm-chunks")
     words = chunks.where("key IS NOT NULL").select("chunk", "key", "place", "train")
@@ -323,9 +444,22 @@ def score_texts(
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     all_tokens, floor = totals["n"], totals["n"] + 0.5 * (totals["v"] + 1)
     mine = words.select(F.col("chunk").alias("own_chunk"), "key", "place").join(counts, "key").select("own_chunk", "place", "c")
-    texts = chunks.where("key IS NULL").select("chunk", "doc_id", "held_out", "places", "times", "score")
+    mine = mine.withColumns({"cell": F.lit(None).cast("long"), "row": F.lit(None).cast("array<long>")})
+    if whole_bytes:
+        cells = chunks.where("cell IS NOT NULL").select("chunk", "cell", "train")
+        asked = cells.where("train = 0").select(F.col("chunk").alias("own_chunk"), "cell").join(_corpus_rows(cells), "cell")
+        mine = mine.unionByName(asked, allowMissingColumns=True)
+    texts = chunks.where("key IS NULL AND cell IS NULL").select("chunk", "doc_id", "held_out", "places", "times", "score", "text")
 
     def total(documents, dictionary):
+        contexts = dictionary.filter(pc.is_valid(dictionary.column("cell")))
+        dictionary = dictionary.filter(pc.is_valid(dictionary.column("place")))
+        score = documents.column("score")
+        if whole_bytes:
+            rows_of = contexts.column("row").combine_chunks()
+            model = Contexts(contexts.column("cell").to_numpy(), pc.list_value_length(rows_of).to_numpy(), rows_of.flatten().to_numpy())
+            own = [x for batch in documents.select(["text"]).to_batches() for _, some in _rounds(batch) for x in model.scores(some)]
+            score = pa.array(own, pa.float64())
         c = np.zeros(len(dictionary), np.int64)
         c[dictionary.column("place").to_numpy()] = dictionary.column("c").to_numpy()
         logs = np.log10((c + 0.5) / floor)
@@ -339,7 +473,7 @@ def score_texts(
                 "doc_id": documents.column("doc_id"), "held_out": documents.column("held_out"),
                 "n_tokens": pa.array(summed[0].astype(np.int64)), "n_known": pa.array(summed[1].astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(lengths), all_tokens, np.int64)),
-                "base_score": pa.array(summed[2].astype(np.float64)), "score": documents.column("score"),
+                "base_score": pa.array(summed[2].astype(np.float64)), "score": score,
             }
         )
 

@@ -241,6 +241,42 @@ def test_scores_equal_a_slow_model(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(words[w] > 0 for w in tokens), total)
 
 
+def test_whole_bytes_equal_a_slow_model(spark):
+    """Real bytes as contexts: digits, cases and lead bytes are told apart, and the code lengths are not rounded."""
+    texts = ["the cat sat 11 12 13", "The hat, the mat.", "été à la мера", "", "cat cat 42!", "x" * 40, "日本語の日本 語"] * 3
+    rows = [*enumerate(texts), (100, None), (101, "the cat sat on 19 mats; élan 日の"), (102, "the cat sat on 19 mats; élan 日の")]
+    counts = {}
+
+    def walk(text):
+        data = b" " * ppm.ORDER + (text or "").encode()
+        return [(data[k - ppm.ORDER : k], data[k]) for k in range(ppm.ORDER, len(data))]
+
+    def chance(past, byte):
+        excluded, left = set(), 1.0
+        for k in range(ppm.ORDER + 1):
+            own = {s: n for s, n in counts.get(past[k:], {}).items() if s not in excluded}
+            if own:
+                if byte in own:
+                    return left * (own[byte] - 0.5) / sum(own.values())
+                left *= 0.5 * len(own) / sum(own.values())
+                excluded |= own.keys()
+        return left / (256 - len(excluded))
+
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for past, byte in walk(text):
+                for k in range(ppm.ORDER + 1):
+                    row = counts.setdefault(past[k:], Counter())
+                    row[byte] += 1
+    out = {r.doc_id: r.score for r in score_texts(docs(spark, rows), whole_bytes=True).collect()}
+    for i, text in rows:
+        assert out[i] == pytest.approx(sum(math.log10(chance(*step)) for step in walk(text)), abs=1e-9)
+    assert sum(chance(b"cat ", byte) for byte in range(256)) == pytest.approx(1)
+    lone = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 5 == 1)
+    assert score_texts(docs(spark, [(lone, "ab")]), whole_bytes=True).first().score == pytest.approx(2 * math.log10(1 / 256))
+    assert score_texts(docs(spark, []), whole_bytes=True).count() == 0
+
+
 def test_model_odd_rows(spark):
     rows = [(None, "word " * 9), (1, None), (2, "tail " * 200_000), (2, "tail " * 200_000), (3, "퟿ ok"), (7, " ")]
     out = score_texts(docs(spark, rows)).collect()
