@@ -18,6 +18,8 @@ LINK, NEAR = 0.98, 0.9
 LIST, REACH, ORDERS = 12, 8, 8
 #: Recall that the audit asks for, queries it takes, rounds at most before the rest is compared in blocks.
 RECALL, QUERIES, ROUNDS = 0.97, 400, 4
+#: Queries with true links that the audit wants to see outside the dense components; times its queries double for that.
+LINKED, DOUBLED = 100, 3
 #: Vectors in a block of those that are compared with all of a group.
 BLOCK = 512
 
@@ -179,32 +181,67 @@ def _audit(batches: Iterator[pa.RecordBatch], queries: list[tuple[int, int, byte
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["vec", "links"])
 
 
-def counted_links(graph: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of each vector (``vec``, ``links``, copies counted) and edges that give the components.
-
-    A list that is full of links may be too short: the vector's component then takes the place of the list, and all
-    its vectors are compared block against block.
-    """
+def dense_members(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of a graph, and the vectors (``team``, ``vec``) of the components in which some list is full of links."""
     links = staged(graph.where(F.col("cosine") >= LINK).select("u", "v"), "nn-links")
     member = components(links, "nn-components")
     full = both_ways(links.withColumn("cosine", F.lit(1.0))).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= LIST)
     dense = staged(member.join(full, F.col("node") == F.col("u")).select("component").distinct(), "nn-dense")
-    inside = member.join(dense, "component").select(F.col("component").alias("team"), F.col("node").alias("vec"))
+    return links, staged(member.join(dense, "component").select(F.col("component").alias("team"), F.col("node").alias("vec")), "nn-inside")
+
+
+def outside(links: DataFrame, inside: DataFrame) -> DataFrame:
+    return links.join(inside.select(F.col("vec").alias("u")), "u", "left_anti")
+
+
+def counted_links(links: DataFrame, inside: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of each vector (``vec``, ``links``, copies counted, whether it is in a dense component) and edges that give the components.
+
+    A list that is full of links may be too short: the vector's component then takes the place of the list, and all
+    its vectors are compared block against block.
+    """
     again = staged(blockwise(inside.join(vectors, "vec").select("team", "vec", "unit", "copies")), "nn-counts")
-    loose = links.join(inside.select(F.col("vec").alias("u")), "u", "left_anti")
     weights = vectors.select(F.col("vec").alias("v"), "copies")
-    plain = both_ways(loose.withColumn("cosine", F.lit(1.0))).join(weights, "v").groupBy(F.col("u").alias("vec")).agg(F.sum("copies").alias("links"))
-    counts = plain.union(again.groupBy("vec").agg(F.sum("links").alias("links")))
+    plain = both_ways(outside(links, inside).withColumn("cosine", F.lit(1.0))).join(weights, "v").groupBy(F.col("u").alias("vec")).agg(F.sum("copies").alias("links"))
+    counts = plain.withColumn("dense", F.lit(False)).union(again.groupBy("vec").agg(F.sum("links").alias("links")).withColumn("dense", F.lit(True)))
     return staged(counts, "nn-found"), links.union(again.select("vec", "least"))
 
 
 def recall(counts: DataFrame, vectors: DataFrame) -> float:
-    """Share of the links of some vectors, drawn by a hash, that are among those counted; against all vectors by brute force."""
-    draw = F.xxhash64("vec", F.lit(5))
-    queries = [tuple(r) for r in vectors.orderBy(draw, "vec").limit(QUERIES).select("vec", "grp", "unit").collect()]
-    true = vectors.mapInArrow(lambda batches: _audit(batches, queries), "vec long, links long").groupBy("vec").agg(F.sum("links").alias("true"))
-    both = true.join(counts, "vec", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
-    return both["f"] / both["t"] if both["t"] else 1.0
+    """Mean over vectors that have true links of the share that was counted, by brute force for vectors drawn by a hash.
+
+    Drawn apart: vectors of dense components, others with links, others without. The first speak for themselves, the
+    rest by their numbers; the smaller of both means is given. Outside the dense components queries double until enough have true links.
+    """
+    known = vectors.join(counts, "vec", "left").withColumn("stratum", F.when(F.col("dense"), 0).when(F.col("links") > 0, 1).otherwise(2))
+    known = staged(known.select("vec", "grp", "unit", "stratum", F.coalesce("links", F.lit(0)).alias("links")), "nn-audit")
+    sizes = {r["stratum"]: r["count"] for r in known.groupBy("stratum").count().collect()}
+    means: dict[int, tuple[float, int, int]] = {}
+
+    def seen(stratum: int, n: int) -> None:
+        """Sum of the queries' shares, how many have true links, how many there are."""
+        drawn = known.where(F.col("stratum") == stratum).orderBy(F.xxhash64("unit", F.lit(5)), "vec").limit(n).collect()
+        queries, found = [(r["vec"], r["grp"], r["unit"]) for r in drawn], {r["vec"]: r["links"] for r in drawn}
+        true = vectors.mapInArrow(lambda batches: _audit(batches, queries), "vec long, links long").groupBy("vec").agg(F.sum("links").alias("true"))
+        shares = [found[r["vec"]] / r["true"] for r in true.where(F.col("true") > 0).collect()]  # at most one for each query
+        means[stratum] = sum(shares), len(shares), len(drawn)
+
+    if sizes.get(0):
+        seen(0, QUERIES // 4)
+    for turn in range(DOUBLED + 1):
+        for stratum in {1, 2} & sizes.keys():
+            n = QUERIES * 3 // 8 << turn
+            if stratum not in means or means[stratum][2] < sizes[stratum]:
+                seen(stratum, n)
+        if sum(means[k][1] for k in (1, 2) if k in means) >= LINKED:
+            break
+    told = []
+    for strata in ((0,), (1, 2)):
+        weights = {k: sizes[k] / means[k][2] for k in strata if k in means}
+        linked = sum(w * means[k][1] for k, w in weights.items())
+        if linked:
+            told.append(sum(w * means[k][0] for k, w in weights.items()) / linked)
+    return min(told, default=1.0)
 
 
 def near_duplicate_vectors(
@@ -214,10 +251,10 @@ def near_duplicate_vectors(
 
     Equal vectors of a label are one node with its number of copies. The first graph comes from sorted orders by
     hashed projections. Then, as in NN-descent, vectors in the list of a common neighbour are compared, round
-    by round, until a round finds hardly any new link. Lists that are full of links are enlarged to their whole component, in
+    by round, until a round finds hardly any new link outside the dense components. Lists that are full of links are enlarged to their whole component, in
     which all vectors are compared block against block; nothing but counts and one link per vector and block leaves a
-    task, so a group of near copies is never written out as pairs. An audit compares some vectors with all others; below
-    a recall of 0.97 new orders are added, and after four such rounds groups of one label are compared in blocks throughout,
+    task, so a group of near copies is never written out as pairs. An audit compares some vectors with all others, those in
+    dense components and the rest apart, each vector with links counting the same; below a recall of 0.97 new orders are added, and after four such rounds groups of one label are compared in blocks throughout,
     which is exact. Every reported link is checked in double precision.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label or an id, link with
@@ -252,11 +289,12 @@ def _near_duplicate_vectors(embeddings: DataFrame, id_col: str, vector_col: str,
     counts, edges = None, None
     for turn in range(ROUNDS):
         for _ in range(2 + turn):
-            before = graph.where(F.col("cosine") >= LINK).count()
+            before = graph.where(F.col("cosine") >= LINK)
             graph = merged(graph.union(neighbours_of_neighbours(graph, vectors)))
-            if graph.where(F.col("cosine") >= LINK).count() <= 1.01 * before:
+            links, inside = dense_members(graph)
+            if outside(links, inside).count() <= 1.01 * outside(before, inside).count():
                 break
-        counts, edges = counted_links(graph, vectors)
+        counts, edges = counted_links(links, inside, vectors)
         if recall(counts, vectors) >= RECALL:
             break
         graph = merged(graph.union(sorted_neighbours(vectors, bits, turn + 1)))

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from reportloom.llm.catalog import ORACLES, QUERIES
-from reportloom.llm.embed_dedup import near_duplicate_vectors
+from reportloom.llm.embed_dedup import near_duplicate_vectors, recall
 from reportloom.llm.ngram_join import near_duplicates, prefix_length, without_near_duplicates
 from reportloom.llm.packing import hilbert, pack, sequences, tail_lengths
 
@@ -220,6 +220,20 @@ def test_vector_links(spark):
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_audit_sees_small_groups_beside_a_hot_one(spark):
+    """Every link of the hot group is counted, none of the pairs'; and links are looked for where the first draw holds none."""
+    rng = np.random.default_rng(5)
+    units = [x / np.linalg.norm(x) for x in rng.normal(size=(400, 24))]
+    hot = [np.eye(24)[0] + rng.normal(size=24) * 0.005 for _ in range(200)]
+    nodes = [x / np.linalg.norm(x) for x in hot] + [x for x in units for _ in range(2)]
+    rows = [(k, 1, 0, x.astype("<f8").tobytes()) for k, x in enumerate(nodes)]
+    vectors = spark.createDataFrame(rows, "vec long, copies long, grp long, unit binary")
+    found = spark.createDataFrame([(k, 199, True) for k in range(200)], "vec long, links long, dense boolean")
+    assert recall(found, vectors) == 0.0
+    whole = found.union(spark.createDataFrame([(k, 1, False) for k in range(200, 1000)], "vec long, links long, dense boolean"))
+    assert recall(whole, vectors) == 1.0
+
+
 # --- pipeline and registration
 
 
