@@ -275,13 +275,13 @@ def _near_duplicate_vectors(embeddings: DataFrame, id_col: str, vector_col: str,
     )
     units = staged(rows.mapInArrow(_units, "vec_id long, label string, unit binary"), "nn-units")
     usable = units.where("unit IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
-    vectors = usable.groupBy("label", "unit").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"))
-    # An id that is there with several vectors is one node for each of them no longer: the smallest vector speaks for it.
+    vectors = usable.groupBy("label", "unit").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    # Nodes are numbered, as an id may be there with several vectors.
     vectors = staged(
         vectors.select(
-            "vec", "copies", "label", "unit", F.octet_length("unit").alias("size"),
+            F.monotonically_increasing_id().alias("vec"), "first", "copies", "label", "unit", F.octet_length("unit").alias("size"),
             F.xxhash64("label", F.octet_length("unit")).alias("grp"),
-        ).dropDuplicates(["vec"]),
+        ),
         "nn-vectors",
     )
     bits = max(4, min(40, int(math.log2(max(2, vectors.count()))) - 3))
@@ -302,10 +302,12 @@ def _near_duplicate_vectors(embeddings: DataFrame, id_col: str, vector_col: str,
         again = staged(blockwise(vectors.select(F.col("grp").alias("team"), "vec", "unit", "copies")), "nn-exact")
         counts, edges = again.groupBy("vec").agg(F.sum("links").alias("links")), again.select(F.col("vec").alias("u"), F.col("least").alias("v"))
     member = components(edges.toDF("u", "v"), "nn-components")
-    known = vectors.join(counts, "vec", "left").join(member.withColumnRenamed("node", "vec"), "vec", "left")
+    named = member.withColumnRenamed("node", "vec").join(vectors.select("vec", "first"), "vec")
+    named = member.join(named.groupBy("component").agg(F.min("first").alias("least")), "component").select(F.col("node").alias("vec"), "least")
+    known = vectors.join(counts, "vec", "left").join(named, "vec", "left")
     known = known.select(
-        F.col("label").alias("l"), F.col("unit").alias("x"), F.col("vec").alias("rep"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "vec").alias("component"),
+        F.col("label").alias("l"), F.col("unit").alias("x"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("least", "first").alias("component"),
     )
     told = units.join(known, (F.col("label") == F.col("l")) & (F.col("unit") == F.col("x")) & F.col("vec_id").isNotNull(), "left")
     return told.select(

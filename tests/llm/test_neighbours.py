@@ -220,6 +220,14 @@ def test_vector_links(spark):
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_an_id_with_several_vectors_keeps_all_classes(spark):
+    u1, u2, u3 = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, u1), (5, u2), (8, u2), (9, u2), (5, u3), (7, u3)]
+    df = spark.createDataFrame([(i, v, "1") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    out = sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect())
+    assert out == [(5, 0, 5), (5, 1, 5), (5, 2, 5), (7, 1, 5), (8, 2, 5), (9, 2, 5)]
+
+
 def test_audit_sees_small_groups_beside_a_hot_one(spark):
     """Every link of the hot group is counted, none of the pairs'; and links are looked for where the first draw holds none."""
     rng = np.random.default_rng(5)
