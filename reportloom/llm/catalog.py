@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.catalog.registry import Query
-from reportloom.llm.common import UPPER
+from reportloom.llm.common import UPPER, ascii_lower, crc_bucket
 from reportloom.llm.embed_dedup import near_duplicate_vectors
 from reportloom.llm.exact_dedup import exact_groups
+from reportloom.llm.merkle import folded, leaf_digest, manifest, siblings
 from reportloom.llm.mixing import mix
 from reportloom.llm.ngram_join import near_duplicates
 from reportloom.llm.packing import pack
@@ -19,6 +20,19 @@ from reportloom.llm.ppm import score_texts
 from reportloom.llm.toxicity import toxicity
 from reportloom.llm.url_filter import Rule, judge
 
+#: SQL for the unsigned crc32 of a list of bytes; ``crc_table`` holds the 256 remainders of single bytes.
+_CRC_TABLE_SQL = """
+    crc_table AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                   lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of an ASCII text, beside ``crc_table``."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    step = "xor(t[(xor(c, b) & 255) + 1], c >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295::BIGINT)"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -205,3 +219,78 @@ def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings with a cosine of at least 0.98."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Levels of the trees in SQL, enough for 16**6 documents a source and as many sources.
+_LEVELS = 6
+
+
+def _tree_sql(tree: str, leaves: str) -> str:
+    """CTEs of a tree's levels over ``leaves`` (g, idx, digest): what stands around each node of a run, and the level above."""
+    parts = [f"{tree}0 AS (SELECT g, idx, digest, count(*) OVER (PARTITION BY g) AS n FROM {leaves})"]
+    for k in range(_LEVELS):
+        over = "OVER (PARTITION BY g, idx // 16 ORDER BY idx ROWS BETWEEN"
+        parts.append(
+            f"""{tree}_around{k} AS (
+        SELECT g, idx, n > 1 AS hashed,
+               coalesce(string_agg(digest, '') {over} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+               coalesce(string_agg(digest, '') {over} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+        FROM {tree}{k})"""
+        )
+        parts.append(
+            f"""{tree}{k + 1} AS (
+        SELECT g, idx // 16 AS idx, CASE WHEN n = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY idx)) END AS digest,
+               (n + 15) // 16 AS n
+        FROM {tree}{k} GROUP BY g, idx // 16, n)"""
+        )
+    return ",\n    ".join(parts)
+
+
+def _fold_sql(rows: str, tree: str, k: int) -> str:
+    """Rows (g, idx, f, proof, ...) one level up the tree."""
+    return f"""{rows}{k + 1} AS (
+        SELECT r.* REPLACE (r.idx // 16 AS idx, CASE WHEN a.hashed THEN sha256(a.before || r.f || a.after) ELSE r.f END AS f,
+                            r.proof || a.before || a.after AS proof)
+        FROM {rows}{k} r JOIN {tree}_around{k} a ON r.g IS NOT DISTINCT FROM a.g AND r.idx = a.idx)"""
+
+
+def _written_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+_LEAF_SQL = "sha256(" + " || ".join(map(_written_sql, ["doc_id", "source", "lang", "n_chars", "{text}"])) + ")"
+
+
+@query(f"""
+    WITH {_CRC_TABLE_SQL},
+    docs AS (
+        SELECT doc_id, source AS g, {_LEAF_SQL.format(text="text")} AS leaf,
+               {_LEAF_SQL.format(text=f"translate(text, '{UPPER}', '{UPPER.lower()}')")} AS changed,
+               coalesce({_crc_sql("doc_id::VARCHAR")} % 5 = 0, false) AS tampered
+        FROM documents, crc_table),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM docs),
+    leaves AS (SELECT g, idx, leaf AS digest FROM placed),
+    {_tree_sql("own", "leaves")},
+    subroots AS (SELECT 0 AS g, g AS source, row_number() OVER (ORDER BY g IS NOT NULL, encode(g)) - 1 AS idx, digest FROM own{_LEVELS}),
+    {_tree_sql("top", "subroots")},
+    up0 AS (SELECT doc_id, leaf, g, idx, CASE WHEN tampered THEN changed ELSE leaf END AS f, '' AS proof FROM placed),
+    {", ".join(_fold_sql("up", "own", k) for k in range(_LEVELS))},
+    across0 AS (
+        SELECT u.doc_id, u.leaf, s.digest AS subroot, 0 AS g, s.idx, u.f, u.proof
+        FROM up{_LEVELS} u JOIN subroots s ON u.g IS NOT DISTINCT FROM s.source),
+    {", ".join(_fold_sql("across", "top", k) for k in range(_LEVELS))}
+    SELECT a.doc_id, a.leaf, a.subroot, t.digest AS root, sha256(a.proof) AS proof_sha256, a.f AS folded_root, a.f = t.digest AS verified
+    FROM across{_LEVELS} a, top{_LEVELS} t
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, folded again from the leaves of tampered ones."""
+    docs = table(spark, sf_dir, "documents")
+    columns = [docs[c] for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = docs["doc_id"].isNotNull() & (crc_bucket(docs["doc_id"], 5) == 0)
+    proofs = manifest(docs, carried={"changed": F.when(tampered, leaf_digest([*columns, ascii_lower(docs["text"])]))})
+    root = folded(F.coalesce("changed", "leaf"), F.col("proof"))
+    found = proofs.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(F.array_join(siblings(F.col("proof")), ""), 256).alias("proof_sha256"), root.alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
