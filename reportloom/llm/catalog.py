@@ -17,6 +17,7 @@ from reportloom.llm.packing import pack
 from reportloom.llm.pii import KINDS, personal_data, written
 from reportloom.llm.token_counts import over_limit, token_counts
 from reportloom.llm.ppm import score_texts
+from reportloom.llm.spelling import spelling_variants, without_letter, word_counts
 from reportloom.llm.toxicity import toxicity
 from reportloom.llm.url_filter import Rule, judge
 
@@ -28,8 +29,8 @@ _CRC_TABLE_SQL = """
 
 
 def _crc_sql(text: str) -> str:
-    """crc32 of an ASCII text, beside ``crc_table``."""
-    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    """crc32 of a text in UTF-8, beside ``crc_table``."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
     step = "xor(t[(xor(c, b) & 255) + 1], c >> 8)"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295::BIGINT)"
 
@@ -294,3 +295,42 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(siblings(F.col("proof")), ""), 256).alias("proof_sha256"), root.alias("folded_root"),
     )
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query(f"""
+    WITH RECURSIVE {_CRC_TABLE_SQL},
+    runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[A-Za-zÀ-ÿ]+')) AS run
+        FROM documents),
+    met AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+    hashed AS (SELECT run, c, {_crc_sql("doc_id::VARCHAR || ':' || run")} AS h FROM met, crc_table),
+    changed AS (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c
+        FROM hashed),
+    words AS (SELECT word, sum(c)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+    places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+    cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM places),
+    near AS (
+        SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+        UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+    best AS (
+        SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS k
+        FROM near),
+    formed AS (
+        SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form,
+               CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n
+        FROM words w LEFT JOIN best b ON b.word = w.word AND b.k = 1),
+    chain(word, last) AS (
+        SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.last WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, c.last AS root, f.n, f.n_near, f.form_n
+    FROM formed f JOIN chain c ON c.word = f.word JOIN formed e ON e.word = c.last AND e.form IS NULL
+""")
+def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words, some of whose occurrences lose a letter."""
+
+    def change(doc_id: Column, run: Column) -> Column:
+        h = F.crc32(F.concat(doc_id, F.lit(":"), run).cast("binary"))
+        return F.when(h % 97 == 0, without_letter(run, h % F.char_length(run))).otherwise(run)
+
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), change))
