@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.catalog.registry import Query
+from reportloom.llm.bpe import decode, encode
 from reportloom.llm.common import UPPER, ascii_lower, crc_bucket
 from reportloom.llm.embed_dedup import near_duplicate_vectors
 from reportloom.llm.exact_dedup import exact_groups
@@ -334,3 +335,16 @@ def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(h % 97 == 0, without_letter(run, h % F.char_length(run))).otherwise(run)
 
     return spelling_variants(word_counts(table(spark, sf_dir, "documents"), change))
+
+
+@query()
+def op11_pair_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the byte-level vocabulary, and the text they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids",
+    )
+    return decode(ids, path, text_col="decoded").select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
