@@ -17,12 +17,20 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from reportloom.llm.common import ship_code
 
-#: Unicode's white space, and how the vocabulary's tokenizer cuts a text into pieces.
+#: Unicode's white space, and (below) how the vocabulary's tokenizer cuts a text into pieces.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
-#: Units a worker remembers, and the longest of them in characters; bounds its memory, changes no result.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+
+def _piece(letters: str, digits: str) -> str:
+    return (
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{SPACES}{letters}{digits}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+    )
+
+
+#: Pieces a worker remembers (twice as many at most), and the longest of them in characters; bounds its memory, changes no result.
+REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+#: Bytes from which a piece is merged alone, and shorter pieces merged together.
+LONG_PIECE, ROWS = 64, 1 << 13
 #: Bytes of text or ids that a worker holds as Python objects at once (a longer text is held alone).
 TOGETHER = 4 << 20
 
@@ -90,6 +98,86 @@ def merged(ids: list[int], ranks: dict[tuple[int, int], int], results: Sequence[
     return [i for i in ids if i >= 0]
 
 
+class PairTable:
+    """Ranks of adjacent pairs, looked up for whole arrays, and the ids that their merges make."""
+
+    def __init__(self, ranks: dict[tuple[int, int], int], results: Sequence[int]):
+        self.ranks, self.results = ranks, list(results)
+        self.width = 1 + max([0, *self.results, *(i for pair in ranks for i in pair)])
+        keys = np.array([a * self.width + b for a, b in ranks], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[order], np.array(list(ranks.values()), np.int64)[order]
+        self.made = np.array(self.results, np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs; the number of merges where a pair has none or one side is negative."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self.key_ranks[at], len(self.results))
+
+
+def merged_rows(symbols: np.ndarray, table: PairTable) -> np.ndarray:
+    """``merged`` for many short pieces at once: rows of ids with -1 behind their ends, one segment tree a row.
+
+    Each round takes the next merge off the root of every tree that has one. Returns the rows with -1 where a symbol went
+    into its neighbour. Rows have a power of two plus one columns.
+    """
+    rows, columns = symbols.shape
+    size = columns - 1
+    shift, none = size.bit_length() - 1, len(table.results) << (size.bit_length() - 1)
+    ids = np.concatenate([symbols, np.full((rows, 1), -1)], 1).astype(np.int64)
+    tree = np.empty((rows, 2 * size), np.int64)
+    tree[:, size:] = (table.of(ids[:, :size], ids[:, 1:columns]) << shift) + np.arange(size)
+    for node in range(size - 1, 0, -1):
+        np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1], out=tree[:, node])
+    # Column ``columns`` of the symbols stands behind all ends; column 0 of ``before`` has nothing before it.
+    after = np.tile(np.arange(1, columns + 2), (rows, 1))
+    before = np.tile(np.arange(-1, columns), (rows, 1))
+    open_ = np.arange(rows)
+    while True:
+        root = tree[open_, 1]
+        going = root < none
+        if not going.any():
+            return ids[:, :columns]
+        open_, root = open_[going], root[going]
+        place, made = root & (size - 1), table.made[root >> shift]
+        gone = after[open_, place]
+        follower = after[open_, gone]
+        leader = before[open_, place]
+        ids[open_, place], ids[open_, gone] = made, -1
+        after[open_, place] = follower
+        before[open_, np.minimum(follower, columns)] = place
+        leading = np.where(leader >= 0, ids[open_, leader], -1)
+        # Three leaves change: the one that is gone, the merged symbol's own and its leader's. Without a leader the
+        # own one is written again, and so where the last symbol, which has no leaf, is gone.
+        own = (table.of(made, ids[open_, np.minimum(follower, columns)]) << shift) + place
+        nodes = np.stack([np.where(gone < size, gone, place), np.where(leader >= 0, leader, place), place]) + size
+        tree[open_, nodes[0]] = none
+        tree[open_, nodes[1]] = (table.of(leading, made) << shift) + leader
+        tree[open_, nodes[2]] = own
+        for _ in range(shift):
+            nodes >>= 1
+            tree[open_, nodes] = np.minimum(tree[open_, 2 * nodes], tree[open_, 2 * nodes + 1])
+
+
+def _coded(strings: list[str]) -> tuple[list[str], np.ndarray]:
+    """The different ones among the strings, and for each string its place among them."""
+    coded = pa.array(strings, pa.large_string()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[starts[c]:starts[c + 1]]`` one behind the other, and where each begins."""
+    begins, lengths = starts[codes], starts[codes + 1] - starts[codes]
+    at = _starts(lengths)
+    return flat[np.repeat(begins - at[:-1], lengths) + np.arange(at[-1])], at
+
+
 class BytePairs:
     """A vocabulary of byte-level BPE as the tokenizers library writes it, with its merges and added tokens."""
 
@@ -106,9 +194,9 @@ class BytePairs:
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
         vocabulary, letters = model["vocab"], byte_letters()
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {(vocabulary[a], vocabulary[b]): rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
-        self.results = [vocabulary[a + b] for a, b in pairs]
-        self.of_byte = [vocabulary[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
+        ranks = {(vocabulary[a], vocabulary[b]): rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.table = PairTable(ranks, [vocabulary[a + b] for a, b in pairs])
+        self.of_byte = np.array([vocabulary[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int64)
         self.special = {t["content"]: t["id"] for t in added}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
@@ -117,33 +205,71 @@ class BytePairs:
             known = all(c in letters for c in name)
             self.bytes_of[i] = bytes(letters[c] for c in name) if known else name.encode()
         self.kind = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        # No piece goes on from a character to white space behind it, so units are encoded on their own.
+        # Pieces met of late, and those met before them.
+        self.made_special = {name: np.array([i], self.kind).tobytes() for name, i in self.special.items()}
+        self.known, self.older = dict(self.made_special), {}
+        # No piece goes on from a character to white space behind it, so a text can be cut into units there.
         self.unit = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-        self.piece = regex.compile(PIECE)
-
-    def _unit_ids(self, unit: str) -> bytes:
-        out: list[int] = []
-        parts = self.cut_special.split(unit) if self.special else [unit]
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self.special[part])
-            else:
-                for piece in self.piece.findall(part):
-                    out += merged([self.of_byte[b] for b in piece.encode()], self.ranks, self.results)
-        return np.array(out, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of the texts as little-endian numbers of ``kind``; units met before are looked up."""
-        cut = [self.unit.findall(text) for text in texts]
-        new = {u for units in cut for u in units} - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {u for units in cut for u in units}
-        found = {u: self._unit_ids(u) for u in new}
-        self.known |= {u: ids for u, ids in found.items() if len(u) <= REMEMBERED_CHARS}
-        get = self.known.get
-        return [b"".join([get(u) or found[u] for u in units]) for units in cut]
+        self.piece = regex.compile(_piece(r"\p{L}", r"\p{N}"))
+        self.ascii_piece = re.compile(_piece("a-zA-Z", "0-9"))
+
+    def _merge_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces with their ids, each merged on its own: short ones of a size together, long ones one by one."""
+        raw = [piece.encode() for piece in pieces]
+        lengths = np.array(list(map(len, raw)), np.int64)
+        for k in np.flatnonzero(lengths > LONG_PIECE).tolist():
+            ids = merged(self.of_byte[np.frombuffer(raw[k], np.uint8)].tolist(), self.table.ranks, self.table.results)
+            yield pieces[k], np.array(ids, self.kind).tobytes()
+        # The least tree that a piece of n bytes, with n - 1 pairs, fits into.
+        sizes = np.array([1 << max(0, n - 2).bit_length() for n in range(LONG_PIECE + 1)])[np.minimum(lengths, LONG_PIECE)]
+        for size in np.unique(sizes).tolist():
+            chosen = np.flatnonzero((lengths <= LONG_PIECE) & (sizes == size))
+            for begin in range(0, len(chosen), ROWS):
+                some = chosen[begin : begin + ROWS]
+                padded = np.frombuffer(b"".join([raw[k].ljust(size + 1, b"\0") for k in some.tolist()]), np.uint8).reshape(-1, size + 1)
+                ids = np.where(np.arange(size + 1) < lengths[some, None], self.of_byte[padded], -1)
+                ids = merged_rows(ids, self.table)
+                ends = np.cumsum((ids >= 0).sum(1)) * self.kind.itemsize
+                flat = ids[ids >= 0].astype(self.kind).tobytes()
+                at = 0
+                for k, end in zip(some.tolist(), ends.tolist(), strict=True):
+                    yield pieces[k], flat[at:end]
+                    at = end
+
+    def _pieces_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces; those met of late are looked up."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, dict(self.made_special)
+        known, older = self.known.get, self.older.get
+        found = [known(p) or older(p) for p in pieces]
+        new = dict(self._merge_pieces([p for p, ids in zip(pieces, found, strict=True) if ids is None]))
+        self.known.update((p, ids) for p, ids in zip(pieces, found, strict=True) if ids)
+        self.known.update((p, ids) for p, ids in new.items() if len(p) <= REMEMBERED_CHARS)
+        return [ids or new[p] for p, ids in zip(pieces, found, strict=True)]
+
+    def _cut(self, unit: str) -> list[str]:
+        """The pieces of a unit; special tokens are pieces of their own."""
+        if self.special and self.cut_special.search(unit):
+            parts = self.cut_special.split(unit)
+            return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.piece.findall(part))]
+        return self.ascii_piece.findall(unit) if unit.isascii() else self.piece.findall(unit)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and where each text's begin and the last one's end.
+
+        Each unit and each piece is looked at once, however often it stands in the texts.
+        """
+        units = [self.unit.findall(text) for text in texts]
+        distinct, unit_codes = _coded([u for found in units for u in found])
+        pieces = [self._cut(unit) for unit in distinct]
+        distinct, piece_codes = _coded([p for found in pieces for p in found])
+        ids = self._pieces_ids(distinct)
+        flat = np.frombuffer(b"".join(ids), self.kind).astype(np.int32)
+        ends = _starts(np.array(list(map(len, ids)), np.int64) // self.kind.itemsize)
+        flat, ends = _gathered(flat, ends, piece_codes)
+        ends = ends[_starts(np.array(list(map(len, pieces)), np.int64))]
+        flat, ends = _gathered(flat, ends, unit_codes)
+        return flat, ends[_starts(np.array(list(map(len, units)), np.int64))]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; as in the library, ids beyond the vocabulary give nothing and broken UTF-8 gives U+FFFD."""
@@ -176,10 +302,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str, ids: str) -
     model = vocabulary(path)
     for batch in batches:
         for part in _slices(batch, _running(batch.column(text), 1)):
-            found = model.encode([t or "" for t in part.column(text).to_pylist()])
-            ends = np.cumsum([0, *(len(f) // model.kind.itemsize for f in found)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(found), model.kind).astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(ends), values)
+            values, ends = model.encode([t or "" for t in part.column(text).to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
             kept = [n for n in part.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), lists], names=[*kept, ids])
 
@@ -208,7 +332,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     Without begin, end or other added tokens; a special token's string inside a text becomes its id, which is the
     library's default. ``path`` names a vocabulary file of the library's format for byte-level BPE, present on every
     executor; another kind of tokenizer is an error. Whole texts are encoded by ``merged``; a worker
-    remembers units (white space and what stands up to the next) it has met, in bounded memory. Rows stay where they are: nothing is
+    remembers pieces it has met, in bounded memory. Rows stay where they are: nothing is
     shuffled. Null text counts as empty (no ids); repeated rows are encoded each; other columns are kept, whatever their
     names, but one named ``ids_col`` is an error; an empty table gives an empty table.
     """

@@ -3,12 +3,13 @@
 import random
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reportloom.llm.bpe import BytePairs, decode, encode, merged
+from reportloom.llm.bpe import BytePairs, PairTable, decode, encode, merged, merged_rows
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,9 +28,8 @@ def model():
 
 
 def same(model, library, texts):
-    import numpy as np
-
-    got = [np.frombuffer(ids, model.kind).tolist() for ids in model.encode(texts)]
+    flat, ends = model.encode(texts)
+    got = [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
     wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     for text, a, b in zip(texts, got, wanted, strict=True):
         assert a == b, text[:200]
@@ -54,6 +54,11 @@ def test_merges_one_by_one():
             rank, k = min(found)
             plain[k : k + 2] = [results[rank]]
         assert merged(ids, ranks, results) == plain
+        size = 1 << max(0, len(ids) - 2).bit_length()
+        rows = np.full((2, size + 1), -1)
+        rows[1, : len(ids)] = ids
+        together = merged_rows(rows, PairTable(ranks, results))
+        assert together[1][together[1] >= 0].tolist() == plain and (together[0] == -1).all()
 
 
 def test_every_character(model, library):
@@ -78,7 +83,7 @@ def test_long_runs(model, library):
     times = []
     for n in (20_000, 160_000):
         begin = time.perf_counter()
-        merged([model.of_byte[b] for b in rng.choices(b"etaoin", k=n)], model.ranks, model.results)
+        merged([int(model.of_byte[b]) for b in rng.choices(b"etaoin", k=n)], model.table.ranks, model.table.results)
         times.append(time.perf_counter() - begin)
     assert times[1] < 30 * times[0]
 
