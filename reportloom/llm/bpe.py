@@ -28,7 +28,7 @@ def _piece(letters: str, digits: str) -> str:
 
 
 #: Pieces a worker remembers (twice as many at most), and the longest of them in characters; bounds its memory, changes no result.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+REMEMBERED, REMEMBERED_CHARS = 100_000, 64
 #: Bytes from which a piece is merged alone, and shorter pieces merged together.
 LONG_PIECE, ROWS = 64, 1 << 13
 #: Bytes of text or ids that a worker holds as Python objects at once (a longer text is held alone).
@@ -163,8 +163,8 @@ def merged_rows(symbols: np.ndarray, table: PairTable) -> np.ndarray:
 
 def _coded(strings: list[str]) -> tuple[list[str], np.ndarray]:
     """The different ones among the strings, and for each string its place among them."""
-    coded = pa.array(strings, pa.large_string()).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    places = dict(zip(distinct := dict.fromkeys(strings), range(len(distinct)), strict=True))
+    return list(places), np.fromiter(map(places.__getitem__, strings), np.int64, len(strings))
 
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
@@ -178,33 +178,51 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> tuple[
     return flat[np.repeat(begins - at[:-1], lengths) + np.arange(at[-1])], at
 
 
-class BytePairs:
-    """A vocabulary of byte-level BPE as the tokenizers library writes it, with its merges and added tokens."""
+def _specification(path: str) -> dict:
+    """The vocabulary file, if it is a plain byte-level BPE as the tokenizers library writes it."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, cutter, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if (
+        model["type"] != "BPE" or spec.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space")
+        or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        or not cutter.get("use_regex", True) or not plain or any(re.search(f"[{SPACES}]", t["content"]) for t in added)
+    ):
+        raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
+    return spec
+
+
+class TokenBytes:
+    """The bytes of each token, for decoding."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model, cutter, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
-        plain = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
-        if (
-            model["type"] != "BPE" or spec.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space")
-            or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
-            or not cutter.get("use_regex", True) or not plain or any(re.search(f"[{SPACES}]", t["content"]) for t in added)
-        ):
-            raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-        vocabulary, letters = model["vocab"], byte_letters()
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        ranks = {(vocabulary[a], vocabulary[b]): rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
-        self.table = PairTable(ranks, [vocabulary[a + b] for a, b in pairs])
-        self.of_byte = np.array([vocabulary[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int64)
-        self.special = {t["content"]: t["id"] for t in added}
-        self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
+        spec, letters = _specification(path), byte_letters()
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens") or []}
         self.bytes_of = [b""] * (max(names) + 1)
         for i, name in names.items():
             known = all(c in letters for c in name)
             self.bytes_of[i] = bytes(letters[c] for c in name) if known else name.encode()
-        self.kind = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of the ids; as in the library, ids beyond the vocabulary give nothing and broken UTF-8 gives U+FFFD."""
+        table, n = self.bytes_of, len(self.bytes_of)
+        return b"".join([table[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
+
+
+class BytePairs:
+    """A vocabulary's merges and added tokens, for encoding."""
+
+    def __init__(self, path: str):
+        spec, letters = _specification(path), byte_letters()
+        names, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        ranks = {(names[a], names[b]): rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.table = PairTable(ranks, [names[a + b] for a, b in pairs])
+        self.of_byte = np.array([names[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int64)
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.kind = np.dtype("<u2" if max([*names.values(), *self.special.values()]) < 1 << 16 else "<u4")
         # Pieces met of late, and those met before them.
         self.made_special = {name: np.array([i], self.kind).tobytes() for name, i in self.special.items()}
         self.known, self.older = dict(self.made_special), {}
@@ -247,12 +265,13 @@ class BytePairs:
         self.known.update((p, ids) for p, ids in new.items() if len(p) <= REMEMBERED_CHARS)
         return [ids or new[p] for p, ids in zip(pieces, found, strict=True)]
 
-    def _cut(self, unit: str) -> list[str]:
-        """The pieces of a unit; special tokens are pieces of their own."""
-        if self.special and self.cut_special.search(unit):
-            parts = self.cut_special.split(unit)
-            return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.piece.findall(part))]
-        return self.ascii_piece.findall(unit) if unit.isascii() else self.piece.findall(unit)
+    def _cut(self, units: list[str], special: bool) -> list[list[str]]:
+        """The pieces of each unit; special tokens, if there are any, are pieces of their own."""
+        ascii_piece, piece = self.ascii_piece.findall, self.piece.findall
+        if not special:
+            return [ascii_piece(unit) if unit.isascii() else piece(unit) for unit in units]
+        parts = [self.cut_special.split(unit) for unit in units]
+        return [[p for k, part in enumerate(some) for p in ([part] if k % 2 else piece(part))] for some in parts]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other, and where each text's begin and the last one's end.
@@ -261,7 +280,7 @@ class BytePairs:
         """
         units = [self.unit.findall(text) for text in texts]
         distinct, unit_codes = _coded([u for found in units for u in found])
-        pieces = [self._cut(unit) for unit in distinct]
+        pieces = self._cut(distinct, bool(self.special) and any(map(self.cut_special.search, texts)))
         distinct, piece_codes = _coded([p for found in pieces for p in found])
         ids = self._pieces_ids(distinct)
         flat = np.frombuffer(b"".join(ids), self.kind).astype(np.int32)
@@ -271,18 +290,18 @@ class BytePairs:
         flat, ends = _gathered(flat, ends, unit_codes)
         return flat, ends[_starts(np.array(list(map(len, units)), np.int64))]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids; as in the library, ids beyond the vocabulary give nothing and broken UTF-8 gives U+FFFD."""
-        table, n = self.bytes_of, len(self.bytes_of)
-        return b"".join([table[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> BytePairs:
-    """One per worker and file; keeps the units it has met from batch to batch."""
+def byte_pairs(path: str) -> BytePairs:
+    """One per worker and file; keeps the pieces it has met from batch to batch."""
     return BytePairs(path)
 
 
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(path)
+
+
 def _slices(batch: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs of rows of some TOGETHER bytes each, a row at least; ``ends`` are the running sums of the rows' bytes."""
     begin = 0
@@ -299,7 +318,7 @@ def _running(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
-    model = vocabulary(path)
+    model = byte_pairs(path)
     for batch in batches:
         for part in _slices(batch, _running(batch.column(text), 1)):
             values, ends = model.encode([t or "" for t in part.column(text).to_pylist()])
@@ -309,7 +328,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str, ids: str) -
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, ids: str, text: str) -> Iterator[pa.RecordBatch]:
-    model = vocabulary(path)
+    model = token_bytes(path)
     for batch in batches:
         for part in _slices(batch, _running(batch.column(ids), 4)):
             texts = [model.decode(row or []) for row in part.column(ids).to_pylist()]
