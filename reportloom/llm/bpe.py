@@ -28,7 +28,7 @@ def _piece(letters: str, digits: str) -> str:
 
 
 #: Pieces a worker remembers (twice as many at most), and the longest of them in characters; bounds its memory, changes no result.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 64
+REMEMBERED, REMEMBERED_CHARS = 250_000, 64
 #: Bytes from which a piece is merged alone, and shorter pieces merged together.
 LONG_PIECE, ROWS = 64, 1 << 13
 #: Bytes of text or ids that a worker holds as Python objects at once (a longer text is held alone).
@@ -204,9 +204,11 @@ class TokenBytes:
             known = all(c in letters for c in name)
             self.bytes_of[i] = bytes(letters[c] for c in name) if known else name.encode()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int], plain: bool = False) -> str:
         """The text of the ids; as in the library, ids beyond the vocabulary give nothing and broken UTF-8 gives U+FFFD."""
         table, n = self.bytes_of, len(self.bytes_of)
+        if plain:
+            return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
         return b"".join([table[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
 
 
@@ -331,7 +333,11 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, ids: str, text: str) -
     model = token_bytes(path)
     for batch in batches:
         for part in _slices(batch, _running(batch.column(ids), 4)):
-            texts = [model.decode(row or []) for row in part.column(ids).to_pylist()]
+            # Without nulls and ids beyond the vocabulary, as encoding gives them, nothing has to be left out.
+            span = pc.min_max(part.column(ids).flatten())
+            plain = not part.column(ids).flatten().null_count and (span["min"].as_py() or 0) >= 0
+            plain = plain and (span["max"].as_py() or 0) < len(model.bytes_of)
+            texts = [model.decode(row or [], plain) for row in part.column(ids).to_pylist()]
             kept = [n for n in part.schema.names if n != ids]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(texts, pa.string())], names=[*kept, text])
 
