@@ -214,6 +214,11 @@ def _elapsed_days(start: Column, end: Column) -> Column:
     return ((micros - F.pmod(micros, F.lit(_DAY))) / F.lit(_DAY)).cast("bigint")
 
 
+def days_apart(end: Operand, start: Operand) -> Column:
+    """Days from start to end, null where either is missing."""
+    return _elapsed_days(_moment(start), _moment(end))
+
+
 def days_since(a: Operand, as_of: Column | str | None = None) -> Column:
     """Days from a date to ``as_of`` (a ``Column`` or text), by default to now."""
     if isinstance(as_of, str):
@@ -224,7 +229,7 @@ def days_since(a: Operand, as_of: Column | str | None = None) -> Column:
 
 def days_between(end: Operand, start: Operand) -> Column:
     """Days from start to end, 0 where either is missing."""
-    return F.coalesce(_elapsed_days(_moment(start), _moment(end)), F.lit(0))
+    return F.coalesce(days_apart(end, start), F.lit(0))
 
 
 # --- cleaning and conversion (39-45)

@@ -19,7 +19,8 @@ from reportloom.operators.lookup import link_tables
 from reportloom.operators.ordering import sort_rows
 from reportloom.operators.pivot import pivot_table
 from reportloom.operators.predicates import filter_rows
-from reportloom.plans.errors import SPARK_ERRORS, STEP_ERRORS, reason
+from reportloom.plans.errors import STEP_ERRORS, reason
+from reportloom.plans.preset_formulas import preset_column
 from reportloom.plans.session import configure
 from reportloom.plans.spec import JobSpec, LookupRule, OutputTask, Source
 from reportloom.plans.staging import collecting, dropped_afterwards, settle
@@ -169,8 +170,10 @@ def build_output(pool: DataFrame, task: OutputTask, report: Journal | None = Non
     for item in task.calc_fields:
         name, formula = (item, None) if isinstance(item, str) else item
         try:
+            if isinstance(formula, dict):
+                formula = preset_column(df, formula["preset"])
             df = derive(df, [(name, formula)])
-        except SPARK_ERRORS as error:
+        except STEP_ERRORS as error:
             if report is None:
                 raise
             report.note(f"derive:{task.name}", "FAIL", f"{name}: {reason(error)}")

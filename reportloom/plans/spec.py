@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, field, fields
 
 from reportloom.operators.predicates import split_values
 from reportloom.plans.preset import preset_filter
+from reportloom.plans.preset_formulas import preset_fields
 
 
 def _known(cls, data: dict) -> dict:
@@ -87,7 +88,10 @@ class PivotSpec(_Plain):
 
 @dataclass
 class OutputTask(_Plain):
-    """One output: derive, filter, then project or pivot, then sort."""
+    """One output: derive, filter, then project or pivot, then sort.
+
+    ``calc_fields`` are names of empty columns, ``[name, SQL]`` pairs, or ``[name, {"preset": formula}]`` as presets write them.
+    """
 
     name: str
     filter_expr: str | dict | None = None
@@ -140,18 +144,18 @@ class JobSpec(_Plain):
     def from_preset(cls, data: dict) -> JobSpec:
         """The job of a saved preset, whose master settings lie side by side.
 
-        Formulas must be ``[name, SQL]`` pairs. Filter texts are read in the forms that presets write
-        (:func:`~reportloom.plans.preset.preset_filter`); Python text is not run.
+        Formulas and filter texts are read in the forms that presets write (:func:`~reportloom.plans.preset_formulas.preset_fields`,
+        :func:`~reportloom.plans.preset.preset_filter`); any other text is an error, and Python text is not run.
         """
         tasks = []
         for task in data.get("tasks", []):
-            if isinstance(task.get("calc_fields"), str) and task["calc_fields"].strip():
-                raise ValueError(f"output {task['name']!r}: give calc_fields as [name, SQL] pairs")
-            if isinstance(task.get("filter_expr"), str):
-                try:
+            try:
+                if isinstance(task.get("calc_fields"), str):
+                    task = task | {"calc_fields": preset_fields(task["calc_fields"])}
+                if isinstance(task.get("filter_expr"), str):
                     task = task | {"filter_expr": preset_filter(task["filter_expr"])}
-                except ValueError as error:
-                    raise ValueError(f"output {task['name']!r}: {error}") from None
+            except ValueError as error:
+                raise ValueError(f"output {task['name']!r}: {error}") from None
             tasks.append(task)
         folder = bool(data.get("master_is_folder", False))
         path, sheet = data["master"], data.get("folder_sheet" if folder else "master_sheet")

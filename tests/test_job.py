@@ -141,8 +141,25 @@ def test_presets_and_rename_text(spark, files):
     assert out.columns == ["dept", "qty_last", "units_2024"]
     folder = JobSpec.from_preset(preset | {"master": str(files), "master_is_folder": True})
     assert folder.master.folder and folder.master.sheet == 0
-    with pytest.raises(ValueError, match="SQL"):
-        JobSpec.from_preset(preset | {"tasks": [task | {"calc_fields": "x = df['a'] * 2"}]})
+    with pytest.raises(ValueError, match="os.system"):
+        JobSpec.from_preset(preset | {"tasks": [task | {"calc_fields": "x = os.system('ls')"}]})
+
+
+def test_formulas_of_presets_run_in_a_job(spark, files):
+    spec = spec_of(files)
+    spec["rules"].pop()
+    formulas = "double = df['qty'] * 2；label = np.where(df['double'] > 10, 'many', 'few')\nbad = df['dept'] * 2, note"
+    task = {"name": "t", "calc_fields": formulas, "filter_expr": "`double`>0", "col_map": [{"src": c, "dst": c} for c in ("qty", "double", "label", "bad", "note")]}
+    preset = {"master": f"{files}/lines.csv", "rules": spec["rules"], "tasks": [task], "output": f"{files}/presets"}
+    loaded = JobSpec.from_preset(preset)
+    assert JobSpec.from_dict(json.loads(json.dumps(loaded.to_dict()))) == loaded
+    with pytest.raises(TypeError, match="dept"):
+        build_outputs(spark, loaded)
+    report = {r.stage: r.status for r in run_report_job(spark, loaded).collect()}
+    assert report["derive:t"] == "FAIL" and report["output:t"] == "done"
+    out = spark.read.parquet(f"{files}/presets/t").collect()
+    assert out and all(r.double == 2 * r.qty and r.label == ("many" if r.double > 10 else "few") for r in out)
+    assert all(r.bad == "" and r.note is None for r in out)
 
 
 def test_colliding_names_are_an_error(files):
