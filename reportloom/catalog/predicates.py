@@ -101,6 +101,33 @@ def filter_not_in_table(spark, sf_dir):
     )
 
 
+@query("""
+    SELECT * FROM orders
+    WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+          AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') OR o_totalprice > 250000
+""")
+def filter_in_list_or(spark, sf_dir):
+    """Lists as long as tables, inside a condition that other rows meet without them."""
+    customer, lines = table(spark, sf_dir, "customer"), table(spark, sf_dir, "lineitem")
+    owing = P.in_table("o_custkey", P.filter_rows(customer, P.gt("c_acctbal", 0)), "c_custkey")
+    kept = P.not_in_table("o_orderkey", P.filter_rows(lines, P.eq("l_returnflag", "R")), "l_orderkey")
+    return P.filter_rows(table(spark, sf_dir, "orders"), P.any_of(P.all_of(owing, kept), P.gt("o_totalprice", 250000)))
+
+
+@query("""
+    WITH keyed AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey END AS open_cust FROM orders)
+    SELECT o_orderkey, open_cust FROM keyed
+    WHERE open_cust IS NULL OR open_cust NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') OR o_totalprice < 1000
+""")
+def filter_not_in_list_null(spark, sf_dir):
+    """A long list that rows must not be in keeps those without a value."""
+    orders = table(spark, sf_dir, "orders")
+    keyed = orders.withColumn("open_cust", F.when(F.col("o_orderstatus") != "F", F.col("o_custkey")))
+    others = P.filter_rows(table(spark, sf_dir, "customer"), P.ne("c_mktsegment", "BUILDING"))
+    condition = P.any_of(P.not_in_table("open_cust", others, "c_custkey"), P.lt("o_totalprice", 1000))
+    return P.filter_rows(keyed, condition).select("o_orderkey", "open_cust")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def filter_unlabelled(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -162,7 +162,17 @@ def rows_not_in_table(df: DataFrame, names: Selector, values: DataFrame, value_n
     return _by_value_table(df, names, values, value_names, "left_anti")
 
 
-def _by_value_table(df, names, values, value_names, how) -> DataFrame:
+def mark_rows(df: DataFrame, names: Selector, values: DataFrame, value_names: Selector, mark: str) -> DataFrame:
+    """All rows, with a column ``mark``: whether their ``names`` occur among the values of another table.
+
+    Where a semi or anti join decides about rows, this leaves the decision to a condition that looks at more than that.
+    Rows without a value are marked false.
+    """
+    marked = _by_value_table(df, names, values.withColumn(mark, F.lit(True)), value_names, "left", mark)
+    return marked.withColumn(mark, F.coalesce(F.col(mark), F.lit(False)))
+
+
+def _by_value_table(df, names, values, value_names, how, mark: str | None = None) -> DataFrame:
     names = resolve_columns(names, df.columns)
     value_names = resolve_columns(value_names, values.columns)
     types = [
@@ -172,8 +182,9 @@ def _by_value_table(df, names, values, value_names, how) -> DataFrame:
     right = [F.col(f"__k{i}") for i in range(len(names))]
     listed = values.where(reduce(lambda a, b: a & b, [present(values, v) for v in value_names]))
     listed = listed.select(
-        *[value_of(values, v).cast(t).alias(f"__k{i}") for i, (v, t) in enumerate(zip(value_names, types))]
+        *[value_of(values, v).cast(t).alias(f"__k{i}") for i, (v, t) in enumerate(zip(value_names, types))],
+        *([mark] if mark else []),
     ).distinct()
     # The hash is a further key for the same reason as in lookup_join.
     pairs = [*[a == b for a, b in zip(left, right)], F.xxhash64(*left) == F.xxhash64(*right)]
-    return df.join(listed, reduce(lambda a, b: a & b, pairs), how)
+    return df.join(listed, reduce(lambda a, b: a & b, pairs), how).drop(*[f"__k{i}" for i in range(len(names))])

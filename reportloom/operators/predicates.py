@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterable
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import Context, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reportloom.operators.columns import is_float, present, ref
+from reportloom.operators.lookup import mark_rows
 
 Condition = Callable[[DataFrame], Column]
 
@@ -26,6 +28,8 @@ _NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*")
 _DATE = re.compile(r"\s*(\d{4})[-/](\d{1,2})[-/](\d{1,2})([ T].*?)?\s*")
 # Signs that part a pasted list, plain and full width.
 LIST_SEPARATORS = "\t\n,;，；"
+#: Values up to which a list stands in the plan itself.
+SHORT_LIST = 1000
 
 
 def _number(value) -> int | float | Decimal | None:
@@ -172,21 +176,92 @@ def ends_with(name: str, text: str) -> Condition:
     return lambda df: _text(df, name).endswith(text)
 
 
+def _value_table(df: DataFrame, name: str, values: list) -> DataFrame | None:
+    """The values that can equal the column, as a table of one column ``value`` in the column's own kind of type.
+
+    None for types whose lists cannot be long, or whose values compare with numbers of another width.
+    """
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        scale, whole = (dtype.scale, dtype.precision - dtype.scale) if isinstance(dtype, T.DecimalType) else (0, 19)
+        numbers = [number for v in values if (number := _number(v)) is not None]
+        exact = [Decimal(repr(n)) if isinstance(n, float) else Decimal(n) for n in numbers]
+        found = [text for n in exact if (text := _digits(n, whole, scale)) is not None]
+        wanted = dtype.simpleString() if isinstance(dtype, T.DecimalType) else "bigint"
+    elif isinstance(dtype, T.DoubleType):
+        found = [str(_as_float(number)) for v in values if (number := _number(v)) is not None]
+        found += ["-0.0", "0.0"] if {"-0.0", "0.0"} & set(found) else []
+        wanted = "double"
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        found = [moment for v in values if (moment := _moment(v)) is not None]
+        wanted = "timestamp_ntz" if isinstance(dtype, T.DateType) else dtype.simpleString()
+    elif isinstance(dtype, T.StringType):
+        found, wanted = [str(v) for v in values], "string"
+    else:
+        return None
+    rows = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(found)], "value string")
+    table = rows.select(F.col("value").try_cast(wanted).alias("value"))
+    # Dates meet times of day as times.
+    return table.where(F.col("value") == F.date_trunc("day", "value")).select(F.col("value").cast("date").alias("value")) if isinstance(dtype, T.DateType) else table
+
+
+def _digits(number: Decimal, whole: int, scale: int) -> str | None:
+    """The number in plain digits, if it has at most ``whole`` of them before the point and ``scale`` behind it."""
+    if not number.is_finite() or number.adjusted() >= whole:
+        return None
+    cut = number.quantize(Decimal(1).scaleb(-scale), context=Context(prec=80))
+    return format(cut, "f") if cut == number else None
+
+
+def in_table(name: str, values: DataFrame, value_name: str) -> Condition:
+    """Equal to a value of another table's column; like every condition it may stand inside ``any_of`` and ``all_of``.
+
+    ``filter_rows`` joins a mark to the rows before it looks at the whole condition, so the values may be as many as rows.
+    """
+    mark = f"__in_{uuid.uuid4().hex}"
+
+    def condition(df: DataFrame) -> Column:
+        return ref(mark)
+
+    condition.marks = {mark: lambda df: mark_rows(df, [name], values, [value_name], mark)}
+    return condition
+
+
+def not_in_table(name: str, values: DataFrame, value_name: str) -> Condition:
+    """Equal to no value of another table's column; missing values stay."""
+    return _negated(in_table(name, values, value_name))
+
+
 def is_in(name: str, values: Iterable) -> Condition:
-    """Equal to a value of a short list. For long lists use ``rows_in_table``."""
+    """Equal to a value of a list. A list of more than ``SHORT_LIST`` values becomes a table that meets the rows in a join."""
     listed = list(values)
+    mark = f"__in_{uuid.uuid4().hex}"
 
     def condition(df: DataFrame) -> Column:
+        if mark in df.columns:
+            return ref(mark)
         literals = [lit for v in listed if (lit := _literal(df, name, v)) is not None]
         return ref(name).isin(literals) if literals else F.lit(False)
 
+    def marked(df: DataFrame) -> DataFrame:
+        found = _value_table(df, name, listed)
+        return df if found is None else mark_rows(df, [name], found, ["value"], mark)
+
+    condition.marks = {mark: marked} if len(listed) > SHORT_LIST else {}
     return condition
 
 
 def not_in(name: str, values: Iterable) -> Condition:
-    """Equal to no value of a short list; missing values stay."""
-    inside = is_in(name, values)
-    return lambda df: ~F.coalesce(inside(df), F.lit(False))
+    """Equal to no value of a list; missing values stay."""
+    return _negated(is_in(name, values))
+
+
+def _negated(inside: Condition) -> Condition:
+    def condition(df: DataFrame) -> Column:
+        return ~F.coalesce(inside(df), F.lit(False))
+
+    condition.marks = inside.marks
+    return condition
 
 
 def is_null(name: str) -> Condition:
@@ -202,12 +277,20 @@ def sql(text: str) -> Condition:
     return lambda df: F.expr(text)
 
 
+def _joined(sign: Callable[[Column, Column], Column], conditions: tuple[Condition, ...]) -> Condition:
+    def condition(df: DataFrame) -> Column:
+        return reduce(sign, [c(df) for c in conditions])
+
+    condition.marks = {mark: join for c in conditions for mark, join in getattr(c, "marks", {}).items()}
+    return condition
+
+
 def all_of(*conditions: Condition) -> Condition:
-    return lambda df: reduce(lambda a, b: a & b, [c(df) for c in conditions])
+    return _joined(lambda a, b: a & b, conditions)
 
 
 def any_of(*conditions: Condition) -> Condition:
-    return lambda df: reduce(lambda a, b: a | b, [c(df) for c in conditions])
+    return _joined(lambda a, b: a | b, conditions)
 
 
 # Operator names accepted in a specification.
@@ -261,7 +344,11 @@ def filter_rows(df: DataFrame, condition: Condition | Column | dict | str | None
         return df
     if isinstance(condition, (dict, str)):
         condition = condition_from(condition)
-    return df.where(condition(df))
+    marked = df
+    for join in getattr(condition, "marks", {}).values():
+        marked = join(marked)
+    found = marked.where(condition(marked))
+    return found.select(*[ref(c) for c in df.columns]) if marked is not df else found
 
 
 def split_values(text: str) -> list[str]:

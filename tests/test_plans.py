@@ -186,3 +186,21 @@ def test_staging_follows_the_session_setting(spark, tmp_path):
         path = staging.settle(spark.range(3)).inputFiles()[0].removeprefix("file://")
         assert Path(path).exists()
     assert not Path(path).exists() and settled.count() == 5
+
+
+def test_long_lists_are_joined_and_not_written_into_the_plan(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    keys = list(range(0, 40_000, 2))
+    out = P.filter_rows(orders, P.any_of(P.is_in("o_custkey", keys), P.gt("o_totalprice", 400_000)))
+    plan = plan_of(out)
+    assert "LeftOuter" in plan and len(plan) < 10_000
+    wanted = orders.where("o_custkey % 2 = 0 AND o_custkey < 40000 OR o_totalprice > 400000")
+    assert out.count() == wanted.count()
+
+
+@pytest.mark.parametrize("name", ["filter_in_list_or", "filter_not_in_list_null"])
+def test_tables_in_conditions_split_a_hot_key(spark, name):
+    """The marks come by joins of two plain exchanges, which AQE can split where one key swells a partition."""
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        plan = plan_of(QUERIES[name](spark, SF))
+    assert "SortMergeJoin" in plan and "LeftOuter" in plan and "BatchEvalPython" not in plan

@@ -1,3 +1,6 @@
+from datetime import date, datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,39 @@ def test_value_lists(spark):
     assert P.split_values(text) == ["a", "b", "c", "d", "e", "f"]
     table = spark.createDataFrame([(text,), ("b;　z ",), (None,)], "t string")
     assert sorted(r.value for r in P.split_value_table(table, "t").collect()) == list("abcdefz")
+
+
+@pytest.mark.parametrize(
+    ("kind", "rows", "values"),
+    [
+        ("long", [1, 2, 3, None, 2**62, -7], [1, "2", 2.5, "x", 3.0, "4611686018427387904", -9, 10**30, float("nan")]),
+        ("double", [1.0, 2.5, None, float("nan"), -0.0], [1, "2.5", 0, "none", 1e300]),
+        ("string", ["a", "1", "1.0", None, ""], ["a", 1, "", "zz"]),
+        ("decimal(20,4)", [Decimal("1.5000"), Decimal("2"), None, Decimal("0.0001")], ["1.5", 2, 0.0001, "1e-4", "9"]),
+        ("date", [date(2024, 1, 2), date(2024, 2, 2), None], ["2024-1-2", "2024/02/02 00:00:01", "never"]),
+        ("timestamp_ntz", [datetime(2024, 1, 2), datetime(2024, 2, 2, 5), None], ["2024-1-2", "2024/02/02 05:00:00", 5]),
+        ("boolean", [True, False, None], [1, "x"]),
+    ],
+)
+def test_long_lists_decide_as_short_ones(spark, monkeypatch, kind, rows, values):
+    df = spark.createDataFrame(list(enumerate(rows)), f"id int, v {kind}")
+    conditions = [
+        lambda: P.is_in("v", values), lambda: P.not_in("v", values), lambda: P.any_of(P.is_in("v", values), P.eq("id", 0)),
+        lambda: P.all_of(P.not_in("v", values), P.any_of(P.is_in("id", [0, 1, 2]), P.is_null("v"))),
+    ]
+    short = [sorted(r.id for r in P.filter_rows(df, make()).collect()) for make in conditions]
+    monkeypatch.setattr(P, "SHORT_LIST", 0)
+    long = [P.filter_rows(df, make()) for make in conditions]
+    assert [sorted(r.id for r in out.collect()) for out in long] == short
+    assert all(out.columns == ["id", "v"] for out in long)
+
+
+def test_tables_inside_conditions(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (4, None)], "id int, v string")
+    values = spark.createDataFrame([("1", 1.0), ("1", 2.0), (None, 3.0), ("4", 4.0)], "k string, id double")
+    inside, outside = P.in_table("id", values, "k"), P.not_in_table("id", values, "k")
+    assert sorted(r.v or "" for r in P.filter_rows(df, inside).collect()) == ["", "a"]
+    assert sorted(r.v for r in P.filter_rows(df, outside).collect()) == ["b", "c"]
+    assert sorted(r.v for r in P.filter_rows(df, P.any_of(inside, P.eq("v", "b"))).where("v IS NOT NULL").collect()) == ["a", "b"]
+    both = P.any_of(P.all_of(inside, P.not_null("v")), P.all_of(outside, P.is_null("id")))
+    assert sorted(r.v for r in P.filter_rows(df, both).collect()) == ["a", "c"]
