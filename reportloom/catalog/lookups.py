@@ -189,3 +189,41 @@ def lookup_null_keys(spark, sf_dir):
     open_cust = F.when(ref("o_orderstatus") != "F", ref("o_custkey")).alias("open_cust")
     keyed = orders.select("o_orderkey", open_cust)
     return lookup_join(keyed, table(spark, sf_dir, "customer"), "open_cust", "c_custkey", "c_name")
+
+
+@query("""
+    WITH firsts AS (
+        SELECT l_suppkey, l_shipdate, l_orderkey, l_quantity,
+               row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_quantity) AS rn
+        FROM lineitem)
+    SELECT s_suppkey, s_name, l_shipdate, l_orderkey, l_quantity
+    FROM supplier LEFT JOIN firsts ON s_suppkey = l_suppkey AND rn = 1
+    WHERE s_nationkey < 3
+""")
+def lookup_pruned_target(spark, sf_dir):
+    """The first shipment of a few suppliers: lines of others are dropped before they are grouped."""
+    some = table(spark, sf_dir, "supplier").where("s_nationkey < 3").select("s_suppkey", "s_name")
+    lines = table(spark, sf_dir, "lineitem")
+    return lookup_join(some, lines, "s_suppkey", "l_suppkey", "l_shipdate, l_orderkey, l_quantity", prune=True)
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, o_custkey, o_orderdate, c_name, c_nationkey, s.s_nationkey, n.n_name, n.n_regionkey, r_name,
+           m.n_name AS n_name_dup
+    FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+         LEFT JOIN supplier s ON l_suppkey = s_suppkey LEFT JOIN nation n ON c_nationkey = n.n_nationkey
+         LEFT JOIN region ON n.n_regionkey = r_regionkey LEFT JOIN nation m ON s.s_nationkey = m.n_nationkey
+""")
+def lookup_chain_contracted(spark, sf_dir):
+    """Two chains of lookups, each put together before the lines of orders meet it; one name is taken twice."""
+    tables = {name: table(spark, sf_dir, name) for name in ("orders", "customer", "supplier", "nation", "region")}
+    rules = [
+        {"target": tables["orders"], "master_keys": "l_orderkey", "target_keys": "o_orderkey", "pick": "o_custkey, o_orderdate"},
+        {"target": tables["customer"], "master_keys": "o_custkey", "target_keys": "c_custkey", "pick": "c_name, c_nationkey"},
+        {"target": tables["supplier"], "master_keys": "l_suppkey", "target_keys": "s_suppkey", "pick": "s_nationkey"},
+        {"target": tables["nation"], "master_keys": "c_nationkey", "target_keys": "n_nationkey", "pick": "n_name, n_regionkey"},
+        {"target": tables["region"], "master_keys": "n_regionkey", "target_keys": "r_regionkey", "pick": "r_name"},
+        {"target": tables["nation"], "master_keys": "s_nationkey", "target_keys": "n_nationkey", "pick": "n_name"},
+    ]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return link_tables(lines, rules).drop("l_suppkey")

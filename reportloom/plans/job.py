@@ -132,6 +132,8 @@ def build_pool(
             "order_by": rule.order_by,
             "by_letter": rule.by_letter,
             "unique": rule.unique,
+            # Counting the main keys takes a job, which planning does without.
+            "prune": rule.prune and not planning,
         }
         for rule in spec.rules
     ]

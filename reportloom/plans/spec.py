@@ -49,7 +49,10 @@ class Source(_Plain):
 
 @dataclass
 class LookupRule(_Plain):
-    """One lookup: where the target lies, which columns pair up, what to bring back."""
+    """One lookup: where the target lies, which columns pair up, what to bring back.
+
+    ``unique`` and ``prune`` are those of :func:`~reportloom.operators.lookup.lookup_join`.
+    """
 
     target_path: str
     master_keys: str | list[str]
@@ -60,6 +63,7 @@ class LookupRule(_Plain):
     by_letter: bool = False
     order_by: str | list[str] | None = None
     unique: bool = False
+    prune: bool = False
     encoding: str | None = None
     bad_rows: str = "keep"
     multiline: bool = False

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from reportloom.operators.combine import align_tables, append_tables
@@ -164,3 +166,57 @@ def test_align_is_a_sorted_full_outer_join(spark):
         align_tables([a.select("a"), b])
     with pytest.raises(ValueError, match="several tables"):
         align_tables([a, a.select("k", "a"), b])
+
+
+def chain_rules(spark, rng):
+    def rows(n, keys, values):
+        return [(rng.choice([None, *range(keys)]), rng.choice([None, *range(values)]), f"v{rng.randrange(9)}") for _ in range(n)]
+
+    a = spark.createDataFrame(rows(60, 20, 12), "ak int, b long, name string")
+    b = spark.createDataFrame([(str(k), v, n) for k, v, n in rows(40, 12, 7)], "bk string, c int, name string")
+    c = spark.createDataFrame(rows(30, 7, 5), "ck long, d int, Name string")
+    return [
+        {"target": a, "master_keys": "k", "target_keys": "ak", "pick": "b, name"},
+        {"target": b, "master_keys": "b", "target_keys": "bk", "pick": "c, name", "prefix": "b_", "order_by": "name"},
+        {"target": c, "master_keys": "b_c", "target_keys": "ck", "pick": "d, Name", "prefix": "c_"},
+        {"target": a, "master_keys": "k, b", "target_keys": "ak, b", "pick": "name", "prefix": "both_"},
+        {"target": c, "master_keys": "b, b_c", "target_keys": "ck, d", "pick": "Name", "prefix": "two_"},
+        {"target": b, "master_keys": "C", "target_keys": "A", "pick": "B", "prefix": "letter_", "by_letter": True},
+        {"target": c, "master_keys": "missing", "target_keys": "ck", "pick": "d"},
+        {"target": b, "master_keys": "k", "target_keys": "bk", "pick": "name"},
+    ]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contracted_chains_give_the_same_table(spark, seed, monkeypatch):
+    from reportloom.operators import lookup as L
+
+    rng = random.Random(seed)
+    main = spark.createDataFrame([(rng.choice([None, *range(25)]), i, "m") for i in range(50)], "k long, i int, name string")
+    rules = chain_rules(spark, rng)
+    heard = {}
+    tables = {}
+    for contract in (False, True):
+        monkeypatch.setattr(L, "_estimate", lambda df: 1)
+        events = []
+        out = link_tables(main, rules, "skip", lambda rule, error, picks: events.append((error is None, picks)), contract)  # noqa: B023
+        heard[contract], tables[contract] = events, (out.columns, sorted(map(repr, out.collect())))
+    assert heard[True] == heard[False] and [ok for ok, _ in heard[True]].count(False) == 2
+    assert tables[True] == tables[False]
+    assert tables[True][0][:5] == ["k", "i", "name", "b", "name_dup"]
+
+
+def test_pruned_targets_give_the_same_table(spark, monkeypatch):
+    from reportloom.operators import lookup as L
+
+    main = spark.createDataFrame([(k, str(k)) for k in [1, 5, 5, None, 900, 77]], "k int, t string")
+    target = spark.createDataFrame([(k % 1000, k % 7, k) for k in range(5000)] + [(None, 1, 1)], "k long, v int, o long")
+    for keys, others, pick in ((["k"], ["k"], "v"), (["t"], ["k"], "v"), (["k", "t"], ["k", "v"], "o")):
+        wanted = lookup_join(main, target, keys, others, pick, order_by="o")
+        for most in (L.PRUNING_KEYS, 2):
+            monkeypatch.setattr(L, "PRUNING_KEYS", most)
+            got = lookup_join(main, target, keys, others, pick, order_by="o", prune=True)
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+        monkeypatch.undo()
+    empty = lookup_join(main.limit(0), target, "k", "k", "v", prune=True)
+    assert empty.columns == ["k", "t", "v"] and empty.collect() == []

@@ -204,3 +204,46 @@ def test_tables_in_conditions_split_a_hot_key(spark, name):
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
         plan = plan_of(QUERIES[name](spark, SF))
     assert "SortMergeJoin" in plan and "LeftOuter" in plan and "BatchEvalPython" not in plan
+
+
+def records_shuffled(df):
+    """Rows written to the shuffles of an executed plan."""
+    df.collect()
+    total, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                total += plan.metrics().apply("shuffleRecordsWritten").value()
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+def test_pruning_shrinks_the_shuffle_of_the_target(spark):
+    some = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 100 = 0").select("o_orderkey")
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    lines = lines.union(lines)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        made = {p: lookup_join(some, lines, "o_orderkey", "l_orderkey", "l_shipdate", prune=p) for p in (False, True)}
+        plain, pruned = records_shuffled(made[False]), records_shuffled(made[True])
+    assert pruned < plain / 4
+    assert sorted(made[False].collect()) == sorted(made[True].collect())
+
+
+def test_a_chain_shuffles_the_main_table_once(spark):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        out = QUERIES["lookup_chain_contracted"](spark, SF)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+        executed = plan_of(out, executed=True)
+    # The lines meet two tables, one for each chain: all other joins are between targets.
+    top = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(top) == 6 and "skew=" not in plan and "lineitem" in executed
+    assert out.count() == lines
+    with_lines = [line for line in top if "l_orderkey" in line.split("[")[1] or "l_suppkey" in line.split("[")[1]]
+    assert len(with_lines) == 2
