@@ -225,7 +225,7 @@ def records_shuffled(df):
 
 
 def test_pruning_shrinks_the_shuffle_of_the_target(spark):
-    some = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 100 = 0").select("o_orderkey")
+    some = spark.read.parquet(f"{SF}/orders.parquet").where("o_custkey % 50 = 7").select("o_orderkey")
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     lines = lines.union(lines)
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
