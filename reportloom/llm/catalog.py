@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reportloom.catalog.registry import Query
 from reportloom.llm.bpe import decode, encode
-from reportloom.llm.common import UPPER, ascii_lower, crc_bucket
+from reportloom.llm.common import UPPER, WORD, ascii_lower, crc_bucket
 from reportloom.llm.embed_dedup import near_duplicate_vectors
 from reportloom.llm.exact_dedup import exact_groups
 from reportloom.llm.merkle import folded, leaf_digest, manifest, siblings
@@ -55,8 +55,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query()
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words taken of each document by the mix of sources at weights 1, 2, 3."""
-    found = mix(table(spark, sf_dir, "documents"))
+    """Words taken of each document by the mix of sources at weights 1, 2, 3; longer texts are likelier."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.regexp_count(docs["text"], F.lit(WORD))
+    found = mix(docs, tilt=F.log10(1 + words) / 5)
     each = found.withColumn("__row", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))))
     return each.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -165,10 +167,10 @@ def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity scores of all documents by the conditional random field."""
+    """Toxicity scores of all documents by the conditional random field, with the places of the words tagged toxic."""
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     predicted = (F.col("score") >= 0.7).cast("int")
-    return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"))
+    return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"), "spans")
 
 
 @query(rf"""

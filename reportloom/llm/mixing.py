@@ -9,6 +9,8 @@ from reportloom.llm.common import WORD, bounded, staged
 
 #: Cells into which the ranks of a source are counted before any of them is sorted.
 CELLS = 4096
+#: Steps of the tilt.
+TILTS = 1024
 #: Sources up to which the list of sources is broadcast to the documents.
 BROADCAST_SOURCES = 50_000
 
@@ -49,6 +51,8 @@ def mix(
     total_share: float = 1.0,
     most_times: float = 3.0,
     weight: Column | None = None,
+    tilt: Column | None = None,
+    strength: float = 0.8,
     seed: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -57,7 +61,10 @@ def mix(
     """How many whole copies of each document a mix of the sources takes.
 
     Size is the number of words (null text: 0). A document expects ``target / source size`` copies, times its ``weight``
-    (a positive column, 1 by default) over its source's mean weight by words, at most ``most_times``. The whole part
+    (a positive column, 1 by default) over its source's mean weight by words, at most ``most_times``. Instead of a weight,
+    ``tilt`` (a column from 0 to 1, in steps of 1/1024) makes what documents expect differ and still add up to the target: with
+    b copies expected on average, from b - r to b + r by where the tilt stands to its mean, r being ``strength`` times the
+    way from b to 0 or to ``most_times``, whichever is nearer. The whole part
     is taken for certain; what is left is its inclusion probability p. Documents are ranked by Pareto order sampling,
     ``u/(1-u)`` over ``p/(1-p)`` with u drawn from their id, and taken from the smallest rank until the words that the source
     still lacks are reached; the document at the border is taken where that comes closer. So the sample's size, in
@@ -70,6 +77,8 @@ def mix(
     looked at. Rerunning gives the same copies. Returns ``doc_id``, ``source``, ``text_hash``, ``rows`` (how many
     rows are alike), ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words, repeats counted), both of each row.
     """
+    if weight is not None and tilt is not None:
+        raise ValueError("give a weight or a tilt, not both")
     text = F.coalesce(docs[text_col], F.lit(""))
     slim = docs.select(
         docs[id_col].alias("doc_id"),
@@ -77,25 +86,32 @@ def mix(
         F.xxhash64(text).alias("text_hash"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"),
+        # Whole numbers, so that sums over them do not depend on the order.
+        (F.lit(0) if tilt is None else F.round(F.least(F.greatest(tilt, F.lit(0.0)), F.lit(1.0)) * TILTS)).cast("long").alias("tilt"),
     )
     slim = slim.groupBy("doc_id", "source", "text_hash").agg(
-        F.count("*").alias("rows"), F.max("size").alias("size"), F.max("weight").alias("weight")
+        F.count("*").alias("rows"), F.max("size").alias("size"), F.max("weight").alias("weight"), F.max("tilt").alias("tilt")
     )
     slim = staged(slim, "mix")
     sources = slim.groupBy("source").agg(
         F.sum(F.col("size") * F.col("rows")).alias("source_size"),
         F.sum(F.col("size") * F.col("rows") * F.col("weight")).alias("weighed"),
+        F.sum(F.col("size") * F.col("rows") * F.coalesce("tilt", F.lit(0))).alias("tilted"),
     )
     sources = staged(sources, "mix-sources")
     targets = source_targets(sources.select("source", "source_size"), total_share, weights, most_times)
     targets = staged(
         targets.withColumnRenamed("source", "s").join(
-            sources.select("source", "weighed"), F.col("s").eqNullSafe(F.col("source"))
+            sources.select("source", "weighed", "tilted"), F.col("s").eqNullSafe(F.col("source"))
         ).drop("source"),
         "mix-targets",
     )
     rows = slim.join(bounded(targets, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     share = F.col("weight") * F.col("target") / F.col("weighed")
+    if tilt is not None:
+        base, mean = F.col("target") / F.col("source_size"), F.col("tilted") / F.col("source_size") / TILTS
+        reach = F.least(base, F.lit(float(most_times)) - base) * strength
+        share = base + reach * (F.coalesce("tilt", F.lit(0)) / TILTS - mean) / F.greatest(mean, 1 - mean)
     expected = F.when(F.col("size") > 0, F.least(F.lit(float(most_times)), share)).otherwise(0.0)
     whole = F.floor(expected + 1e-9)
     rows = rows.withColumn("whole", whole).withColumn("p", F.greatest(expected - whole, F.lit(0.0)))

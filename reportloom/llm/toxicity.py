@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import bounded, crc_bucket, ship_code
+from reportloom.llm.common import crc_bucket, ship_code, staged
+from reportloom.plans.staging import dropped_afterwards
 
-#: Bound of the labelled sample: rows of each class on which the field is fitted.
-SAMPLE_ROWS = 1000
+#: Bounds of the labelled sample on which the field is fitted: documents of each class, and their characters in all. A word
+#: and the space behind it have two characters at least, so a class has at most half as many words.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4_000_000
 #: Buckets for hashed words; words remembered by a worker; words judged together; steps of a block.
 BUCKETS, REMEMBERED, TOGETHER, STEPS = 1 << 18, 600_000, 1 << 17, 512
 #: Lengths of the beginnings of a word that are keys of their own, so that forms of one stem are known by it.
@@ -180,50 +181,87 @@ def doc_scores(values: np.ndarray, lengths: np.ndarray, model: Field) -> np.ndar
     return 1 / (1 + np.exp(-(model.slope * _logit(largest(values, lengths)) + model.level)))
 
 
-def unlike(texts: list[list[str]]) -> list[int]:
-    """Places of documents that share less than half of a sketch of their five-word runs with one taken before.
+def unlike(sketches: list[bytes]) -> list[int]:
+    """Places of documents whose sketch shares less than half with those taken before.
 
     Copies would make every word of a copied document look as telling as its label.
     """
     seen: set[int] = set()
     out = []
-    for k, words in enumerate(texts):
-        runs = {zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))}
-        sketch = sorted(runs)[:16]
+    for k, packed in enumerate(sketches):
+        sketch = np.frombuffer(packed, np.uint32).tolist()
         if 2 * len(seen.intersection(sketch)) < len(sketch):
             out.append(k)
             seen.update(sketch)
     return out
 
 
-def fit(texts: list[str], toxic: list[int], toxic_share: float = 0.5) -> Field | None:
-    """Fit the field to documents with labels; None where either class or every telling word is missing.
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each labelled text the crc32 of every word's keys (zeros for none) and the least of its five-word runs' crc32."""
+    for batch in batches:
+        for text, rest in zip(batch.column("text").to_pylist(), (batch.slice(k, 1) for k in range(batch.num_rows)), strict=True):
+            words = _WORD.findall(text)
+            known: dict[str, list[int]] = {}
+            for word in set(words):
+                codes = [zlib.crc32(key.encode("utf-8", "surrogatepass")) for key in keys(word)]
+                known[word] = codes or [0] * (1 + len(BEGINNINGS))
+            codes = np.array([known[w] for w in words], np.uint32)
+            runs = {zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))}
+            sketch = np.array(sorted(runs)[:16], np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [rest.column("__id"), rest.column("toxic"), pa.array([codes.tobytes()], pa.binary()), pa.array([sketch.tobytes()], pa.binary())],
+                names=["__id", "toxic", "codes", "sketch"],
+            )
+
+
+def _telling(codes: np.ndarray, owner: np.ndarray, labels: np.ndarray, rate: list[int]) -> np.ndarray:
+    """The keys that many toxic and hardly any clean documents of the sample hold."""
+    counts = []
+    for y in (True, False):
+        own = labels[owner]
+        own = own if y else ~own
+        held = (owner[own].astype(np.uint64)[:, None] << np.uint64(32)) | codes[own]
+        found, n = np.unique((np.unique(held) & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
+        counts.append((found[found != 0], n[found != 0]))
+    (found, n), (clean, m) = counts
+    some = n >= max(LEAST, COMMON * rate[1])
+    found, n = found[some], n[some]
+    if not len(found) or not len(clean):
+        return found
+    at = np.minimum(np.searchsorted(clean, found), len(clean) - 1)
+    others = np.where(clean[at] == found, m[at], 0)
+    return found[n / rate[1] >= SURE * (n / rate[1] + others / rate[0])]
+
+
+def fit(sample: list, toxic_share: float = 0.5) -> Field | None:
+    """Fit the field to documents with labels (``toxic``, ``codes``, ``sketch``); None without both classes or any telling key.
 
-    ``toxic_share`` is the share of toxic labels outside the sample, which may draw the classes unevenly.
+    ``toxic_share`` is the share of toxic labels outside the sample, which may draw the classes unevenly. ``sample`` is
+    emptied. All of it are flat arrays of numbers: some 20 bytes a word, and some 200 while the sums run.
 
     Labelled tokens: a word is a toxic token, within toxic documents, if it or one of its beginnings is telling, which
     means that many toxic and hardly any clean documents of the sample hold it.
     Weights follow the gradient of the penalised likelihood (expected against labelled counts), by Adam.
     """
-    split = [_WORD.findall(text) for text in texts]
-    chosen = unlike(split)
-    split, labels = [split[k] for k in chosen], np.array([toxic[k] for k in chosen], bool)
+    chosen = [sample[k] for k in unlike([row["sketch"] for row in sample])]
+    sample.clear()
+    labels = np.array([row["toxic"] for row in chosen], bool)
     if labels.all() or not labels.any():
         return None
     # Both classes weigh alike, however many documents the sample has of each.
     rate = [max(1, int((labels == y).sum())) for y in (False, True)]
-    toxic_docs = Counter(key for words, y in zip(split, labels, strict=True) if y for key in {k for w in set(words) for k in keys(w)})
-    toxic_docs = {key: n for key, n in toxic_docs.items() if n >= max(LEAST, COMMON * rate[1])}
-    clean_docs = Counter(
-        key for words, y in zip(split, labels, strict=True) if not y for key in toxic_docs.keys() & {k for w in set(words) for k in keys(w)}
-    )
-    telling = {key for key, n in toxic_docs.items() if n / rate[1] >= SURE * (n / rate[1] + clean_docs[key] / rate[0])}
-    if not telling:
+    lengths = np.array([len(row["codes"]) // (4 * (1 + len(BEGINNINGS))) for row in chosen], np.int64)
+    codes = np.frombuffer(b"".join([row["codes"] for row in chosen]), np.uint32).reshape(-1, 1 + len(BEGINNINGS))
+    del chosen
+    owner = np.repeat(np.arange(len(labels), dtype=np.int32), lengths)
+    telling = _telling(codes, owner, labels, rate)
+    if not len(telling):
         return None
-    ids, first, lengths = laid_out(split)
-    in_toxic = np.repeat(labels, lengths)
-    hits = {w for words in split for w in words if not telling.isdisjoint(keys(w))}
-    wanted = np.array([w in hits for words in split for w in words]) & in_toxic
+    wanted = np.isin(codes, telling).any(1) & labels[owner]
+    ids = np.where(codes.any(1)[:, None], 1 + codes % np.uint32(BUCKETS - 1), 0).astype(np.int32)
+    first = np.zeros(len(ids), bool)
+    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    del codes, owner
     parts = with_neighbours(ids, first)
     model = Field()
     again = wanted[:-1].astype(int) * 2 + wanted[1:].astype(int)
@@ -258,8 +296,12 @@ def fit(texts: list[str], toxic: list[int], toxic_share: float = 0.5) -> Field |
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, folds: int, held_out: int, id_col: str, text_col: str):
-    """At most ``rows`` texts of each class with an even draw by id, out of the folds that may be learnt from; the toxic share."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int, folds: int, held_out: int, id_col: str, text_col: str):
+    """Keys of at most ``rows`` texts of each class with an even draw by id, out of the folds that may be learnt from; the toxic share.
+
+    Texts are taken along the draw as long as the class has at most ``chars`` characters; they become keys in tasks, and
+    only those come to the driver.
+    """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
         .where(crc_bucket(F.col("doc_id"), folds) != held_out)
@@ -270,11 +312,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, folds: int, h
     for label in (0, 1):
         own = known.where(F.col("toxic") == label).orderBy(draw, "doc_id").limit(rows)
         drawn = own if drawn is None else drawn.union(own)
-    drawn = drawn.withColumnRenamed("doc_id", "__id")
+    drawn = staged(drawn.withColumnRenamed("doc_id", "__id"), "toxic-drawn")
     texts = docs.select(docs[id_col].alias("__doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = texts.join(bounded(drawn, 2 * rows), F.col("__doc") == F.col("__id")).select("__id", "text", "toxic")
+    found = texts.join(F.broadcast(drawn), F.col("__doc") == F.col("__id"))
+    sizes = found.groupBy("__id", "toxic").agg(F.max(F.char_length("text")).alias("size"))
+    # At most two times ``rows`` ids and sizes.
+    passed = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("__id", F.lit(11)), "__id"))
+    taken = staged(sizes.withColumn("passed", passed).where(F.col("passed") <= chars).select("__id"), "toxic-taken")
+    sample = found.join(F.broadcast(taken), "__id", "left_semi").select("__id", "text", "toxic")
+    # Of rows that share an id one text counts, the smallest.
+    sample = sample.groupBy("__id", "toxic").agg(F.min("text").alias("text"))
+    kind, label = (sample.schema[c].dataType.simpleString() for c in ("__id", "toxic"))
+    packed = sample.mapInArrow(_packed, f"__id {kind}, toxic {label}, codes binary, sketch binary")
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    return found.dropDuplicates(["__id"]).orderBy("__id").collect(), share
+    return sorted(packed.collect(), key=lambda row: (str(type(row["__id"])), row["__id"])), share
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -314,13 +365,15 @@ def toxicity(
     folds: int = 3,
     held_out: int = 1,
     sample_rows: int = SAMPLE_ROWS,
+    sample_chars: int = SAMPLE_CHARS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Score every whole text: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``spans`` of words tagged toxic (code points).
 
     Labels (``doc_id``, ``toxic``) are learnt only from documents whose crc32 of the id's text modulo ``folds`` is not
-    ``held_out``, at most ``sample_rows`` of each class, drawn by a hash of the id; near copies in the sample count once. The
+    ``held_out``, at most ``sample_rows`` with ``sample_chars`` characters of each class, drawn by a hash of the id; near copies in
+    the sample count once. The
     field's weights (some megabytes, whatever the corpus) are broadcast; forward and backward sums give each word's
     marginal, the largest one gives the score.
 
@@ -331,11 +384,44 @@ def toxicity(
     """
     spark = docs.sparkSession
     ship_code(spark)
-    sample, share = labelled_sample(docs, labels, sample_rows, folds, held_out, id_col, text_col)
-    shared = spark.sparkContext.broadcast(fit([r["text"] for r in sample], [r["toxic"] for r in sample], share))
+    with dropped_afterwards(spark):
+        sample, share = labelled_sample(docs, labels, sample_rows, sample_chars, folds, held_out, id_col, text_col)
+    shared = spark.sparkContext.broadcast(fit(sample, share))
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(
         lambda batches: _score(batches, shared), f"doc_id {kind}, score double, spans array<struct<start:int,end:int>>"
     )
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", "spans")
+
+
+def _below(batches: Iterator[pa.RecordBatch], shared, text_at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(text_at).cast(pa.string()).fill_null("")
+        rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), texts], names=["doc_id", "text"])
+        scores = np.concatenate([np.zeros(0), *(part.column("score").to_numpy() for part in _score(iter([rows]), shared))])
+        yield batch.filter(pa.array(scores < threshold))
+
+
+def without_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.7,
+    folds: int = 3,
+    held_out: int = 1,
+    sample_rows: int = SAMPLE_ROWS,
+    sample_chars: int = SAMPLE_CHARS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows whose score is below ``threshold``, with all their columns.
+
+    Every row is judged by its own text where it stands, so rows that share an id, or have none, are kept or dropped each
+    on its own; no column's name matters. Otherwise as ``toxicity``.
+    """
+    ship_code(docs.sparkSession)
+    with dropped_afterwards(docs.sparkSession):
+        sample, share = labelled_sample(docs, labels, sample_rows, sample_chars, folds, held_out, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(sample, share))
+    place = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda batches: _below(batches, shared, place, threshold), docs.schema)

@@ -77,6 +77,27 @@ def test_mix_by_unequal_weights(spark):
     assert even + odd == 800 and 2.6 < even / odd < 3.4
 
 
+@pytest.mark.parametrize("weights", [(1.0, 1.0), (1.0, 7.0)])
+def test_mix_by_tilt(spark, weights):
+    """Inclusion shares of documents with a high and a low tilt against those that follow from the targets."""
+    rows = [(k, words(20), "a" if k < 1600 else "b") for k in range(2400)]
+    high = F.col("doc_id") % 4 == 0
+    out = mix(docs(spark, rows), weights=weights, tilt=F.when(high, 1.0).otherwise(0.25), seed=5).collect()
+    target = shares({"a": 32_000, "b": 16_000}, weights)
+    for source, n in (("a", 1600), ("b", 800)):
+        base = target[source] / (n * 20)
+        mean = (1 + 3 * 0.25) / 4
+        reach = 0.8 * min(base, 3 - base)
+        assert abs(sum(r.taken for r in out if r.source == source) - target[source]) <= 20
+        for tilt, part in ((1.0, n / 4), (0.25, 3 * n / 4)):
+            copies = [r.copies for r in out if r.source == source and (r.doc_id % 4 == 0) == (tilt == 1.0)]
+            wanted = base + reach * (tilt - mean) / max(mean, 1 - mean)
+            assert len(copies) == part and set(copies) <= {int(wanted), int(wanted) + 1}
+            assert abs(sum(copies) / part - wanted) < 0.08
+    with pytest.raises(ValueError, match="not both"):
+        mix(docs(spark, rows), weight=F.lit(1.0), tilt=F.lit(1.0))
+
+
 def test_mix_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", None), (None, "one two", None), (3, "same text", "b"), (3, "same text", "b"), (4, words(5000), "b")]
     out = {(r.doc_id, r.source): r for r in mix(docs(spark, rows)).collect()}
