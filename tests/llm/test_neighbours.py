@@ -279,8 +279,9 @@ def test_every_operator_has_one_query():
 
 def test_toxic_rows_are_dropped_one_by_one(spark):
     """Rows that share an id or have none, a column named like ones of the stage, long texts: each is judged by its own text."""
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    given = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    given = spark.read.parquet(f"{folder}/documents.parquet")
     judged = toxicity(given, labels).join(given.select("doc_id", "text"), "doc_id")
     bad = judged.orderBy(F.desc("score")).first()
     good = judged.where("text <> ''").orderBy("score").first()
@@ -289,7 +290,7 @@ def test_toxic_rows_are_dropped_one_by_one(spark):
     rows += [(2, None, "a", 7), (3, "", "a", 7), (4, good.text + " word" * 20_000, "a", 7), (5, good.text + " word" * 20_000 + " " + bad.text, "a", 7)]
     odd = spark.createDataFrame(rows, "doc_id long, text string, source string, rejected_id int")
     both = given.select("doc_id", "text", "source", F.lit(7).alias("rejected_id")).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10**9))
-    kept = corpus_pipeline.drop_toxic(spark, both, SF).where("doc_id > 1000000 OR doc_id IS NULL").collect()
+    kept = corpus_pipeline.drop_toxic(spark, both, folder).where("doc_id > 1000000 OR doc_id IS NULL").collect()
     assert kept[0].__fields__ == ["doc_id", "text", "source", "rejected_id"]
     wanted = [(i and i + 10**9, t, s, r) for k, (i, t, s, r) in enumerate(rows) if k not in (0, 3, 8)]
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, wanted))
