@@ -214,14 +214,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _telling(codes: np.ndarray, owner: np.ndarray, labels: np.ndarray, rate: list[int]) -> np.ndarray:
-    """The keys that many toxic and hardly any clean documents of the sample hold."""
-    counts = []
+def _telling(codes: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rate: list[int]) -> np.ndarray:
+    """The keys that many toxic and hardly any clean documents of the sample hold, in order."""
+    ends, counts = np.cumsum(lengths), []
     for y in (True, False):
-        own = labels[owner]
-        own = own if y else ~own
-        held = (owner[own].astype(np.uint64)[:, None] << np.uint64(32)) | codes[own]
-        found, n = np.unique((np.unique(held) & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
+        held = [np.unique(codes[end - n : end]) for end, n, label in zip(ends.tolist(), lengths.tolist(), labels.tolist(), strict=True) if label == y]
+        found, n = np.unique(np.concatenate(held), return_counts=True)
         counts.append((found[found != 0], n[found != 0]))
     (found, n), (clean, m) = counts
     some = n >= max(LEAST, COMMON * rate[1])
@@ -233,11 +231,23 @@ def _telling(codes: np.ndarray, owner: np.ndarray, labels: np.ndarray, rate: lis
     return found[n / rate[1] >= SURE * (n / rate[1] + others / rate[0])]
 
 
+def _portions(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of whole documents of some TOGETHER words each, as places of their first document and behind their last."""
+    ends = np.cumsum(lengths)
+    out, begin = [], 0
+    while begin < len(lengths):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        out.append((begin, end))
+        begin = end
+    return out
+
+
 def fit(sample: list, toxic_share: float = 0.5) -> Field | None:
     """Fit the field to documents with labels (``toxic``, ``codes``, ``sketch``); None without both classes or any telling key.
 
     ``toxic_share`` is the share of toxic labels outside the sample, which may draw the classes unevenly. ``sample`` is
-    emptied. All of it are flat arrays of numbers: some 20 bytes a word, and some 200 while the sums run.
+    emptied. It is kept as flat numbers, some 25 bytes a word, and the sums run over some TOGETHER words at a time.
 
     Labelled tokens: a word is a toxic token, within toxic documents, if it or one of its beginnings is telling, which
     means that many toxic and hardly any clean documents of the sample hold it.
@@ -253,39 +263,53 @@ def fit(sample: list, toxic_share: float = 0.5) -> Field | None:
     lengths = np.array([len(row["codes"]) // (4 * (1 + len(BEGINNINGS))) for row in chosen], np.int64)
     codes = np.frombuffer(b"".join([row["codes"] for row in chosen]), np.uint32).reshape(-1, 1 + len(BEGINNINGS))
     del chosen
-    owner = np.repeat(np.arange(len(labels), dtype=np.int32), lengths)
-    telling = _telling(codes, owner, labels, rate)
+    telling = _telling(codes, lengths, labels, rate)
     if not len(telling):
         return None
-    wanted = np.isin(codes, telling).any(1) & labels[owner]
-    ids = np.where(codes.any(1)[:, None], 1 + codes % np.uint32(BUCKETS - 1), 0).astype(np.int32)
-    first = np.zeros(len(ids), bool)
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    del codes, owner
-    parts = with_neighbours(ids, first)
+    ends = np.cumsum(lengths)
+    spans = [(int(ends[b] - lengths[b]), int(ends[e - 1])) for b, e in _portions(lengths) if lengths[b:e].any()]
+    ids = np.empty(codes.shape, np.int32)
+    first, wanted, in_toxic = np.zeros(len(ids), bool), np.zeros(len(ids), bool), np.repeat(labels, lengths)
+    first[(ends - lengths)[lengths > 0]] = True
+    for a, b in spans:
+        own = codes[a:b]
+        ids[a:b] = np.where(own.any(1)[:, None], 1 + own % np.uint32(BUCKETS - 1), 0)
+        at = np.minimum(np.searchsorted(telling, own), len(telling) - 1)
+        wanted[a:b] = (telling[at] == own).any(1) & in_toxic[a:b]
+    del codes
     model = Field()
-    again = wanted[:-1].astype(int) * 2 + wanted[1:].astype(int)
-    again = np.bincount(again[~first[1:]], minlength=4).reshape(2, 2)
+    again = np.zeros((2, 2))
+    for a, b in spans:
+        pairs = wanted[a : b - 1].astype(int) * 2 + wanted[a + 1 : b].astype(int)
+        again += np.bincount(pairs[~first[a + 1 : b]], minlength=4).reshape(2, 2)
     starts = np.array([(~wanted[first]).sum(), wanted[first].sum()])
     moments = [[np.zeros_like(x, float) for x in (model.words, model.steps, model.start)] for _ in range(2)]
     for turn in range(1, ROUNDS + 1):
-        gain = sum(table[part] for table, part in zip(model.words, parts, strict=True)).astype(float)
-        marginal, pairs = forward_backward(gain, first, model)
-        off = wanted - marginal
-        grads = [
-            np.stack([np.bincount(part, weights=off, minlength=BUCKETS) for part in parts]) - RIDGE * len(ids) * model.words,
-            again - pairs,
-            starts - np.array([(1 - marginal[first]).sum(), marginal[first].sum()]),
-        ]
+        grads = [-RIDGE * len(ids) * model.words.astype(float), again.copy(), starts.astype(float)]
+        for a, b in spans:
+            parts = with_neighbours(ids[a:b], first[a:b])
+            gain = sum(table[part] for table, part in zip(model.words, parts, strict=True)).astype(float)
+            marginal, pairs = forward_backward(gain, first[a:b], model)
+            off, opening = wanted[a:b] - marginal, marginal[first[a:b]]
+            for row, part in zip(grads[0], parts, strict=True):
+                row += np.bincount(part, weights=off, minlength=BUCKETS)
+            grads[1] -= pairs
+            grads[2] -= np.array([(1 - opening).sum(), opening.sum()])
         for place, (name, g) in enumerate(zip(("words", "steps", "start"), grads, strict=True)):
-            moments[0][place] = 0.9 * moments[0][place] + 0.1 * g
-            moments[1][place] = 0.99 * moments[1][place] + 0.01 * g * g
-            move = (moments[0][place] / (1 - 0.9**turn)) / (np.sqrt(moments[1][place] / (1 - 0.99**turn)) + 1e-8)
+            m, v = moments[0][place], moments[1][place]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
             value = getattr(model, name)
-            setattr(model, name, (value + RATE * move * (0.5 if place else 1)).astype(value.dtype))
+            move = m / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
+            move *= RATE * (0.5 if place else 1) / (1 - 0.9**turn)
+            setattr(model, name, (value + move).astype(value.dtype))
     model.words[:, 0] = 0
     # Scores: a logistic line over the largest marginal, the classes weighing as among all labels, by Newton's method.
-    x = _logit(largest(marginals(ids, first, model), lengths)) / 10
+    most = np.zeros(len(labels))
+    for begin, end in _portions(lengths):
+        a, b = int(ends[begin] - lengths[begin]), int(ends[end - 1])
+        most[begin:end] = largest(marginals(ids[a:b], first[a:b], model), lengths[begin:end])
+    x = _logit(most) / 10
     y, weight = labels.astype(float), np.where(labels, toxic_share / rate[1], (1 - toxic_share) / rate[0]) * len(labels)
     line, rows = np.zeros(2), np.stack([x, np.ones_like(x)], 1)
     for _ in range(25):
