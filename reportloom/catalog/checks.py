@@ -8,13 +8,14 @@ from reportloom.catalog.registry import query, table
 from reportloom.catalog.reports import report_spec
 from reportloom.functions import formulas as X
 from reportloom.operators import predicates as P
-from reportloom.operators.columns import clean_output_name, list_columns
+from reportloom.operators.columns import cleaned_output_names, list_columns
 from reportloom.operators.combine import append_tables
 from reportloom.operators.lookup import link_tables
 from reportloom.operators.ordering import sort_rows
 from reportloom.operators.pivot import group_agg, pivot_long
-from reportloom.plans.job import analyze_pool, run_report_job
+from reportloom.plans.job import analyze_pool, build_pool, run_report_job
 from reportloom.plans.preset import preset_filter
+from reportloom.plans.spec import JobSpec
 from reportloom.plans.staging import new_path
 from reportloom.sources.listing import list_data_files
 from reportloom.sources.outputs import with_positions, write_output
@@ -147,19 +148,22 @@ def scan_sheets(spark, sf_dir):
 
 
 @query("""
-    SELECT * FROM (VALUES ('A', 'o_orderkey', 'bigint'), ('B', 'o_custkey', 'bigint'), ('C', 'o_orderstatus', 'string'),
-        ('D', 'o_totalprice', 'double'), ('E', 'o_orderdate', 'timestamp_ntz'), ('F', 'o_orderpriority', 'string')) t(letter, name, type)
+    SELECT letter, name, type, CASE WHEN name = 'o_orderstatus' THEN unfinished ELSE n END AS filled
+    FROM (VALUES ('A', 'o_orderkey', 'bigint'), ('B', 'o_custkey', 'bigint'), ('C', 'o_orderstatus', 'string'),
+        ('D', 'o_totalprice', 'double'), ('E', 'o_orderdate', 'timestamp_ntz'), ('F', 'o_orderpriority', 'string')) t(letter, name, type),
+        (SELECT count(*) AS n, count(*) FILTER (o_orderstatus <> 'F') AS unfinished FROM orders)
 """)
 def column_letters(spark, sf_dir):
-    return list_columns(table(spark, sf_dir, "orders"))
+    """Letters, names and types of a table's columns, and how many rows have a value in each."""
+    orders = table(spark, sf_dir, "orders")
+    return list_columns(orders.withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'F')")), counted=True)
 
 
-@query("SELECT regexp_replace(n_name || ' / a name longer than a sheet may have', '\\W+', '_', 'g') AS name FROM nation")
+@query("SELECT p_partkey, trim(regexp_replace('* ' || p_name || ' / ' || p_type || ', 50%', '\\W+', '_', 'g'), '_') AS name FROM part")
 def output_names(spark, sf_dir):
     """Names for folders, in full."""
-    names = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").collect()]
-    made = [(clean_output_name(f"{name} / a name longer than a sheet may have"),) for name in names]
-    return spark.createDataFrame(made, "name string")
+    text = F.concat(F.lit("* "), "p_name", F.lit(" / "), "p_type", F.lit(", 50%"))
+    return table(spark, sf_dir, "part").select("p_partkey", cleaned_output_names(text).alias("name"))
 
 
 @query("""
@@ -177,10 +181,18 @@ def run_report(spark, sf_dir):
 _POOL = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "cust_c_name", "cust_c_nationkey", "cust_c_mktsegment", "n_name"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_POOL)) + ") t(place, name)")
+@query(
+    "SELECT place, name, CASE WHEN name LIKE 'cust%' THEN met WHEN name = 'n_name' THEN placed ELSE n END AS filled FROM (VALUES "
+    + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_POOL))
+    + """) t(place, name), (SELECT count(*) AS n, count(c_custkey) AS met, count(n_nationkey) AS placed
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)"""
+)
 def pool_columns(spark, sf_dir):
-    """Columns of the joined table, known without a job."""
-    return spark.createDataFrame(list(enumerate(analyze_pool(spark, report_spec(sf_dir)))), "place int, name string")
+    """Columns of the joined table, known without a job, and how many of its rows have a value in each."""
+    spec = report_spec(sf_dir) | {"infer": False}
+    known = spark.createDataFrame(list(enumerate(analyze_pool(spark, spec))), "place int, name string")
+    pool = build_pool(spark, JobSpec.from_dict(spec | {"tasks": []}))
+    return known.join(list_columns(pool, counted=True).select("name", "filled"), "name", "left").select("place", "name", "filled")
 
 
 @query("SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -193,23 +205,26 @@ def rule_skipped(spark, sf_dir):
 
 
 @query("""
-    SELECT * FROM (VALUES ('no values', 'nothing to aggregate'), ('no keys', 'values need group or pivot columns'),
-        ('key as value', 'keys cannot be values too: [''o_custkey'']'), ('unknown column', 'unknown columns: [''nowhere'']')) t(arguments, message)
+    SELECT arguments, message, CAST(NULL AS BIGINT) AS groups FROM (VALUES ('no values', 'nothing to aggregate'),
+        ('no keys', 'values need group or pivot columns'), ('key as value', 'keys cannot be values too: [''o_custkey'']'),
+        ('unknown column', 'unknown columns: [''nowhere'']')) t(arguments, message)
+    UNION ALL SELECT 'as meant', NULL, count(DISTINCT o_custkey) FROM orders
 """)
 def bad_arguments(spark, sf_dir):
-    """What is said of arguments that cannot be meant."""
+    """What is said of arguments that cannot be meant, beside the groups that right ones give."""
     orders = table(spark, sf_dir, "orders")
     cases = {
         "no values": (["o_custkey"], {}), "no keys": ([], {"o_totalprice": "sum"}),
         "key as value": (["o_custkey"], {"o_custkey": "count"}), "unknown column": (["o_custkey"], {"nowhere": "sum"}),
+        "as meant": (["o_custkey"], {"o_totalprice": "sum"}),
     }
     told = []
     for name, (keys, values) in cases.items():
         try:
-            group_agg(orders, keys, values)
+            told.append((name, None, group_agg(orders, keys, values).count()))
         except ValueError as error:
-            told.append((name, str(error)))
-    return spark.createDataFrame(told, "arguments string, message string")
+            told.append((name, str(error), None))
+    return spark.createDataFrame(told, "arguments string, message string, groups long")
 
 
 @query("""

@@ -126,13 +126,18 @@ def keep_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([ref(c) for c in names if c in have])
 
 
-def list_columns(df: DataFrame) -> DataFrame:
-    """Letter, name and type of each column, read from the schema alone."""
-    rows = [
-        (column_letter(i), field.name, field.dataType.simpleString())
-        for i, field in enumerate(df.schema.fields)
-    ]
-    return df.sparkSession.createDataFrame(rows, "letter string, name string, type string")
+def list_columns(df: DataFrame, counted: bool = False) -> DataFrame:
+    """Letter, name and type of each column, read from the schema alone.
+
+    With ``counted`` also ``filled``, the number of rows that have a value there, from one aggregate over all rows.
+    """
+    fields = df.schema.fields
+    rows = [(column_letter(i), field.name, field.dataType.simpleString()) for i, field in enumerate(fields)]
+    spark, schema = df.sparkSession, "letter string, name string, type string"
+    if not counted:
+        return spark.createDataFrame(rows, schema)
+    filled = df.agg(*[F.count_if(present(df, field.name)).alias(f"c{i}") for i, field in enumerate(fields)]).first()
+    return spark.createDataFrame([(*row, n) for row, n in zip(rows, filled)], schema + ", filled long")
 
 
 def repeated_name(names: Iterable[str]) -> str | None:
@@ -158,3 +163,10 @@ def project_detail(df: DataFrame, col_map: Iterable[tuple[str, str] | dict]) ->
 def clean_output_name(name: str) -> str:
     """Name usable as a folder, in full: runs of other signs become ``_``."""
     return re.sub(r"\W+", "_", name).strip("_") or FALLBACK_OUTPUT_NAME
+
+
+def cleaned_output_names(names: Column) -> Column:
+    """``clean_output_name`` for a column of names."""
+    joined = F.regexp_replace(names, r"(?U)\W+", "_")
+    bare = F.regexp_replace(joined, "^_+|_+$", "")
+    return F.when(bare == "", F.lit(FALLBACK_OUTPUT_NAME)).otherwise(bare)

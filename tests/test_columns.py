@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from reportloom.operators.columns import (
     clean_output_name,
     column_letter,
@@ -82,3 +84,18 @@ def test_output_names():
     assert clean_output_name("销售-表") == "销售_表"
     assert clean_output_name("***") == "TASK"
     assert clean_output_name("x" * 50) == "x" * 50
+
+
+def test_names_cleaned_in_a_column_as_one_by_one(spark):
+    from reportloom.operators.columns import clean_output_name, cleaned_output_names
+
+    names = ["a b", "  x/y:z  ", "销售 2024", "___", "", "é-ü", "a__b", "_a_", "100%", "\t"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", cleaned_output_names(F.col("n")).alias("c"))
+    assert {r.n: r.c for r in df.collect()} == {n: clean_output_name(n) for n in names}
+
+
+def test_columns_with_counts(spark):
+    df = spark.createDataFrame([(1, float("nan"), None), (None, 2.0, None)], "a int, b double, c string")
+    assert [tuple(r) for r in list_columns(df, counted=True).collect()] == [
+        ("A", "a", "int", 1), ("B", "b", "double", 1), ("C", "c", "string", 0),
+    ]
