@@ -114,6 +114,22 @@ def ship_code(spark: SparkSession) -> None:
         context.addPyFile(archive)
 
 
+#: By operator, how a Python worker forgets what it remembers for it.
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """Say that workers remember something for an operator from task to task, and how they forget it."""
+    _memories[operator] = forget
+
+
+def memory_for(operator: str) -> None:
+    """Forget what this worker remembers for other operators: workers outlive a stage, and their memory would add up."""
+    for name, forget in _memories.items():
+        if name != operator:
+            forget()
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast of the table where it has at most ``rows`` rows, as counted; beyond that the table itself, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

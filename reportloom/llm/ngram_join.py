@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import bounded, components, finished, ship_code, staged
+from reportloom.llm.common import bounded, components, finished, remembers, ship_code, staged
 
 #: Words in a shingle; the similarity as a fraction.
 WORDS, OVER, UNDER = 5, 75, 100
@@ -37,6 +37,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+remembers("ngram_join", _hashes.clear)
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:

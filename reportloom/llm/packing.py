@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import ship_code, staged
+from reportloom.llm.common import memory_for, remembers, ship_code, staged
 from reportloom.llm.tokens import WordEncoder
 
 #: Hashed features of a document, dimensions they are projected to, bits of the curve in each.
@@ -26,6 +26,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+remembers("packing", lambda: encoder.cache_clear())
+
+
 @lru_cache(maxsize=1)
 def _hashing(ids: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and sign of each token id, and the projection of the buckets; the same in every task."""
@@ -77,6 +80,7 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    memory_for("packing")
     model = encoder(path)
     kind = np.dtype("<u2" if model.code == "H" else "<u4")
     end = np.array([end_id], kind).tobytes()

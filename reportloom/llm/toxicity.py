@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import crc_bucket, ship_code, staged
+from reportloom.llm.common import crc_bucket, memory_for, remembers, ship_code, staged
 from reportloom.plans.staging import dropped_afterwards
 
 #: Bounds of the labelled sample on which the field is fitted: documents of each class, and their characters in all. A word
 #: and the space behind it have two characters at least, so a class has at most half as many words.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4_000_000
 #: Buckets for hashed words; words remembered by a worker; words judged together; steps of a block.
-BUCKETS, REMEMBERED, TOGETHER, STEPS = 1 << 18, 150_000, 1 << 17, 512
+BUCKETS, REMEMBERED, TOGETHER, STEPS = 1 << 18, 600_000, 1 << 17, 512
 #: Lengths of the beginnings of a word that are keys of their own, so that forms of one stem are known by it.
 BEGINNINGS = (4, 5, 6, 7)
 #: What makes a key telling: the share of toxic documents among those that hold it (both classes weighing alike), the share of
@@ -68,6 +68,7 @@ class Features:
 
 
 _features = Features()
+remembers("toxicity", _features.__init__)
 
 
 @dataclass
@@ -353,6 +354,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int, f
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    memory_for("toxicity")
     model: Field | None = shared.value
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
