@@ -5,9 +5,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ from reportloom.llm.tokens import WordEncoder
 
 #: Hashed features of a document, dimensions they are projected to, bits of the curve in each.
 FEATURES, DIMENSIONS, BITS = 256, 3, 16
-#: Documents tokenised together, so that a worker holds the words of few at a time.
-TOGETHER = 128
+#: Bytes of text tokenised together, so that a worker holds the words of few documents at a time; a longer text is alone.
+TOGETHER = 1 << 22
 
 
 @lru_cache(maxsize=4)
@@ -40,14 +42,16 @@ def _hashing(ids: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def project(ids: np.ndarray) -> np.ndarray:
-    """A document's tokens as a point: hashed counts, damped, of length one, projected."""
+def project(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Documents, whose tokens stand one after the other, as points: hashed counts, damped, of length one, projected."""
     buckets, signs, onto = _hashing()
     folded = ids & 0xFFFF
-    counts = np.bincount(buckets[folded], weights=signs[folded], minlength=FEATURES)
+    cells = np.repeat(np.arange(len(sizes)) * FEATURES, sizes) + buckets[folded]
+    counts = np.bincount(cells, signs[folded], len(sizes) * FEATURES).reshape(-1, FEATURES)
     damped = np.sign(counts) * np.log1p(np.abs(counts))
-    size = np.sqrt((damped * damped).sum())
-    return damped @ onto / size if size else np.zeros(DIMENSIONS)
+    size = np.sqrt((damped * damped).sum(1, keepdims=True))
+    # Not a matrix product, whose rounding may depend on the other documents.
+    return np.einsum("df,fk->dk", damped, onto) / np.where(size == 0, 1, size)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -79,22 +83,34 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return place.astype(np.int64)
 
 
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows that are tokenised together: as many as have at most ``TOGETHER`` bytes, at least one."""
+    ends, begin = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        yield begin, end - begin
+        begin = end
+
+
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     memory_for("packing")
     model = encoder(path)
-    kind = np.dtype("<u2" if model.code == "H" else "<u4")
-    end = np.array([end_id], kind).tobytes()
     for batch in batches:
-        for begin in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(begin, TOGETHER)
-            found = [ids + end for ids in model.batch(part.column("text").to_pylist())]
-            arrays = [np.frombuffer(ids, kind) for ids in found]
-            points = np.array([project(a) for a in arrays]).reshape(-1, DIMENSIONS)
+        for begin, rows in _portions(batch.column("text")):
+            part = batch.slice(begin, rows)
+            ids, sizes = model.batch(part.column("text"))
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
+            ends = np.append(0, np.cumsum(sizes)) * ids.itemsize
+            raw = ids.tobytes()
+            found = [raw[a:b] for a, b in pairwise(ends.tolist())]
+            points = project(ids, sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), part.column("row"),
-                    pa.array([len(a) for a in arrays], pa.int64()),
-                    pa.array([zlib.crc32(ids) for ids in found], pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(map(zlib.crc32, found), pa.int64()),
                     pa.array(found, pa.binary()),
                     *(pa.array(points[:, d]) for d in range(DIMENSIONS)),
                 ],

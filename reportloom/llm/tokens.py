@@ -8,6 +8,9 @@ from array import array
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+
 #: Entries after which a worker forgets the pieces it has seen; bounds its memory, changes no result.
 REMEMBERED = 800_000
 
@@ -18,9 +21,10 @@ ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x
 _W, _N, _X = f"[{PLAIN}{ODD}]", f"[^{PLAIN}{ODD}]", f"[{ODD}]"
 #: A unit begins at the text's start or at plain white space right after a character that is no white space.
 UNIT = re.compile(f"{_W}*{_N}+(?:{_X}{_W}*{_N}+)*(?:{_X}{_W}*)?|{_W}+")
-_SEPARATOR = re.compile(f"[{PLAIN}]+")
-#: A character that the word tokenizer encodes as one id, set between pieces; words that hold it are encoded alone.
-_MARK = "\x01"
+_IS_PLAIN = np.isin(np.arange(256), [ord(c) for c in PLAIN])
+#: The byte-level alphabet: bytes that print stand for themselves, all others, in their order, for the characters from 256 on.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _SELF)}
 #: What the word tokenizer cuts lower-cased Latin-1 words into.
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
@@ -79,6 +83,26 @@ class UnitCounter:
         return list(accumulate(map(len, units), initial=0)), list(accumulate(self.unit_counts(units), initial=0))
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts between plain white space, each distinct one numbered once, and how many words each text has."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, content = texts.buffers()
+    offsets = np.frombuffer(offsets, "<i8", len(texts) + 1, texts.offset * 8)
+    raw = np.frombuffer(content, np.uint8)[offsets[0] : offsets[-1]] if content else np.zeros(0, np.uint8)
+    ends = offsets - offsets[0]
+    letter = ~_IS_PLAIN[raw]
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    heads = ends[:-1][ends[:-1] < len(raw)]
+    first[heads] |= letter[heads]
+    begins = np.flatnonzero(first)
+    # Without white space the words stand side by side; where each begins there, and the end of the last.
+    packed = raw[letter]
+    places = np.append(np.cumsum(letter)[begins] - 1, len(packed)).astype("<i8")
+    words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(places), pa.py_buffer(packed)).dictionary_encode()
+    return words, np.diff(np.searchsorted(begins, ends))
+
+
 class WordEncoder:
     """Token ids by a tokenizer that drops white space and tokenises what stands between on its own.
 
@@ -92,50 +116,54 @@ class WordEncoder:
         self.code = "H" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.mark = self.model.encode(_MARK, add_special_tokens=False).ids
-
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces: as one text with a mark between, which costs less than a call for each."""
-        out: dict[str, bytes] = {}
-        for i in range(0, len(pieces), 1000):
-            some = pieces[i : i + 1000]
-            ids = array(self.code, self.model.encode(f" {_MARK} ".join(some), add_special_tokens=False).ids)
-            ends = [*(k for k, x in enumerate(ids) if x == self.mark[0]), len(ids)]
-            begin = 0
-            for piece, end in zip(some, ends, strict=True):
-                out[piece] = ids[begin:end].tobytes()
-                begin = end + 1
-        return out
+        self.merged = self.model.model.tokenize
+
+    def _merged(self, piece: str) -> bytes:
+        """Ids of a piece, whose bytes go to the merges in the byte alphabet (printable ASCII is that already)."""
+        plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_ALPHABET)
+        return array(self.code, [token.id for token in self.merged(plain)]).tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        cut = {w: _PIECE.findall(w.lower()) if w.isascii() or max(w) <= "\xff" else [] for w in words if _MARK not in w and "<|" not in w}
-        cut = {w: found for w, found in cut.items() if found}
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        missing = {p for found in cut.values() for p in found} - self.pieces.keys()
-        self.pieces |= self._encode(list(missing))
-        get = self.pieces.__getitem__
-        new = {w: b"".join(map(get, found)) for w, found in cut.items()}
-        if whole := [w for w in words if w not in new]:
+        new, whole, known = {}, [], self.pieces
+        if len(known) > REMEMBERED:
+            known.clear()
+        for word in words:
+            # Special strings, signs that do not print (odd white space too) and characters beyond Latin-1 are the library's.
+            if (not word.isascii() and max(word) > "\xff") or not word.isprintable() or "<|" in word:
+                whole.append(word)
+                continue
+            parts = []
+            for piece in _PIECE.findall(word.lower()):
+                if (ids := known.get(piece)) is None:
+                    ids = known[piece] = self._merged(piece)
+                parts.append(ids)
+            new[word] = parts[0] if len(parts) == 1 else b"".join(parts)
+        if whole:
             encoded = self.model.encode_batch_fast(whole, add_special_tokens=False)
             new |= {w: array(self.code, e.ids).tobytes() for w, e in zip(whole, encoded, strict=True)}
         return new
 
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian numbers of the width that the vocabulary needs."""
-        return self.batch([text])[0]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of several texts; words that are new in them are learnt in one go."""
-        split = [_SEPARATOR.split(t) if any(c in t for c in ODD) else t.split() for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        new: dict[str, bytes] = {}
-        if missing := {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}:
-            new = self._learn(list(missing))
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has.
+
+        Each distinct word of the batch is looked up once; the ids of all words are gathered from those.
+        """
+        kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        words, held = words_of(texts)
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        if missing := [w for w, got in zip(distinct, found, strict=True) if got is None]:
+            new = self._learn(missing)
+            found = [new[w] if got is None else got for w, got in zip(distinct, found, strict=True)]
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
             self.known |= new
-        return [
-            b"".join([new[w] if g is None else g for w, g in zip(words, got, strict=True)] if None in got else got)
-            for words, got in zip(split, found, strict=True)
-        ]
+        store = np.frombuffer(b"".join(found), kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
+        which = words.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        # The k-th id of a word is the k-th after its begin in the store: its own place, shifted by the word.
+        shift = (np.cumsum(sizes) - sizes)[which] - (ends - counts)
+        ids = store[np.repeat(shift, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.append(0, ends)[np.append(0, np.cumsum(held))])
