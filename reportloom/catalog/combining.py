@@ -64,6 +64,26 @@ def align_with_null_keys(spark, sf_dir):
     return align_tables([orders, customer])
 
 
+@query("""
+    WITH o AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS custkey, o_orderkey AS orderkey FROM orders),
+         c AS (SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS custkey, c_name AS name FROM customer),
+         e AS (SELECT user_id AS custkey, event_id, event_type FROM events),
+         oc AS (SELECT coalesce(o.custkey, c.custkey) AS custkey, orderkey, name FROM o FULL JOIN c ON o.custkey = c.custkey)
+    SELECT coalesce(oc.custkey, e.custkey) AS custkey, orderkey, name, event_id, event_type
+    FROM oc FULL JOIN e ON oc.custkey = e.custkey
+""")
+def align_three_tables(spark, sf_dir):
+    """Three tables with repeated keys in two of them and missing keys in two, in one exchange."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS custkey", "o_orderkey AS orderkey"
+    )
+    customer = table(spark, sf_dir, "customer").selectExpr(
+        "CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS custkey", "c_name AS name"
+    )
+    events = table(spark, sf_dir, "events").selectExpr("user_id AS custkey", "event_id", "event_type")
+    return align_tables([orders, customer, events])
+
+
 @query("SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels")
 def merge_folder_doc_id(spark, sf_dir):
     """Of all tables in the folder, the ones with a doc_id; the others are skipped."""

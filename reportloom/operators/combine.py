@@ -15,6 +15,10 @@ from reportloom.operators.ordering import tie_breaker
 from reportloom.plans.staging import settle
 
 
+#: Bytes of one table's rows that meet others in one group, as far as single rows allow, and what a row counts besides its texts.
+_BLOCK, _ROW = 4 << 20, 1024
+
+
 def _common_type(types: Sequence[T.DataType]) -> str | None:
     """Cast needed so that a column can be stacked; None when Spark's own widening is safe."""
     if all(t == types[0] for t in types):
@@ -50,7 +54,8 @@ def append_tables(tables: Sequence[DataFrame]) -> DataFrame:
 def align_tables(tables: Sequence[DataFrame], ordered: bool = True) -> DataFrame:
     """Full outer join on all columns the tables share, sorted by them.
 
-    Null keys match nothing. Every other column must belong to one table only.
+    Null keys match nothing. Every other column must belong to one table only. Two tables are joined by a lazy plan; three or
+    more are read once each, written below one another in the shared folder, and meet in one exchange.
     """
     if len(tables) < 2:
         raise ValueError("aligning takes at least two tables")
@@ -72,10 +77,7 @@ def align_tables(tables: Sequence[DataFrame], ordered: bool = True) -> DataFrame
         df.select([value_of(df, c).cast(casts[c]).alias(c) if c in casts else ref(c) for c in df.columns])
         for df in tables
     ]
-    joined = _full_outer(keyed[0], keyed[1], common)
-    for df in keyed[2:]:
-        # Each step reads its left side more than once: let it run once.
-        joined = _full_outer(settle(joined, "align"), df, common)
+    joined = _full_outer(*keyed, common) if len(keyed) == 2 else _beside(keyed, common)
     joined = joined.select([ref(c) for c in [*common, *extra]])
     if not ordered:
         return joined
@@ -96,3 +98,51 @@ def _full_outer(a: DataFrame, b: DataFrame, common: Sequence[str]) -> DataFrame:
     return matched.unionByName(left_only, allowMissingColumns=True).unionByName(
         right_only, allowMissingColumns=True
     )
+
+
+def _size(df: DataFrame, names: Sequence[str]) -> Column:
+    """About the bytes of a row."""
+    texts = [c for c in names if isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType))]
+    return reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(ref(c)), F.lit(0)) for c in texts], F.lit(_ROW)).cast("bigint")
+
+
+def _beside(tables: Sequence[DataFrame], common: Sequence[str]) -> DataFrame:
+    """Rows of all tables that share a key side by side, each with each; a table without the key gives nulls.
+
+    The tagged rows of all tables are written once. One exchange brings those of a key together. Where a table has more than
+    ``_BLOCK`` bytes of a key, its rows are dealt out to blocks and the other tables' rows of the key go to each of them, so a
+    group holds at most one block of each table, however frequent a key is in whichever of them. Only such hot
+    keys are counted out: their table has a row for each block's worth of input at most. A row without a key is a group of its own.
+    """
+    keys = [f"k{j}" for j in range(len(common))]
+    sides = [f"t{i}" for i in range(len(tables))]
+    extra = [[c for c in df.columns if c not in common] for df in tables]
+    tagged = []
+    for i, (df, names) in enumerate(zip(tables, extra)):
+        row = F.struct(F.lit(True).alias("here"), *[ref(c).alias(f"c{k}") for k, c in enumerate(names)])
+        own = [ref(c).alias(k) for c, k in zip(common, keys)]
+        tagged.append(df.select(*own, F.lit(i).alias("of"), _size(df, names).alias("size"), row.alias(sides[i])))
+    rows = settle(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged), "align")
+
+    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    sizes = rows.where(~keyless).groupBy(*keys, "of").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    large = sizes.where(F.col("size") > _BLOCK)
+    blocks = [f"n{i}" for i in range(len(tables))]
+    # No more blocks than rows: then a row is never copied more often than it is in the result.
+    needed = F.least(F.ceil(F.col("size") / _BLOCK), "rows")
+    hot = large.groupBy(*keys).agg(*[F.max(F.when(F.col("of") == i, needed)).alias(n) for i, n in enumerate(blocks)])
+    dealt = rows.withColumn("id", F.monotonically_increasing_id()).join(settle(hot, "align-hot"), keys, "left")
+    dealt = dealt.fillna(1, blocks).withColumn("alone", F.when(keyless, F.col("id")))
+    cells = [f"b{i}" for i in range(len(tables))]
+    for i, (cell, n) in enumerate(zip(cells, blocks)):
+        mine = F.array(F.pmod(F.xxhash64("id"), F.col(n)))
+        every = F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+        dealt = dealt.withColumn(cell, F.explode(F.when(F.col("of") == i, mine).otherwise(every)))
+    gathered = [F.collect_list(side).alias(side) for side in sides]
+    groups = dealt.groupBy(*keys, "alone", *cells, *blocks).agg(*gathered)
+    # A table of several blocks has the key: where one of them stayed empty, there is nothing to put beside the others.
+    groups = groups.where(reduce(lambda a, b: a & b, [(F.col(n) == 1) | (F.size(t) > 0) for n, t in zip(blocks, sides)]))
+    for side in sides:
+        groups = groups.withColumn(side, F.explode_outer(side))
+    picked = [F.col(side)[f"c{k}"].alias(c) for side, names in zip(sides, extra) for k, c in enumerate(names)]
+    return groups.select(*[F.col(k).alias(c) for k, c in zip(keys, common)], *picked)
