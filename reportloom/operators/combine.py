@@ -74,7 +74,7 @@ def align_tables(tables: Sequence[DataFrame], ordered: bool = True) -> DataFrame
             if df.schema[c].dataType != types[c]:
                 casts[c] = matching_type(df.schema[c].dataType, types[c])
     keyed = [
-        df.select([value_of(df, c).cast(casts[c]).alias(c) if c in casts else ref(c) for c in df.columns])
+        df.select([_key(value_of(df, c).cast(casts[c]), casts[c]).alias(c) if c in casts else ref(c) for c in df.columns])
         for df in tables
     ]
     joined = _full_outer(*keyed, common) if len(keyed) == 2 else _beside(keyed, common)
@@ -85,6 +85,11 @@ def align_tables(tables: Sequence[DataFrame], ordered: bool = True) -> DataFrame
     return joined.withColumn("__tie", tie_breaker(joined)).orderBy(order).drop("__tie")
 
 
+def _key(value: Column, kind: str) -> Column:
+    """The key with one zero only: joins take both for the same, the texts of keys do not."""
+    return F.when(value == 0, F.lit(0).cast(kind)).otherwise(value) if kind in ("float", "double") else value
+
+
 def _full_outer(a: DataFrame, b: DataFrame, common: Sequence[str]) -> DataFrame:
     """Matches and, apart, the rows of each side without one.
 

@@ -1,6 +1,8 @@
+import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reportloom.operators.combine import align_tables, append_tables
 from reportloom.operators.lookup import (
@@ -168,6 +170,60 @@ def test_align_is_a_sorted_full_outer_join(spark):
         align_tables([a, a.select("k", "a"), b])
 
 
+def beside(tables):
+    """Brute force: rows as (key, values of the first table, of the second, ...); keys of two columns, null matches nothing."""
+    keys = {k for table in tables for *k, _ in map(tuple, table) for k in [tuple(k)] if None not in k}
+    out = []
+    for key in keys:
+        held = [[r[-1] for r in table if r[:-1] == key] or [None] for table in tables]
+        out += [(*key, *values) for values in itertools.product(*held)]
+    for i, table in enumerate(tables):
+        out += [(*r[:-1], *(r[-1] if j == i else None for j in range(len(tables)))) for r in table if None in r[:-1]]
+    return rows_of(out)
+
+
+@pytest.mark.parametrize("block", [1, 3000, 1 << 22])
+def test_align_of_several_tables(spark, monkeypatch, block):
+    """Hot keys on one, two and all sides, whatever the size of a block; repeated rows, null and missing keys."""
+    monkeypatch.setattr("reportloom.operators.combine._BLOCK", block)
+    rng = random.Random(block)
+    tables = []
+    for t, (n, hot) in enumerate([(60, 0.4), (25, 0.2), (30, 0.0), (4, 0.5)]):
+        keys = [(1, "h") if rng.random() < hot else (rng.randint(0, 6), rng.choice(["a", "b", None, "h"])) for _ in range(n)]
+        tables.append([(*k, rng.choice([None, f"{t}{rng.randint(0, 9)}"])) for k in keys])
+        tables[-1][0] = (None, "a", "0")
+    frames = [spark.createDataFrame(t, f"k int, K2 string, v{i} string").repartition(3) for i, t in enumerate(tables)]
+    for n in (3, 4):
+        out = align_tables(frames[:n], ordered=False)
+        assert out.columns == ["k", "K2", *(f"v{i}" for i in range(n))]
+        assert rows(out) == beside(tables[:n])
+
+
+def test_align_of_tables_without_rows_or_other_columns(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (None,)], "k int"), spark.createDataFrame([(1, "x"), (2, None)], "k int, b string")
+    assert rows(align_tables([a, b, a])) == rows_of([(1, "x")] * 4 + [(2, None), (None, None), (None, None)])
+    assert rows(align_tables([a.limit(0), b.limit(0), a.limit(0)])) == []
+    nan = spark.createDataFrame([(float("nan"), 1), (-0.0, 2)], "k double, a int")
+    other = nan.selectExpr("abs(k) AS k", "a AS b")
+    for tables in ([nan, other], [nan, other, a.selectExpr("cast(k AS double) AS k").limit(0)]):
+        assert rows(align_tables(tables)) == rows_of([(0.0, 2, 2), (None, 1, None), (None, None, 1)])
+
+
+def test_each_aligned_table_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(k):
+        seen.add(1)
+        return k
+
+    one = spark.range(0, 50, 1, 2).select(counted("id").alias("k"), F.col("id").alias("a"))
+    others = [spark.range(20).selectExpr("cast(id AS int) AS k", f"id AS v{i}") for i in range(3)]
+    out = align_tables([one, *others])
+    assert out.count() == 50 and rows(out)[5] == (13, 13, 13, 13, 13)
+    assert seen.value == 50
+
+
 def chain_rules(spark, rng):
     def rows(n, keys, values):
         return [(rng.choice([None, *range(keys)]), rng.choice([None, *range(values)]), f"v{rng.randrange(9)}") for _ in range(n)]
