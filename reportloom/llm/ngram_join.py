@@ -99,9 +99,9 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
 def _verify(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         last, own, hits = None, np.zeros(0, np.int64), []
-        for a, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "left_text", "right_text")), strict=True):
-            if a != last:
-                last, own = a, shingle_set(left, words)
+        for left, right in zip(*(batch.column(c).to_pylist() for c in ("left_text", "right_text")), strict=True):
+            if left != last:
+                last, own = left, shingle_set(left, words)
             hits.append(linked(own, shingle_set(right, words)))
         kept = pa.table({"u": batch.column("a"), "v": batch.column("b")}).filter(pa.array(hits, pa.bool_()))
         yield from kept.to_batches()
@@ -190,14 +190,21 @@ def spanning(postings: DataFrame, key: list[str]) -> DataFrame:
 
 
 def across(postings: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of documents of different components that share a key and whose sizes allow a link, with the number of keys."""
+    """Pairs of documents of different components that share a key and that ``most`` spanning frequent tokens of each might link.
+
+    Of a linked pair that shares such tokens only, the smaller set consists of them by six sevenths and the larger by three
+    quarters (at a similarity of 0.75). So the first are compared with the second, and not the second with each other.
+    """
+    n, m = F.col("n"), F.col("m")
+    core = postings.where(F.col("most") * (UNDER + OVER) >= n * 2 * OVER)
     other = postings.select(
-        *key, F.col("d").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("frequent").alias("others")
-    )
-    met = postings.join(other, key).where("d < b AND component <> other").where(sizes_fit(F.col("n"), F.col("m")))
-    return met.groupBy(F.col("d").alias("a"), "b").agg(
-        F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"),
-        F.least(F.first("frequent"), F.first("others")).alias("frequent"),
+        *key, F.col("d").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("frequent").alias("others"),
+        F.col("most").alias("theirs"),
+    )
+    met = core.join(other, key).where("component <> other AND (n < m OR n = m AND d < b)")
+    met = met.where(F.least("most", "theirs") * (UNDER + OVER) >= (n + m) * OVER)
+    return met.groupBy(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b")).agg(
+        F.first("n").alias("n"), F.first("m").alias("m"), F.least(F.first("frequent"), F.first("others")).alias("frequent")
     )
 
 
@@ -239,7 +246,7 @@ def groups_of(n: Column) -> Column:
 def token_pairs(postings: DataFrame) -> DataFrame:
     """Pairs of tokens that a document has in one group of its prefix, as postings of their own."""
     dealt = postings.withColumn("grp", F.pmod(F.xxhash64("token"), groups_of(F.col("n"))))
-    first = dealt.select("d", "grp", "n", "component", "frequent", F.col("token").alias("t1"))
+    first = dealt.select("d", "grp", "n", "component", "frequent", "most", F.col("token").alias("t1"))
     second = dealt.select("d", "grp", F.col("token").alias("t2"))
     return first.join(second, ["d", "grp"]).where("t1 < t2").drop("grp")
 
@@ -260,8 +267,9 @@ def near_duplicates(
        prefixes for a link, counting all frequent tokens as shared, go. Documents that have so many frequent
        spanning tokens that they might be linked by those alone go on: their whole sets are ordered rarest first, and in their
        extended prefixes rare tokens are signatures alone and frequent ones in pairs, within groups of tokens
-       of which one must hold two common ones of any linked pair. So a passage that very many documents share makes
-       candidates only where it is most of a document.
+       of which one must hold two common ones of any linked pair. The first token that a linked pair shares stands in both prefixes,
+       so a pair that shares any rare token has met by one; all others share frequent tokens only, which must then be six
+       sevenths of the smaller set. So a passage that very many documents share makes candidates only where it is that much of one.
     5. Candidates are verified on whole texts, and components closed over all verified links.
 
     Nothing is capped: every token, pair and candidate of these lists is used. Null and empty text has no shingles and links
@@ -285,12 +293,10 @@ def _near_duplicates(docs: DataFrame, words: int, id_col: str, text_col: str) ->
     # 1. Classes of equal sets.
     named = sets.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "set_hash")
     classes = staged(named.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")), "join-classes")
-    copies = (
-        named.join(classes.where("rows > 1"), "set_hash").where("doc_id <> class_id").select("class_id", "doc_id").distinct()
-    )
-    copies = staged(copies, "join-copies")
+    copies = named.join(classes.where("rows > 1"), "set_hash").where("doc_id <> class_id")
+    copies = staged(copies.select("class_id", "doc_id", "set_hash").distinct(), "join-copies")
     led = sets.where("doc_id IS NOT NULL AND n > 0").join(
-        bounded(copies.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_anti"
+        bounded(copies.select("doc_id", "set_hash"), BROADCAST_IDS), ["doc_id", "set_hash"], "left_anti"
     )
     # 2. Postings of the prefixes; df, first and last document of every token of several.
     entries = led.select(F.col("doc_id").alias("d"), "n", "prefix")
@@ -322,22 +328,27 @@ def _near_duplicates(docs: DataFrame, words: int, id_col: str, text_col: str) ->
         lambda batches: _whole_sets(batches, words), "d long, n long, tokens array<long>"
     )
     tokens = staged(with_component(whole.select("d", "n", F.explode("tokens").alias("token")).distinct(), member), "join-whole")
-    counted = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    place = F.row_number().over(Window.partitionBy("d").orderBy(F.coalesce("df", F.lit(1)), "token"))
-    ahead = tokens.join(counted, "token", "left").withColumn("place", place)
+    counted = tokens.groupBy("token").agg(
+        F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low <> high").select("token", "df")
+    own = Window.partitionBy("d")
+    ahead = tokens.join(counted, "token", "left").withColumns({
+        "place": F.row_number().over(own.orderBy(F.coalesce("df", F.lit(1)), "token")),
+        "most": F.count(F.when(F.col("df") > RARE, 1)).over(own),
+    })
     ahead = staged(ahead.where(F.col("place") <= prefix_tokens(F.col("n"))).where("df > 1").drop("place"), "join-ahead")
     often = staged(ahead.where(F.col("df") > RARE).groupBy("d").agg(F.count("*").alias("frequent")), "join-often")
     ahead = ahead.join(often, "d", "left").withColumn("frequent", F.coalesce("frequent", F.lit(0)))
-    alone = spanning(ahead.where(F.col("df") <= RARE).drop("df"), ["token"]).drop("df")
-    frequent = spanning(ahead.where(F.col("df") > RARE).drop("df"), ["token"]).drop("df")
+    alone = ahead.where(F.col("df") <= RARE).drop("df")
+    frequent = ahead.where(F.col("df") > RARE).where(F.col("most") * UNDER >= F.col("n") * OVER).drop("df")
     doubles = spanning(token_pairs(frequent), ["t1", "t2"]).drop("df")
-    met = in_lists(alone).union(across(doubles, ["t1", "t2"]).withColumn("shared", F.lit(0).cast("long")))
+    met = in_lists(alone).unionByName(across(doubles, ["t1", "t2"]).withColumn("shared", F.lit(0).cast("long")))
     met = met.groupBy("a", "b").agg(
         F.max("shared").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("frequent").alias("frequent")
     )
     pairs = staged(pairs.union(enough(met)).distinct(), "join-pairs")
     # 5. Verification and closure.
-    links = links.union(verified(pairs, texts, words)).union(copies.toDF("u", "v"))
+    links = links.union(verified(pairs, texts, words)).union(copies.select("class_id", "doc_id"))
     member = components(links, "join-components").select(F.col("node").alias("doc_id"), "component")
     first = classes.select("set_hash", "class_id")
     told = sets.select("doc_id", "n", "set_hash").join(member, "doc_id", "left").join(first, "set_hash", "left")

@@ -294,3 +294,22 @@ def test_toxic_rows_are_dropped_one_by_one(spark):
     assert kept[0].__fields__ == ["doc_id", "text", "source", "rejected_id"]
     wanted = [(i and i + 10**9, t, s, r) for k, (i, t, s, r) in enumerate(rows) if k not in (0, 3, 8)]
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, wanted))
+
+
+def test_shared_passage_and_rows_that_share_an_id(spark, monkeypatch):
+    """A passage that makes up most of many unlike documents gives no candidates; each text of an id has its own links."""
+    from reportloom.llm import ngram_join
+
+    rng = random.Random(4)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    passage = fresh(45)
+    listed = [(k, " ".join(passage + fresh(rng.randint(10, 16)))) for k in range(400)]
+    one, two = fresh(60), fresh(60)
+    listed += [(900, " ".join(one)), (900, " ".join(two)), (901, " ".join(one + ["x"])), (902, " ".join(two + ["y"])), (899, " ".join(two))]
+    counted = []
+    verified = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *more: counted.append(pairs.count()) or verified(pairs, *more))
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, listed)).collect()}
+    wanted, _ = brute_components(listed)
+    assert found == wanted and {found[k] for k in (899, 900, 901, 902)} == {899}
+    assert counted[-1] < 400 and sum(counted) < 1_600
