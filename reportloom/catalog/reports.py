@@ -8,6 +8,7 @@ from reportloom.catalog.registry import query, table
 from reportloom.operators.ordering import sort_rows
 from reportloom.plans.job import build_outputs, run_report_job
 from reportloom.plans.staging import new_path
+from reportloom.sources.folders import merge_folder
 from reportloom.sources.outputs import convert_folder, write_output
 from reportloom.sources.tables import scan_csv, scan_table
 
@@ -182,3 +183,36 @@ def convert_csv_folder(spark, sf_dir):
     nation = scan_table(spark, f"{dst}/nation.parquet")
     supplier = scan_table(spark, f"{dst}/supplier.parquet").withColumn("s_acctbal", F.col("s_acctbal").cast("double"))
     return nation.unionByName(supplier, allowMissingColumns=True)
+
+
+def customer_folder(spark, sf_dir) -> str:
+    """A folder with a CSV table for each nation's customers; every other nation's has its columns in another order."""
+    src = new_path(spark, "many")
+    customer = table(spark, sf_dir, "customer").withColumn("of", F.concat(F.lit("n"), "c_nationkey", F.lit(".csv")))
+    for rest, columns in enumerate((["c_custkey", "c_name", "c_mktsegment"], ["c_mktsegment", "c_custkey", "c_name"])):
+        some = customer.where(F.col("c_nationkey") % 2 == rest).select(*columns, "of")
+        some.write.partitionBy("of").option("header", True).option("escape", '"').mode("append").csv(src)
+    return src
+
+
+@query("""
+    SELECT 'of=n' || c_nationkey || '.parquet' AS file, true AS ok, count(*) AS rows, sum(c_custkey) AS keys,
+           count(DISTINCT c_mktsegment) AS segments
+    FROM customer GROUP BY c_nationkey
+""")
+def convert_many_files(spark, sf_dir):
+    """Many tables with few different headers: converted and counted by header, each into a table of its own."""
+    dst = new_path(spark, "out")
+    report = convert_folder(spark, customer_folder(spark, sf_dir), dst).select("file", "ok", "rows")
+    found = spark.read.schema("c_custkey string, c_mktsegment string").parquet(f"{dst}/*.parquet")
+    file = F.regexp_extract("_metadata.file_path", "([^/]*)/[^/]*$", 1)
+    sums = found.groupBy(file.alias("file")).agg(
+        F.sum(F.col("c_custkey").cast("bigint")).alias("keys"), F.count_distinct("c_mktsegment").alias("segments")
+    )
+    return report.join(sums, "file")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def merge_folder_many(spark, sf_dir):
+    """Many tables with their columns in several orders, their headers found together."""
+    return merge_folder(spark, customer_folder(spark, sf_dir), ["c_custkey", "c_name", "c_mktsegment"])[0]

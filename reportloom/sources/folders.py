@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 from reportloom.operators.columns import ref
 from reportloom.operators.combine import append_tables
 from reportloom.plans.errors import STEP_ERRORS, reason
+from reportloom.sources.headers import csv_headers
 from reportloom.sources.listing import Child, list_children, template_of
-from reportloom.sources.tables import csv_header, pick_sheet, read_csv_files, scan_table
+from reportloom.sources.tables import pick_sheet, read_csv_files, scan_table
 
-_HEADER_READERS = 16
+_FOOTER_READERS = 16
 
 
 def _book_sheets(spark: SparkSession, children: list[Child], sheet: int | str) -> list:
@@ -32,12 +33,23 @@ def _book_sheets(spark: SparkSession, children: list[Child], sheet: int | str) -
     return [table(child) for child in children]
 
 
-def _schema_of(spark: SparkSession, table: Child, encoding: str | None) -> T.StructType:
-    """Schema from the header line or the footer of one file; no data is read."""
-    if table.suffix == ".csv":
-        names = csv_header(spark, table.path, encoding)
-        return T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return scan_table(spark, table.path).schema
+def _schemas(spark: SparkSession, tables: list[Child], encoding: str | None) -> list[T.StructType | str]:
+    """Schema of each table, or what is wrong with it: from header lines, all in two jobs, and footers, one by one; no data is read."""
+    headers = csv_headers(spark, [t for t in tables if t.suffix == ".csv"], encoding)
+
+    def schema(table: Child) -> T.StructType | str:
+        names = headers.get(table.path)
+        if isinstance(names, str):
+            return names
+        if names is not None:
+            return T.StructType([T.StructField(name, T.StringType()) for name in names])
+        try:
+            return scan_table(spark, table.path).schema
+        except STEP_ERRORS as error:
+            return reason(error)
+
+    with ThreadPoolExecutor(_FOOTER_READERS) as readers:
+        return list(readers.map(schema, tables))
 
 
 def merge_folder(
@@ -51,9 +63,9 @@ def merge_folder(
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Tables of a folder stacked on the ``required`` columns, and ``(name, reason)`` of those left out.
 
-    ``required`` defaults to the columns of the newest table. Headers are read side by
-    side; tables with the same header then share one scan, since a scan over CSV files
-    with different column orders would mix the columns up.
+    ``required`` defaults to the columns of the newest table. Header lines of CSV tables are found by two jobs, however many
+    tables there are; tables with the same header then share one scan, since a scan over CSV files with different column
+    orders would mix the columns up.
     """
     children = list_children(spark, folder, books=True)
     template_of(children)
@@ -65,15 +77,7 @@ def merge_folder(
         else:
             tables.append((child, table))
 
-    def header(pair):
-        try:
-            return _schema_of(spark, pair[1], encoding)
-        except STEP_ERRORS as error:
-            return reason(error)
-
-    with ThreadPoolExecutor(_HEADER_READERS) as readers:
-        schemas = list(readers.map(header, tables))
-
+    schemas = _schemas(spark, [table for _, table in tables], encoding)
     if not required:
         if not schemas or isinstance(schemas[-1], str):
             raise ValueError("the newest table cannot be read; name the required columns")
@@ -109,5 +113,3 @@ def merge_folder(
 def skipped_table(spark: SparkSession, skipped: Sequence[tuple[str, str]]) -> DataFrame:
     """The skip list of :func:`merge_folder` as a table."""
     return spark.createDataFrame(list(skipped), "name string, reason string")
-
-

@@ -24,6 +24,7 @@ class Child:
     path: str
     modified: datetime
     length: int
+    nested: bool = False
 
     @property
     def stem(self) -> str:
@@ -69,7 +70,7 @@ def list_children(spark: SparkSession, folder: str, books: bool = False) -> list
             raise ValueError(f"not a folder of tables: {folder!r}")
         is_table = row.name.lower().endswith(DATA_SUFFIXES)
         if not row.name.startswith(LOCK_PREFIX) and (is_table or (books and row.nested)):
-            found.append(Child(row.name, row.root + row.name, row.modified, row.length))
+            found.append(Child(row.name, row.root + row.name, row.modified, row.length, row.nested))
     return sorted(found, key=lambda c: (c.modified, c.name))
 
 

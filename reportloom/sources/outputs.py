@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections import Counter
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 
 from reportloom.plans.errors import STEP_ERRORS, reason
 from reportloom.plans.staging import new_path, settle
+from reportloom.sources.headers import csv_headers
 from reportloom.sources.listing import Child, list_children
-from reportloom.sources.tables import list_sheets, pick_sheet, scan_sheet, scan_table
+from reportloom.sources.tables import list_sheets, pick_sheet, read_csv_files, scan_sheet, scan_table
 
 # Fixed value: data rows of one sheet (the header takes the 1,048,576th).
 SHEET_ROWS = 1_048_575
@@ -20,6 +24,9 @@ SHEET_COLUMN = "sheet_no"
 
 _WRITE_JOBS = 8
 
+#: Modes in which a table is written anew or not at all.
+_FRESH = ("overwrite", "error", "errorifexists")
+
 
 def _writer(df: DataFrame, file_format: str, mode: str):
     writer = df.write.format(file_format).mode(mode)
@@ -133,35 +140,118 @@ def convert_folder(
 ) -> DataFrame:
     """Convert every CSV table and book of a folder to Parquet; Parquet tables are left alone.
 
-    ``sheets`` is ``'ALL'``, a position (cut to the last sheet) or a name. One write job per
-    source, a few at a time so that small sources do not leave the cluster idle; a failed
-    source is reported and the others go on.
+    ``sheets`` is ``'ALL'``, a position (cut to the last sheet) or a name. Sources with the same header are converted together, by one scan
+    and one write without a shuffle, and their rows are counted together; so the number of jobs grows with the number of different
+    headers, not with that of sources. Sheets that are Parquet tables, sources that want the same output, and the sources of
+    a conversion that failed as a whole are converted one by one; a failed source is reported and the others go on.
     """
-    children = [c for c in list_children(spark, src, books=True) if c.suffix != ".parquet"]
-
-    def convert(child: Child) -> list:
-        return _convert_child(spark, child, dst, sheets, encoding, bad_rows, mode)
+    wanted, records = _folder_sources(spark, src, sheets)
+    outputs = Counter(name.lower() for name, _ in wanted)
+    together = [(name, c) for name, c in wanted if c.suffix == ".csv" and outputs[name.lower()] == 1 and mode in _FRESH]
+    headers = csv_headers(spark, [child for _, child in together], encoding)
+    groups: dict[tuple, list[tuple[str, Child]]] = {}
+    for name, child in together:
+        if isinstance(headers[child.path], list) and headers[child.path]:
+            groups.setdefault((child.nested, *headers[child.path]), []).append((name, child))
+    grouped = {child.path for sources in groups.values() for _, child in sources}
+
+    def one(source: tuple[str, Child]) -> list[tuple]:
+        name, child = source
+        return [_convert(lambda: scan_table(spark, child.path, None, encoding, bad_rows), f"{dst.rstrip('/')}/{name}.parquet", mode)]
+
+    def many(kind: tuple) -> list[tuple]:
+        sources = groups[kind]
+        try:
+            if len(sources) > 1:
+                return _convert_together(spark, sources, kind[1:], dst, encoding, bad_rows, mode)
+        except STEP_ERRORS:
+            pass
+        return [record for source in sources for record in one(source)]
 
     with ThreadPoolExecutor(_WRITE_JOBS) as jobs:
-        reports = list(jobs.map(convert, children))
-    return _report(spark, [tuple(row) for rows in reports for row in rows])
+        records += [row for rows in jobs.map(many, groups) for row in rows]
+        alone = [source for source in wanted if source[1].path not in grouped]
+        single = [source for source in alone if outputs[source[0].lower()] == 1]
+        records += [row for rows in jobs.map(one, single) for row in rows]
+    # What wants the same output follows one another, so that the last in the folder's order stays.
+    records += [row for source in alone if outputs[source[0].lower()] > 1 for row in one(source)]
+    return _report(spark, records)
 
 
-def _convert_child(spark, child: Child, dst, sheets, encoding, bad_rows, mode) -> list:
-    if child.suffix == ".csv":
-        return convert_table(spark, child.path, dst, None, encoding, bad_rows, mode).collect()
-    try:
-        names = list_sheets(spark, child.path)
-    except ValueError:
-        names = []
-    if not names:
-        return [(child.name, False, None, "no tables inside")]
-    if sheets == "ALL" and len(names) > 1:
-        return convert_table(spark, child.path, dst, "ALL", encoding, bad_rows, mode).collect()
+def _folder_sources(spark, src: str, sheets: int | str) -> tuple[list[tuple[str, Child]], list[tuple]]:
+    """Output name and table of each source of a folder, and report lines of those that have none."""
+    wanted: list[tuple[str, Child]] = []
+    bad: list[tuple] = []
+    books = []
+    for child in list_children(spark, src, books=True):
+        if child.suffix == ".csv":
+            wanted.append((child.stem, child))
+        elif child.suffix != ".parquet":
+            books.append(child)
+
+    def inside(book: Child) -> dict[str, Child]:
+        try:
+            return {sheet.stem: sheet for sheet in list_children(spark, book.path)}
+        except ValueError:
+            return {}
+
+    with ThreadPoolExecutor(_WRITE_JOBS) as jobs:
+        listed = list(zip(books, jobs.map(inside, books)))
+    for book, tables in listed:
+        names = sorted(tables)
+        if not names:
+            bad.append((book.name, False, None, "no tables inside"))
+        elif sheets == "ALL" and len(names) > 1:
+            wanted += [(f"{book.name}_{name}", tables[name]) for name in names]
+        else:
+            pick = 0 if sheets == "ALL" else sheets
+            try:
+                name = names[min(pick, len(names) - 1)] if isinstance(pick, int) else pick_sheet(names, pick)
+                wanted.append((book.stem, tables[name]))
+            except ValueError as error:
+                bad.append((book.name, False, None, str(error)))
+    return wanted, bad
+
+
+def _convert_together(spark, sources: list[tuple[str, Child]], header, dst: str, encoding, bad_rows, mode: str) -> list[tuple]:
+    """Sources with the same header: one scan, one write into a folder for each source's file or folder, one count.
+
+    The folders then get the names of their tables; a source without rows gets a copy of an empty table.
+    """
+    paths = spark._jvm.org.apache.hadoop.fs
+    settings = spark._jsc.hadoopConfiguration()
+    place = f"{dst.rstrip('/')}/.converting-{uuid.uuid4().hex}"
+    files = paths.Path(place).getFileSystem(settings)
+    column = "__source"
+    while column in (name.lower() for name in header):
+        column += "_"
+    rows = read_csv_files(spark, [child.path for _, child in sources], header, encoding, bad_rows)
+    # The path stands there as in an address.
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    owner = F.regexp_replace(file, "/[^/]*$", "") if sources[0][1].nested else file
     try:
-        wanted = 0 if sheets == "ALL" else sheets
-        name = names[min(wanted, len(names) - 1)] if isinstance(wanted, int) else pick_sheet(names, wanted)
-    except ValueError as error:
-        return [(child.name, False, None, str(error))]
-    read = lambda: scan_sheet(spark, child.path, name, None, encoding, bad_rows)
-    return [_convert(read, f"{dst.rstrip('/')}/{child.stem}.parquet", mode)]
+        told = rows.select("*", F.concat(F.lit("t"), F.md5(owner)).alias(column))
+        told.write.partitionBy(column).parquet(f"{place}/rows")
+        written = spark.read.schema(f"`{column}` string").parquet(f"{place}/rows")
+        counts = {row[0]: row[1] for row in written.groupBy(column).count().collect()}
+        marks = ["t" + hashlib.md5(child.path.encode()).hexdigest() for _, child in sources]
+        if not counts.keys() <= set(marks):
+            raise ValueError("rows of an unknown file")
+        if len(counts) < len(sources):
+            rows.limit(0).write.parquet(f"{place}/empty")
+        records = []
+        for (name, _), mark in zip(sources, marks):
+            target = paths.Path(f"{dst.rstrip('/')}/{name}.parquet")
+            if mode == "overwrite":
+                files.delete(target, True)
+            if files.exists(target):
+                records.append((f"{name}.parquet", False, None, f"there is a table already: {target.toString()}"))
+                continue
+            if mark in counts:
+                moved = files.rename(paths.Path(f"{place}/rows/{column}={mark}"), target)
+            else:
+                moved = paths.FileUtil.copy(files, paths.Path(f"{place}/empty"), files, target, False, settings)
+            records.append((f"{name}.parquet", moved, counts.get(mark, 0) if moved else None, "" if moved else "could not be renamed"))
+        return records
+    finally:
+        files.delete(paths.Path(place), True)

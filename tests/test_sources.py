@@ -191,3 +191,60 @@ def test_converting_a_folder(spark, tmp_path, sheets, expected):
     report = {r.file: (r.ok, r.rows) for r in convert_folder(spark, str(src), dst, sheets).collect()}
     assert report.pop("bad.xlsx") == (False, None)
     assert report == {name: (n is not None, n) for name, n in expected.items()}
+
+
+def started_jobs(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def test_many_files_are_converted_together(spark, tmp_path):
+    src = tmp_path / "many files"
+    headers = ["a,b", "b,a", 'a,"b, ""c"""']
+    expected = {}
+
+    def write(folder, count):
+        for k in range(count):
+            lines = [f"{k},{j}" for j in range(k % 4)]
+            put(folder / f"t {k}.csv", "\n" * (k % 2) + "\n".join([headers[k % 3], *lines]) + "\n")
+            expected[f"t {k}.parquet"] = (True, len(lines))
+
+    write(src, 12)
+    put(src / "twice.csv", "a,a\n1,2\n")
+    put(src / "twice too.csv", "a,a\n1,2\n")
+    spark.createDataFrame([("1", "2")] * 5, "a string, b string").repartition(3).write.option("header", True).csv(str(src / "parts.csv"))
+    spark.createDataFrame([("1", "2")] * 7, "a string, b string").repartition(2).write.option("header", True).csv(str(src / "more.csv"))
+    dst = str(tmp_path / "dst")
+    report = {r.file: (r.ok, r.rows) for r in convert_folder(spark, str(src), dst).collect()}
+    assert report["parts.parquet"] == (True, 5) and report["more.parquet"] == (True, 7)
+    assert report["twice.parquet"] == report["twice too.parquet"] == (True, 1)
+    assert {name: report[name] for name in expected} == expected
+    for k in range(12):
+        back = scan_table(spark, f"{dst}/t {k}.parquet")
+        assert back.columns == [["a", "b"], ["b", "a"], ["a", 'b, "c"']][k % 3]
+        assert rows(back) == sorted((str(k), str(j)) for j in range(k % 4))
+    assert sorted(p.name for p in (tmp_path / "dst").iterdir() if p.name.startswith(".")) == []
+    again = {r.file: r.ok for r in convert_folder(spark, str(src), dst, mode="errorifexists").collect()}
+    assert not any(again.values())
+
+    jobs = []
+    for count in (40, 120):
+        write(tmp_path / f"n{count}", count)
+        before = started_jobs(spark)
+        assert convert_folder(spark, str(tmp_path / f"n{count}"), str(tmp_path / f"d{count}")).count() == count
+        df, _ = merge_folder(spark, str(tmp_path / f"n{count}"), ["a"])
+        jobs.append(started_jobs(spark) - before)
+    assert jobs[0] == jobs[1] < 40
+
+
+def test_headers_of_long_tables(spark, tmp_path, monkeypatch):
+    from reportloom.sources import headers
+
+    monkeypatch.setattr(headers, "WHOLE", 100)
+    for k in range(4):
+        put(tmp_path / f"long{k}.csv", f"a,b{k % 2}\n" + "1,2\n" * 50_000)
+    put(tmp_path / "short.csv", "a,c\n1,2\n")
+    put(tmp_path / "blank.csv", "\n \n")
+    children = list_children(spark, str(tmp_path))
+    found = {path.rsplit("/", 1)[1]: names for path, names in headers.csv_headers(spark, children).items()}
+    assert found.pop("blank.csv") == []
+    assert found == {"long0.csv": ["a", "b0"], "long1.csv": ["a", "b1"], "long2.csv": ["a", "b0"], "long3.csv": ["a", "b1"], "short.csv": ["a", "c"]}
