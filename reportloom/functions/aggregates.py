@@ -44,8 +44,21 @@ def _sum(value: Column, order) -> Column:
     return F.coalesce(F.sum(value), F.lit(0))
 
 
+def _log_product(value: Column, order) -> Column:
+    """Natural logarithm of the product, which may itself lie beyond the doubles: -inf of 0, NaN of a negative product."""
+    size = F.coalesce(F.sum(F.ln(F.abs(value.cast("double")))), F.lit(0.0))
+    zero, negative = F.count_if(value == 0) > 0, F.count_if(value < 0) % 2 == 1
+    return F.when(zero, F.lit(float("-inf"))).when(negative, F.lit(float("nan"))).otherwise(size)
+
+
 def _product(value: Column, order) -> Column:
-    return F.coalesce(F.product(value), F.lit(1.0))
+    plain = F.product(value)
+    # A running product may leave the doubles where the whole one lies within them; its logarithm does not.
+    lost = (F.abs(plain) == float("inf")) | (plain == 0) | F.isnan(plain)
+    sign = F.when(F.count_if(value < 0) % 2 == 1, -1.0).otherwise(1.0)
+    again = sign * F.exp(F.sum(F.ln(F.abs(value.cast("double")))))
+    found = F.when(lost & (F.count_if(value == 0) == 0), again).otherwise(plain)
+    return F.coalesce(found, F.lit(1.0))
 
 
 def _sem(value: Column, order) -> Column:
@@ -75,6 +88,7 @@ AGGREGATES: dict[str, Callable[[Column, Sequence[Column]], Column]] = {
     "last": _ordered(F.max_by),
     "size": lambda c, o: F.count(F.lit(1)),
     "prod": _product,
+    "log_prod": _log_product,
     "sem": _sem,
     "skew": _skew,
     "approx_nunique": lambda c, o: F.approx_count_distinct(c),
@@ -84,7 +98,7 @@ AGGREGATES: dict[str, Callable[[Column, Sequence[Column]], Column]] = {
 MEDIAN = "median"
 
 # Functions that give a value even for a group of nulls only.
-NEVER_NULL = {"sum", "count", "nunique", "size", "prod", "approx_nunique"}
+NEVER_NULL = {"sum", "count", "nunique", "size", "prod", "log_prod", "approx_nunique"}
 
 
 def check_function(name: str) -> None:

@@ -54,6 +54,19 @@ def test_functions_agree_with_pandas(spark):
     assert {r.g: r.v for r in group_agg(df, ["g"], {"v": "approx_nunique"}).collect()} == {"a": 4, "b": 2}
 
 
+def test_products_beyond_the_doubles(spark):
+    data = [("far", 1e200)] * 3 + [("back", x) for x in (1e200, -1e200, 1e-200, 1e-150, None)]
+    data += [("low", x) for x in (1e-200, 1e-200, 1e200, 1e150)] + [("none", 0.0), ("none", 1e300), ("minus", -2.0), ("gone", None)]
+    df = spark.createDataFrame(data, "g string, v double").coalesce(1)
+    found = dict(rows(group_agg(df, ["g"], {"v": "prod"})))
+    expected = {"far": float("inf"), "back": -1e50, "low": 1e-50, "none": 0.0, "minus": -2.0, "gone": 1.0}
+    assert found == pytest.approx(expected)
+    logs = dict(rows(group_agg(df, ["g"], {"v": "log_prod"})))
+    assert logs["far"] == pytest.approx(3 * 200 * 2.302585092994046)
+    assert (logs["none"], logs["gone"]) == (float("-inf"), 0.0)
+    assert logs["low"] == pytest.approx(-50 * 2.302585092994046) and logs["minus"] != logs["minus"]
+
+
 def test_first_passes_over_missing_values(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", "x", 2), ("a", "y", None)], "g string, v string, o int")
     assert rows(group_agg(df, ["g"], {"v": "last"}, order_by=["o"])) == [("a", "x")]
