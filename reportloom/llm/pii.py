@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -43,9 +41,9 @@ CONTEXT = {
 }
 NEAR = 24
 
-#: Bound of the labelled sample on which the trees are grown and calibrated, half of it for each.
-SAMPLE_ROWS = 20_000
-#: Precision that a kind's threshold must reach among the calibration rows, and how many hits it must rest on.
+#: Rows beyond which more of one kind, touched or not, weigh no more in the trees, so that none outweighs the others.
+EVEN = 2_500
+#: Precision that a kind's threshold must reach among all candidates, and how many hits it must rest on.
 PRECISION, HITS = 0.95, 20
 
 _SPAN = "array<struct<start:int,end:int,match:string>>"
@@ -182,25 +180,37 @@ def features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return rows.withColumns({f"f_{name}": value.cast("double") for name, value in made.items()}), [f"f_{n}" for n in made]
 
 
-def _scored(candidates: DataFrame) -> DataFrame:
-    """Candidates that the boosted trees accept, with their ``score``; none where the sample cannot carry a model."""
-    made, names = features(candidates)
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(made)
-    # A bounded sample, the same whenever the same rows are read: as much of each kind, and of what may be added and what may not.
-    drawn = ready.select("features", "kind", "label", "touched", F.xxhash64("doc_key", "kind", "start", "end").alias("draw"))
-    parts = [(F.col("kind") == kind) & (F.col("touched") == touched) for kind in range(len(KINDS)) for touched in (True, False)]
-    sample = reduce(DataFrame.union, (drawn.where(part).orderBy("draw").limit(SAMPLE_ROWS // len(parts)) for part in parts))
-    sample = staged(sample.withColumn("grow", F.pmod("draw", F.lit(2)) == 0).drop("draw"), "pii-sample")
-    seen = {(r["grow"], r["label"]): r["count"] for r in sample.groupBy("grow", "label").count().collect()}
-    if min(seen.get((grow, label), 0) for grow in (True, False) for label in (0.0, 1.0)) < HITS:
-        return ready.where("false").select("doc_key", "kind", "start", "end", F.lit(0.0).alias("score"))
-    trees = GBTClassifier(labelCol="label", maxIter=8, maxDepth=4, seed=3).fit(sample.where("grow"))
-    chance = F.get(vector_to_array("probability"), F.lit(1))
-    judged = trees.transform(sample.where("NOT grow")).select("kind", "label", "touched", F.floor(chance * 100).alias("cell"))
+def cross_judged(ready: DataFrame) -> DataFrame | None:
+    """All candidates with the ``chance`` that boosted trees give them; None where the labels cannot carry a model.
+
+    Every candidate is learnt from and judged: those of each half by trees grown on all of the other half.
+    """
+    seen = ready.groupBy("half", "label", "kind", "touched").count().collect()  # at most 32 rows
+    if min(sum(r["count"] for r in seen if (r["half"], r["label"]) == (half, label)) for half in (0, 1) for label in (0.0, 1.0)) < HITS:
+        return None
+    weight = F.lit(1.0)
+    for kind in range(len(KINDS)):
+        for touched in (True, False):
+            n = sum(r["count"] for r in seen if (r["kind"], r["touched"]) == (kind, touched))
+            part = (F.col("kind") == kind) & (F.col("touched") == touched)
+            weight = F.when(part, min(1.0, EVEN / max(n, 1))).otherwise(weight)
+    weighed = ready.select("features", "label", "half", weight.alias("weight"))
+    grower = GBTClassifier(labelCol="label", weightCol="weight", maxIter=8, maxDepth=4, seed=3)
+    chance = F.get(vector_to_array("probability"), F.lit(1)).alias("chance")
+    judged = [
+        grower.fit(weighed.where(F.col("half") == 1 - half)).transform(ready.where(F.col("half") == half)).select(*ready.columns, chance)
+        for half in (0, 1)
+    ]
+    return judged[0].union(judged[1])
+
+
+def thresholds(judged: DataFrame) -> dict[int, float]:
+    """For each kind the least chance from which candidates are right often enough, counted over all of them."""
+    cells = judged.select("kind", "label", "touched", F.floor(F.col("chance") * 100).alias("cell"))
     above = Window.partitionBy("kind").orderBy(F.desc("cell"))
     free = (~F.col("touched")).cast("int")
     totals = {"hits": F.col("label"), "n": F.lit(1), "free_hits": F.col("label") * free, "free_n": free}
-    cells = judged.groupBy("kind", "cell").agg(*(F.sum(value).alias(name) for name, value in totals.items()))
+    cells = cells.groupBy("kind", "cell").agg(*(F.sum(value).alias(name) for name, value in totals.items()))
     # The precision must hold for all of a kind and for those that may be added.
     cuts = (
         cells.select("kind", "cell", *(F.sum(name).over(above).alias(name) for name in totals))
@@ -208,12 +218,23 @@ def _scored(candidates: DataFrame) -> DataFrame:
         .where(F.col("free_hits") >= PRECISION * F.col("free_n"))
         .groupBy("kind").agg(F.min("cell").alias("cut")).collect()
     )  # at most one row for each kind
+    return {row["kind"]: row["cut"] / 100 for row in cuts}
+
+
+def _scored(candidates: DataFrame) -> DataFrame:
+    """Candidates that the boosted trees accept, with their ``score``; none where the labels cannot carry a model."""
+    made, names = features(candidates)
+    half = F.pmod(F.xxhash64("doc_key", "kind", "start", "end"), F.lit(2)).cast("int")
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(made.withColumn("half", half))
+    ready = staged(ready.select("doc_key", "kind", "start", "end", "label", "touched", "half", "features"), "pii-features")
+    judged = cross_judged(ready)
+    if judged is None:
+        return ready.where("false").select("doc_key", "kind", "start", "end", F.lit(0.0).alias("score"))
+    judged = staged(judged.drop("features"), "pii-judged")
     limit = F.lit(2.0)
-    for row in cuts:
-        limit = F.when(F.col("kind") == row["kind"], row["cut"] / 100).otherwise(limit)
-    return (
-        trees.transform(ready).select("doc_key", "kind", "start", "end", chance.alias("score")).where(F.col("score") >= limit)
-    )
+    for kind, cut in thresholds(judged).items():
+        limit = F.when(F.col("kind") == kind, cut).otherwise(limit)
+    return judged.where(F.col("chance") >= limit).select("doc_key", "kind", "start", "end", F.col("chance").alias("score"))
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -233,11 +254,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Spans of personal data in every whole text: ``doc_id``, ``base``, ``added`` (arrays of kind's number, start, end).
 
     ``base`` holds the matches of the fixed patterns that pass their checks. Generous generators propose overlapping
-    candidates; boosted trees, grown on format and context features of a bounded sample, score them all. A candidate's label is
+    candidates; boosted trees, grown on format and context features of all of them, score them all: each half by the trees of the
+    other. (Where features are cut, MLlib takes from quantiles of at least 10,000 rows.) A candidate's label is
     whether it meets a base span of its kind or, touching none, would be one in its canonical form ("(at)" as "@", a card without
     separators, a grouped number with its "+"), so what may be added has both labels; the trees do not see the signs. Thresholds for each
-    kind come from the other half of the sample. Accepted candidates that touch no base span are added; of overlapping ones the
-    best scored stays (then the longer, then by kind and place). Where the sample has too few examples nothing is added.
+    kind come from all candidates. Accepted candidates that touch no base span are added; of overlapping ones the
+    best scored stays (then the longer, then by kind and place). Where there are too few examples nothing is added.
 
     Null text counts as empty and has no spans; rows that repeat id and text get the same spans; null ids are kept; an empty
     table gives an empty table; other columns are not looked at.

@@ -9,8 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
-from reportloom.llm import ppm, toxicity as tox
+from reportloom.llm import pii, ppm, toxicity as tox
 from reportloom.llm.pii import KINDS, canonical, meets_base, personal_data, written
 from reportloom.llm.ppm import CLASSES, byte_classes, escape_levels, score_texts
 
@@ -183,6 +185,19 @@ def test_canonical_forms(spark):
     assert [(r["match"], r["told"]) for r in told.collect()] == [(m, w) for _, m, w in cases]
 
 
+def test_every_candidate_is_learnt_from_and_judged_by_the_other_half(spark):
+    """More candidates of a kind than any sample held: the odd half's labels are the even half's turned round."""
+    rows = spark.range(12_000, numPartitions=4).selectExpr(
+        "id AS doc_key", "0 AS kind", "0 AS start", "1 AS end", "id % 4 < 2 AS touched", "CAST(id % 2 AS INT) AS half",
+        "CAST((id DIV 4 + id) % 2 AS DOUBLE) AS label", "CAST(id DIV 4 % 2 AS DOUBLE) AS x",
+    )
+    judged = pii.cross_judged(rows.withColumn("features", array_to_vector(F.array("x"))).drop("x"))
+    found = judged.groupBy(F.col("label") == (F.col("chance") > 0.5).cast("double")).count().collect()
+    assert [tuple(r) for r in found] == [(False, 12_000)]
+    told = judged.withColumn("chance", F.when(F.col("doc_key") % 15 == 0, 0.8).otherwise(0.9)).withColumn("label", (F.col("doc_key") % 15 != 0).cast("double"))
+    assert pii.thresholds(told) == {0: 0.9}
+
+
 # --- byte model
 
 
