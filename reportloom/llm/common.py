@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,8 +107,13 @@ def _shipped(application: str) -> str:
     return str(archive)
 
 
+#: Bytes of rows that go to a worker at once, however long their texts are; the JVM and the worker both hold them.
+BATCH_BYTES = 4 << 20
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Let Spark send this package's code to the executors, where their Python may not have it installed."""
+    """Let Spark send this package's code to the executors, where their Python may not have it installed, and rows in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     before = _shipped.cache_info().misses
     archive = _shipped(context.applicationId)
@@ -116,6 +123,8 @@ def ship_code(spark: SparkSession) -> None:
 
 #: By operator, how a Python worker forgets what it remembers for it.
 _memories: dict[str, Callable[[], None]] = {}
+#: The operator that this worker remembers something for.
+_current: str | None = None
 
 
 def remembers(operator: str, forget: Callable[[], None]) -> None:
@@ -124,10 +133,19 @@ def remembers(operator: str, forget: Callable[[], None]) -> None:
 
 
 def memory_for(operator: str) -> None:
-    """Forget what this worker remembers for other operators: workers outlive a stage, and their memory would add up."""
+    """Forget what this worker remembers for other operators: workers outlive a stage, and their memory would add up.
+
+    Once an operator begins, what is free goes back to the system too.
+    """
+    global _current
+    if operator == _current:
+        return
+    _current = operator
     for name, forget in _memories.items():
         if name != operator:
             forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

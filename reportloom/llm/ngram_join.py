@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import bounded, components, finished, remembers, ship_code, staged
+from reportloom.llm.common import bounded, components, finished, memory_for, remembers, ship_code, staged
 
 #: Words in a shingle; the similarity as a fraction.
 WORDS, OVER, UNDER = 5, 75, 100
@@ -23,7 +23,7 @@ BROADCAST_IDS = 1_000_000
 #: Bits of the fixed-size map that keeps most unshared tokens out of the shuffles (16 MB), in words of 32 bits.
 MAP_BITS, MAP_WORD = 27, 5
 #: Words a worker remembers the hashes of.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -74,6 +74,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    memory_for("ngram_join")
     for batch in batches:
         sets = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -88,6 +89,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    memory_for("ngram_join")
     for batch in batches:
         sets = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -97,6 +99,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
 
 
 def _verify(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    memory_for("ngram_join")
     for batch in batches:
         last, own, hits = None, np.zeros(0, np.int64), []
         for left, right in zip(*(batch.column(c).to_pylist() for c in ("left_text", "right_text")), strict=True):

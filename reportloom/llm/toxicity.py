@@ -19,7 +19,7 @@ from reportloom.plans.staging import dropped_afterwards
 #: and the space behind it have two characters at least, so a class has at most half as many words.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4_000_000
 #: Buckets for hashed words; words remembered by a worker; words judged together; steps of a block.
-BUCKETS, REMEMBERED, TOGETHER, STEPS = 1 << 18, 600_000, 1 << 17, 512
+BUCKETS, REMEMBERED, TOGETHER, STEPS = 1 << 18, 400_000, 1 << 17, 512
 #: Lengths of the beginnings of a word that are keys of their own, so that forms of one stem are known by it.
 BEGINNINGS = (4, 5, 6, 7)
 #: What makes a key telling: the share of toxic documents among those that hold it (both classes weighing alike), the share of

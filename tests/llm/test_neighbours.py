@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from reportloom.llm import common, ngram_join, toxicity as tox
 from reportloom.llm.toxicity import toxicity
 from reportloom.llm.catalog import ORACLES, QUERIES
 from reportloom.llm.embed_dedup import near_duplicate_vectors, recall
@@ -313,3 +315,16 @@ def test_shared_passage_and_rows_that_share_an_id(spark, monkeypatch):
     wanted, _ = brute_components(listed)
     assert found == wanted and {found[k] for k in (899, 900, 901, 902)} == {899}
     assert counted[-1] < 400 and sum(counted) < 1_600
+
+
+def test_workers_forget_other_operators_and_get_small_batches(spark, monkeypatch):
+    common.ship_code(spark)
+    rows = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) <= 2 * common.BATCH_BYTES
+    monkeypatch.setattr(common, "_current", "toxicity")
+    tox._features.of(["word"])
+    ngram_join.shingle_set("a b c d e f")
+    for work in (ngram_join._prefixes, ngram_join._whole_sets, ngram_join._verify):
+        list(work(iter([]), 5))
+    assert not tox._features.rows and ngram_join._hashes
