@@ -27,6 +27,10 @@ _SCHEMA = {
     "chunk": "long", "key": "long", "place": "int", "train": "long", "doc_id": "long", "held_out": "boolean",
     "places": "array<int>", "times": "array<int>", "score": "double", "cell": "long", "text": "binary",
 }
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+_ARROW = {name: _KINDS[kind] for name, kind in _SCHEMA.items()}
+#: Rows of a chunk that leave the worker in one batch.
+ROWS = 1 << 15
 #: A context's or a gram's number of bytes stands above its bytes in a cell.
 ABOVE = 40
 
@@ -325,40 +329,36 @@ def word_keys(text: bytes) -> np.ndarray:
     return np.concatenate([np.fromiter(map(_keys.__getitem__, words), np.uint64, len(words)), _END])
 
 
+def _parts(chunk: int, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind with nulls in the other kinds' columns, some at a time, as a chunk in one batch would be large."""
+    n = len(next(iter(columns.values())))
+    for at in range(0, n, ROWS):
+        rows = min(ROWS, n - at)
+        made = {
+            name: columns[name].slice(at, rows) if name in columns else pa.nulls(rows, kind) for name, kind in _ARROW.items()
+        } | {"chunk": pa.array(np.full(rows, chunk, np.int64))}
+        yield pa.RecordBatch.from_arrays([made[name] for name in _ARROW], names=list(_ARROW))
+
+
 def _chunk_rows(
     chunk: int, keys: list[np.ndarray], held: list[bool], docs: pa.Array, scores: pa.Array, cells: tuple[np.ndarray, np.ndarray], texts: pa.Array
-) -> pa.RecordBatch:
+) -> Iterator[pa.RecordBatch]:
     """A chunk's dictionary (key, place, how often its training texts hold it), its documents (places, times), its cells."""
+    yield from _parts(chunk, {"train": pa.array(cells[1]), "cell": pa.array(cells[0])})
     lengths = np.array([len(k) for k in keys], np.int64)
     known, places = np.unique(np.concatenate(keys), return_inverse=True)
     train = np.bincount(places[~np.repeat(np.array(held, bool), lengths)], minlength=len(known))
+    words = {"key": known.view(np.int64), "place": np.arange(len(known), dtype=np.int32), "train": train.astype(np.int64)}
+    yield from _parts(chunk, {name: pa.array(values) for name, values in words.items()})
     places += np.repeat(np.arange(len(keys)) * len(known), lengths)
     pairs, times = np.unique(places, return_counts=True)
     del places
     ends = np.searchsorted(pairs, np.arange(len(keys) + 1) * len(known)).astype(np.int32)
-    n, m = len(known), len(keys)
     at = pa.ListArray.from_arrays(ends, pa.array((pairs % len(known)).astype(np.int32)))
     how = pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))
-    g = len(cells[0])
-
-    def spread(words, documents, grams) -> pa.Array:
-        kind = next(x.type for x in (words, documents, grams) if x is not None)
-        return pa.concat_arrays([pa.nulls(k, kind) if x is None else x for k, x in ((n, words), (m, documents), (g, grams))])
-
-    columns = {
-        "chunk": pa.array(np.full(n + m + g, chunk, np.int64)),
-        "key": spread(pa.array(known.view(np.int64)), None, None),
-        "place": spread(pa.array(np.arange(n, dtype=np.int32)), None, None),
-        "train": spread(pa.array(train.astype(np.int64)), None, pa.array(cells[1])),
-        "doc_id": spread(None, docs, None),
-        "held_out": spread(None, pa.array(held, pa.bool_()), None),
-        "places": spread(None, at, None),
-        "times": spread(None, how, None),
-        "score": spread(None, scores, None),
-        "cell": spread(None, None, pa.array(cells[0])),
-        "text": spread(None, texts, None),
-    }
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    yield from _parts(
+        chunk, {"doc_id": docs, "held_out": pa.array(held, pa.bool_()), "places": at, "times": how, "score": scores, "text": texts}
+    )
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -375,9 +375,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
-    def done() -> pa.RecordBatch:
+    def done() -> Iterator[pa.RecordBatch]:
         cells = _gram_cells(*map(np.concatenate, zip(*grams, strict=True))) if grams else (np.zeros(0, np.int64),) * 2
-        return _chunk_rows(base + seq, keys, held, pa.concat_arrays(docs), pa.concat_arrays(scores), cells, pa.concat_arrays(texts))
+        yield from _chunk_rows(base + seq, keys, held, pa.concat_arrays(docs), pa.concat_arrays(scores), cells, pa.concat_arrays(texts))
 
     for batch in batches:
         for at, some in _rounds(batch):
@@ -396,10 +396,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
                 texts.append(pa.nulls(len(some), pa.binary()))
             size += sum(map(len, some))
             if size >= CHUNK:
-                yield done()
+                yield from done()
                 keys, held, docs, scores, texts, grams, size, seq = [], [], [], [], [], [], 0, seq + 1
     if keys:
-        yield done()
+        yield from done()
 
 
 def score_texts(

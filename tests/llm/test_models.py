@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -292,6 +294,20 @@ def test_whole_bytes_equal_a_slow_model(spark):
     assert score_texts(docs(spark, []), whole_bytes=True).count() == 0
 
 
+def test_chunks_leave_in_small_batches():
+    rng = np.random.default_rng(2)
+    grams = np.unique(rng.integers(0, 1 << 40, 100_000))
+    keys = [np.unique(rng.integers(1, 1 << 60, 50_000)).astype(np.uint64) for _ in range(2)]
+    nulls = [pa.nulls(2, kind) for kind in (pa.float64(), pa.binary())]
+    found = list(ppm._chunk_rows(7, keys, [True, False], pa.array([1, 2]), nulls[0], (grams, grams * 0), nulls[1]))
+    assert max(batch.num_rows for batch in found) <= ppm.ROWS
+    rows = pa.Table.from_batches(found)
+    assert rows.column("cell").drop_null().to_pylist() == grams.tolist() and set(rows.column("chunk").to_pylist()) == {7}
+    dictionary = np.array(rows.column("key").drop_null().to_pylist()).view(np.uint64)
+    held = rows.filter(pc.is_valid(rows.column("doc_id"))).column("places").to_pylist()
+    assert all(np.array_equal(np.sort(dictionary[places]), own) for places, own in zip(held, keys, strict=True))
+
+
 def test_model_odd_rows(spark):
     rows = [(None, "word " * 9), (1, None), (2, "tail " * 200_000), (2, "tail " * 200_000), (3, "퟿ ok"), (7, " ")]
     out = score_texts(docs(spark, rows)).collect()
