@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.llm.common import crc_bucket, ship_code, staged
@@ -22,6 +23,9 @@ ORDER, CLASSES = 4, 32
 BLOCKS = CLASSES**2
 #: Bytes scored or counted together; bytes of a chunk of documents that shares a dictionary; words a worker remembers.
 TOGETHER, CHUNK, REMEMBERED = 1 << 20, 12 << 20, 200_000
+#: With whole bytes, bytes of a chunk: the fewer chunks, the fewer rows ask for the same contexts and words. How its texts travel.
+WHOLE_CHUNK = 32 << 20
+_PACKING = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))
 
 _SCHEMA = {
     "chunk": "long", "key": "long", "place": "int", "train": "long", "doc_id": "long", "held_out": "boolean",
@@ -240,10 +244,23 @@ def _cells(order: int, grams: np.ndarray) -> np.ndarray:
     return (grams >> 8 & (1 << 8 * order) - 1) | order << ABOVE
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sum of each one's numbers."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begins = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[begins], np.add.reduceat(n[order], begins) if len(begins) else n[:0]
+
+
+def _counted(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams in order, and how often each one is a training text's."""
+    parts = [np.unique(grams[where], return_counts=True) for where in (train, ~train)]
+    return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([parts[0][1], np.zeros_like(parts[1][1])]))
+
+
 def _gram_cells(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cells of a chunk: its grams with their counts in training texts, and its contexts of every order with 0."""
-    known, at = np.unique(grams, return_inverse=True)
-    counts = np.bincount(at, weights=train, minlength=len(known)).astype(np.int64)
+    known, counts = _summed(grams, train)
     contexts = np.concatenate([np.unique(_cells(k, known)) for k in range(ORDER + 1)])
     cells = np.concatenate([known[counts > 0] | ORDER + 1 << ABOVE, contexts])
     return cells, np.concatenate([counts[counts > 0], np.zeros(len(contexts), np.int64)])
@@ -291,9 +308,13 @@ class Contexts:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         grams, real = _grams(texts)
-        known, at = np.unique(grams, return_inverse=True)
+        at, known = pd.factorize(grams)
+        # Sorted, they are searched for side by side.
+        order = np.argsort(known)
+        logs = np.empty(len(known))
+        logs[order] = self.logs(known[order])
         lengths = np.array([len(t) + ORDER for t in texts], np.int64)
-        return np.add.reduceat(self.logs(known)[at] * real, np.cumsum(lengths) - lengths)
+        return np.add.reduceat(logs[at] * real, np.cumsum(lengths) - lengths)
 
 
 def _corpus_rows(cells: DataFrame) -> DataFrame:
@@ -329,6 +350,42 @@ def word_keys(text: bytes) -> np.ndarray:
     return np.concatenate([np.fromiter(map(_keys.__getitem__, words), np.uint64, len(words)), _END])
 
 
+class Words:
+    """The words of a chunk's documents, A-Z lower-cased, and their ends, each word's string looked at once."""
+
+    def __init__(self) -> None:
+        self.rounds: list[pa.DictionaryArray] = []
+        self.counts: list[int] = []
+
+    def add(self, texts: list[bytes]) -> None:
+        found = [[*text.lower().split(), b""] for text in texts]
+        self.counts += map(len, found)
+        self.rounds.append(pa.array([word for words in found for word in words], pa.binary()).dictionary_encode())
+
+    def placed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different words' keys in order, each word's place among them, and each document's number of words."""
+        coded = pa.chunked_array(self.rounds).unify_dictionaries()
+        strings = coded.chunk(0).dictionary
+        keys = np.fromiter((xxhash.xxh64_intdigest(word.as_buffer()) for word in strings), np.uint64, len(strings))
+        known, places = np.unique(keys, return_inverse=True)
+        at = np.concatenate([some.indices.to_numpy() for some in coded.chunks])
+        return known, places.astype(np.int32)[at], np.array(self.counts, np.int64)
+
+
+def _trained(places: np.ndarray, counts: np.ndarray, held: np.ndarray, known: int) -> np.ndarray:
+    """How often each of the known words stands in training texts."""
+    return np.bincount(places[np.repeat(~held, counts)], minlength=known)
+
+
+def _packed(docs: pa.Array, held: list[bool], texts: list[bytes]) -> bytes:
+    """Some documents as one value, compressed."""
+    batch = pa.record_batch([docs, pa.array(held, pa.bool_()), pa.array(texts, pa.binary())], names=["doc_id", "held_out", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=_PACKING) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _parts(chunk: int, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
     """Rows of one kind with nulls in the other kinds' columns, some at a time, as a chunk in one batch would be large."""
     n = len(next(iter(columns.values())))
@@ -361,43 +418,60 @@ def _chunk_rows(
     )
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Chunks of consecutive documents: their words' dictionary and the documents with their model scores.
+def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of consecutive documents: cells, the words' dictionary, and the documents with their texts, packed some together."""
+    base, seq = TaskContext.get().partitionId() << 32, 0
 
-    Without a model they have their texts and cells instead.
-    """
+    def done() -> Iterator[pa.RecordBatch]:
+        cells, n = _gram_cells(*map(np.concatenate, zip(*grams, strict=True)))
+        yield from _parts(base + seq, {"train": pa.array(n), "cell": pa.array(cells)})
+        known, places, counts = words.placed()
+        train = _trained(places, counts, np.array(held, bool), len(known))
+        places = np.arange(len(known), dtype=np.int32)
+        yield from _parts(base + seq, {"key": pa.array(known.view(np.int64)), "place": pa.array(places), "train": pa.array(train)})
+        for text in texts:
+            yield from _parts(base + seq, {"text": pa.array([text], pa.binary())})
+
+    words, grams, held, texts, size = Words(), [], [], [], 0
+    for batch in batches:
+        for at, some in _rounds(batch):
+            own = batch.column("held_out").slice(at, len(some)).to_pylist()
+            words.add(some)
+            held += own
+            codes, real = _grams(some)
+            grams.append(_counted(codes[real], np.repeat(~np.array(own, bool), [len(text) for text in some])))
+            texts.append(_packed(batch.column("doc_id").slice(at, len(some)), own, some))
+            size += sum(map(len, some))
+            if size >= WHOLE_CHUNK:
+                yield from done()
+                words, grams, held, texts, size, seq = Words(), [], [], [], 0, seq + 1
+    if texts:
+        yield from done()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Chunks of consecutive documents: their words' dictionary and the documents with their model scores."""
     base, seq = TaskContext.get().partitionId() << 32, 0
     keys: list[np.ndarray] = []
     held: list[bool] = []
     docs: list[pa.Array] = []
     scores: list[pa.Array] = []
-    texts: list[pa.Array] = []
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def done() -> Iterator[pa.RecordBatch]:
-        cells = _gram_cells(*map(np.concatenate, zip(*grams, strict=True))) if grams else (np.zeros(0, np.int64),) * 2
-        yield from _chunk_rows(base + seq, keys, held, pa.concat_arrays(docs), pa.concat_arrays(scores), cells, pa.concat_arrays(texts))
+        none = (np.zeros(0, np.int64),) * 2
+        yield from _chunk_rows(base + seq, keys, held, pa.concat_arrays(docs), pa.concat_arrays(scores), none, pa.nulls(len(keys), pa.binary()))
 
     for batch in batches:
         for at, some in _rounds(batch):
             keys += [word_keys(text) for text in some]
             held += batch.column("held_out").slice(at, len(some)).to_pylist()
             docs.append(batch.column("doc_id").slice(at, len(some)))
-            if shared is None:
-                scores.append(pa.nulls(len(some), pa.float64()))
-                texts.append(pa.array(some, pa.binary()))
-                codes, real = _grams(some)
-                known, at_known = np.unique(codes[real], return_inverse=True)
-                own = np.repeat(~np.array(held[-len(some) :], bool), [len(text) for text in some])
-                grams.append((known, np.bincount(at_known, weights=own, minlength=len(known))))
-            else:
-                scores.append(pa.array(shared.value.scores(some), pa.float64()))
-                texts.append(pa.nulls(len(some), pa.binary()))
+            scores.append(pa.array(shared.value.scores(some), pa.float64()))
             size += sum(map(len, some))
             if size >= CHUNK:
                 yield from done()
-                keys, held, docs, scores, texts, grams, size, seq = [], [], [], [], [], [], 0, seq + 1
+                keys, held, docs, scores, size, seq = [], [], [], [], 0, seq + 1
     if keys:
         yield from done()
 
@@ -415,7 +489,8 @@ def score_texts(
 
     With ``whole_bytes`` the symbols are the 256 bytes and the contexts up to four real bytes, as many as the corpus has. Each chunk of
     documents sends its counts and the list of its contexts, and gets back the corpus' rows of these, as it does for words;
-    no model is broadcast, and code lengths are doubles.
+    no model is broadcast, and code lengths are doubles. Texts travel compressed and are cut into words anew, which is less than their
+    words' places would be; of words a chunk gets the counts that others add to.
 
     ``base_score`` sums ``log10((c + 0.5) / (N + 0.5 (V + 1)))`` over the words (A-Z lower-cased) and one end of text. Word counts
     are no table that could be broadcast: each chunk of documents sends its dictionary to meet the corpus' counts, every word
@@ -438,28 +513,30 @@ def score_texts(
         with dropped_afterwards(spark):
             shared = spark.sparkContext.broadcast(train(rows.where("NOT held_out").select("text")))
     kinds = ", ".join(f"{name} {kind}" for name, kind in _SCHEMA.items())
-    chunks = staged(rows.mapInArrow(lambda batches: _chunks(batches, shared), kinds), "ppm-chunks")
-    words = chunks.where("key IS NOT NULL").select("chunk", "key", "place", "train")
-    counts = staged(words.groupBy("key").agg(F.sum("train").alias("c")), "ppm-words")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    make = _whole_chunks if whole_bytes else lambda batches: _chunks(batches, shared)
+    chunks = staged(rows.mapInArrow(make, kinds), "ppm-chunks")
+    # Each word's rows, one a chunk at most, meet in one exchange.
+    same = Window.partitionBy("key")
+    words = chunks.where("key IS NOT NULL").select(
+        F.col("chunk").alias("own_chunk"), "place", "train", F.sum("train").over(same).alias("c"),
+        (F.col("chunk") == F.min("chunk").over(same)).alias("first"),
+    )
+    # A chunk that has its texts knows its own counts; it needs those that others add to.
+    told = (F.col("c") != F.col("train")) if whole_bytes else F.lit(True)
+    words = staged(words.select("own_chunk", "place", "c", "first", told.alias("told")).where("first OR told"), "ppm-words")
+    totals = words.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     all_tokens, floor = totals["n"], totals["n"] + 0.5 * (totals["v"] + 1)
-    mine = words.select(F.col("chunk").alias("own_chunk"), "key", "place").join(counts, "key").select("own_chunk", "place", "c")
-    mine = mine.withColumns({"cell": F.lit(None).cast("long"), "row": F.lit(None).cast("array<long>")})
-    if whole_bytes:
-        cells = chunks.where("cell IS NOT NULL").select("chunk", "cell", "train")
-        asked = cells.where("train = 0").select(F.col("chunk").alias("own_chunk"), "cell").join(_corpus_rows(cells), "cell")
-        mine = mine.unionByName(asked, allowMissingColumns=True)
-    texts = chunks.where("key IS NULL AND cell IS NULL").select("chunk", "doc_id", "held_out", "places", "times", "score", "text")
-
-    def total(documents, dictionary):
-        contexts = dictionary.filter(pc.is_valid(dictionary.column("cell")))
-        dictionary = dictionary.filter(pc.is_valid(dictionary.column("place")))
-        score = documents.column("score")
-        if whole_bytes:
-            rows_of = contexts.column("row").combine_chunks()
-            model = Contexts(contexts.column("cell").to_numpy(), pc.list_value_length(rows_of).to_numpy(), rows_of.flatten().to_numpy())
-            own = [x for batch in documents.select(["text"]).to_batches() for _, some in _rounds(batch) for x in model.scores(some)]
-            score = pa.array(own, pa.float64())
+    mine = words.where("told").select("own_chunk", "place", "c")
+    made = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def table(ids, held, sums: list[np.ndarray], score) -> pa.Table:
+        columns = [
+            ids, held, pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
+            pa.array(np.full(len(ids), all_tokens, np.int64)), pa.array(sums[2].astype(np.float64)), score,
+        ]
+        return pa.table(columns, names=[field.split()[0] for field in made.split(", ")])
+
+    def by_places(documents, dictionary):
         c = np.zeros(len(dictionary), np.int64)
         c[dictionary.column("place").to_numpy()] = dictionary.column("c").to_numpy()
         logs = np.log10((c + 0.5) / floor)
@@ -468,16 +545,33 @@ def score_texts(
         lengths = pc.list_value_length(documents.column("places")).to_numpy()
         begins = np.cumsum(lengths) - lengths
         summed = [np.add.reduceat(x, begins) if len(x) else np.zeros(0) for x in (times, times * (c[places] > 0), times * logs[places])]
-        return pa.table(
-            {
-                "doc_id": documents.column("doc_id"), "held_out": documents.column("held_out"),
-                "n_tokens": pa.array(summed[0].astype(np.int64)), "n_known": pa.array(summed[1].astype(np.int64)),
-                "train_tokens": pa.array(np.full(len(lengths), all_tokens, np.int64)),
-                "base_score": pa.array(summed[2].astype(np.float64)), "score": score,
-            }
-        )
-
-    return texts.groupBy("chunk").cogroup(mine.groupBy("own_chunk")).applyInArrow(
-        total,
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+        return table(documents.column("doc_id"), documents.column("held_out"), summed, documents.column("score"))
+
+    def by_texts(packed, dictionary):
+        asked = dictionary.filter(pc.is_valid(dictionary.column("cell")))
+        rows_of = asked.column("row").combine_chunks()
+        model = Contexts(asked.column("cell").to_numpy(), pc.list_value_length(rows_of).to_numpy(), rows_of.flatten().to_numpy())
+        found, heads, scores = Words(), [], []
+        for one in packed.column("text"):
+            documents = pa.ipc.open_stream(one.as_buffer()).read_all()
+            texts = documents.column("text").to_pylist()
+            found.add(texts)
+            scores.append(model.scores(texts))
+            heads.append(documents.drop_columns("text"))
+        head = pa.concat_tables(heads)
+        known, places, counts = found.placed()
+        c = _trained(places, counts, head.column("held_out").to_numpy(), len(known))
+        dictionary = dictionary.filter(pc.is_valid(dictionary.column("place")))
+        c[dictionary.column("place").to_numpy()] = dictionary.column("c").to_numpy()
+        begins = np.cumsum(counts) - counts
+        sums = [counts, np.add.reduceat((c > 0)[places], begins, dtype=np.int64), np.add.reduceat(np.log10((c + 0.5) / floor)[places], begins)]
+        return table(head.column("doc_id"), head.column("held_out"), sums, pa.array(np.concatenate(scores)))
+
+    texts = chunks.where("key IS NULL AND cell IS NULL")
+    if not whole_bytes:
+        texts = texts.select("chunk", "doc_id", "held_out", "places", "times", "score")
+        return texts.groupBy("chunk").cogroup(mine.groupBy("own_chunk")).applyInArrow(by_places, made)
+    cells = chunks.where("cell IS NOT NULL").select("chunk", "cell", "train")
+    asked = cells.where("train = 0").select(F.col("chunk").alias("own_chunk"), "cell").join(_corpus_rows(cells), "cell")
+    mine = mine.unionByName(asked, allowMissingColumns=True)
+    return texts.select("chunk", "text").groupBy("chunk").cogroup(mine.groupBy("own_chunk")).applyInArrow(by_texts, made)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from reportloom.llm import pii, ppm, toxicity as tox
 from reportloom.llm.pii import KINDS, canonical, meets_base, personal_data, written
 from reportloom.llm.ppm import CLASSES, byte_classes, escape_levels, score_texts
+from reportloom.plans.staging import collecting
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, score string, spans string, base string, chunk int, key int"
@@ -308,6 +309,27 @@ def test_chunks_leave_in_small_batches():
     assert all(np.array_equal(np.sort(dictionary[places]), own) for places, own in zip(held, keys, strict=True))
 
 
+def test_texts_travel_compressed_and_chunks_learn_from_each_other(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"word{k:x}" for k in rng.integers(0, 1 << 30, 900)]
+    rows = [(k, " ".join(rng.choice(vocabulary, 300)) + f" only{k}") for k in range(60)]
+    paths = []
+    with collecting(paths):
+        whole = score_texts(docs(spark, rows).coalesce(1), whole_bytes=True).collect()
+    chunks = spark.read.parquet(next(path for path in paths if "ppm-chunks" in path))
+    sent = chunks.agg(F.sum(F.length("text")).alias("n"), F.count("places").alias("lists")).first()
+    assert sent.n < sum(len(text) for _, text in rows) / 2 and not sent.lists
+    # Many chunks: words and contexts that only other chunks have, and words that only one has.
+    parts = score_texts(docs(spark, rows).repartition(7), whole_bytes=True).collect()
+    known = {r.doc_id: r for r in whole}
+    for r in parts:
+        one = known[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (one.held_out, one.n_tokens, one.n_known, one.train_tokens)
+        assert r.score == pytest.approx(one.score) and r.base_score == pytest.approx(one.base_score)
+        assert r.n_tokens - r.n_known == r.held_out
+    assert len(parts) == len(rows)
+
+
 def test_model_odd_rows(spark):
     rows = [(None, "word " * 9), (1, None), (2, "tail " * 200_000), (2, "tail " * 200_000), (3, "퟿ ok"), (7, " ")]
     out = score_texts(docs(spark, rows)).collect()
