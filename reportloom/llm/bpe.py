@@ -203,14 +203,20 @@ class TokenBytes:
         for i, name in names.items():
             known = all(c in letters for c in name)
             self.bytes_of[i] = bytes(letters[c] for c in name) if known else name.encode()
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.starts = _starts(np.array(list(map(len, self.bytes_of)), np.int64))
 
-    def decode(self, ids: list[int], plain: bool = False) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of the ids; as in the library, ids beyond the vocabulary give nothing and broken UTF-8 gives U+FFFD."""
         table, n = self.bytes_of, len(self.bytes_of)
-        if plain:
-            return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
         return b"".join([table[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
 
+    def decode_all(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """The texts of rows of ids that lie one behind the other, all of them in the vocabulary."""
+        found, at = _gathered(self.flat, self.starts, ids)
+        found, ends = found.tobytes(), at[_starts(lengths)].tolist()
+        return [found[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
 
 class BytePairs:
     """A vocabulary's merges and added tokens, for encoding."""
@@ -332,12 +338,17 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str, ids: str) -
 def _decode(batches: Iterator[pa.RecordBatch], path: str, ids: str, text: str) -> Iterator[pa.RecordBatch]:
     model = token_bytes(path)
     for batch in batches:
-        for part in _slices(batch, _running(batch.column(ids), 4)):
+        # An id becomes some four bytes, each of which is found by a number.
+        for part in _slices(batch, _running(batch.column(ids), 16)):
             # Without nulls and ids beyond the vocabulary, as encoding gives them, nothing has to be left out.
-            span = pc.min_max(part.column(ids).flatten())
-            plain = not part.column(ids).flatten().null_count and (span["min"].as_py() or 0) >= 0
-            plain = plain and (span["max"].as_py() or 0) < len(model.bytes_of)
-            texts = [model.decode(row or [], plain) for row in part.column(ids).to_pylist()]
+            flat = part.column(ids).flatten()
+            span = pc.min_max(flat)
+            plain = not flat.null_count and (span["min"].as_py() or 0) >= 0
+            if plain and (span["max"].as_py() or 0) < len(model.bytes_of):
+                lengths = pc.fill_null(pc.list_value_length(part.column(ids)), 0).to_numpy()
+                texts = model.decode_all(flat.to_numpy(), lengths)
+            else:
+                texts = [model.decode(row or []) for row in part.column(ids).to_pylist()]
             kept = [n for n in part.schema.names if n != ids]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(texts, pa.string())], names=[*kept, text])
 

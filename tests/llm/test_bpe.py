@@ -5,10 +5,12 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from reportloom.llm import bpe
 from reportloom.llm.bpe import BytePairs, PairTable, TokenBytes, decode, encode, merged, merged_rows
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -135,3 +137,19 @@ def test_query_on_given_documents(spark, library):
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_plain_ids_are_decoded_by_the_array(library, monkeypatch):
+    """Rows of ids in the vocabulary are no Python objects, cut characters and empty rows among them."""
+    rng = np.random.default_rng(5)
+    whole = library.encode("Größe 12, 日本語 🙂 <|end|>", add_special_tokens=False).ids
+    rows = [rng.integers(0, 50_000, n).tolist() for n in (0, 1, 900, 40)] + [None, [], whole, whole[:-3], whole[5:], list(range(256)) * 2000]
+    wanted = [library.decode(row or [], skip_special_tokens=False) for row in rows]
+
+    def fails(*_):
+        raise AssertionError("one by one")
+
+    monkeypatch.setattr(TokenBytes, "decode", fails)
+    batch = pa.record_batch([pa.array(range(len(rows) + 1)), pa.array([[7], *rows], pa.list_(pa.int32()))], names=["a", "ids"])
+    found = pa.Table.from_batches(list(bpe._decode(iter([batch.slice(1), batch.slice(0, 0)]), PATH, "ids", "text")))
+    assert found.column("text").to_pylist() == wanted and found.column("a").to_pylist() == list(range(1, len(rows) + 1))
