@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import zipfile
@@ -132,6 +133,15 @@ def remembers(operator: str, forget: Callable[[], None]) -> None:
     _memories[operator] = forget
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; the C library would keep most of it, which adds up from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def memory_for(operator: str) -> None:
     """Forget what this worker remembers for other operators: workers outlive a stage, and their memory would add up.
 
@@ -144,8 +154,7 @@ def memory_for(operator: str) -> None:
     for name, forget in _memories.items():
         if name != operator:
             forget()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

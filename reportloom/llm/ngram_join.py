@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import bounded, components, finished, memory_for, remembers, ship_code, staged
+from reportloom.llm.common import bounded, components, finished, give_back, memory_for, remembers, ship_code, staged
 
 #: Words in a shingle; the similarity as a fraction.
 WORDS, OVER, UNDER = 5, 75, 100
@@ -307,6 +307,8 @@ def _near_duplicates(docs: DataFrame, words: int, id_col: str, text_col: str) ->
     bits = spark.sparkContext.broadcast(token_map(repeated))
     postings = entries.mapInArrow(lambda batches: _mapped(batches, bits), "d long, n long, token long")
     postings = staged(postings, "join-postings")
+    bits.destroy()
+    give_back()
     shared = postings.groupBy("token").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last")
     hits = staged(postings.join(shared, "token"), "join-hits")
     # 3. Large groups, by their leaders.

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.llm.common import crc_bucket, memory_for, remembers, ship_code, staged
+from reportloom.llm.common import crc_bucket, give_back, memory_for, remembers, ship_code, staged
 from reportloom.plans.staging import dropped_afterwards
 
 #: Bounds of the labelled sample on which the field is fitted: documents of each class, and their characters in all. A word
@@ -413,6 +413,7 @@ def toxicity(
     with dropped_afterwards(spark):
         sample, share = labelled_sample(docs, labels, sample_rows, sample_chars, folds, held_out, id_col, text_col)
     shared = spark.sparkContext.broadcast(fit(sample, share))
+    give_back()
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(
@@ -449,5 +450,6 @@ def without_toxic(
     with dropped_afterwards(docs.sparkSession):
         sample, share = labelled_sample(docs, labels, sample_rows, sample_chars, folds, held_out, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(fit(sample, share))
+    give_back()
     place = docs.columns.index(text_col)
     return docs.mapInArrow(lambda batches: _below(batches, shared, place, threshold), docs.schema)

@@ -317,6 +317,21 @@ def test_shared_passage_and_rows_that_share_an_id(spark, monkeypatch):
     assert counted[-1] < 400 and sum(counted) < 1_600
 
 
+def test_freed_memory_goes_back_to_the_system(monkeypatch):
+    """Small objects below one that stays would else be kept for the process, on the driver as in workers."""
+
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * 4096
+
+    monkeypatch.setattr(common, "_current", "toxicity")
+    held = [bytes(2000) for _ in range(60_000)]
+    stays, before = held[-1:], resident()
+    held.clear()
+    common.memory_for("ngram_join")
+    assert resident() < before - 60_000 * 1000 and stays
+
+
 def test_workers_forget_other_operators_and_get_small_batches(spark, monkeypatch):
     common.ship_code(spark)
     rows = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
