@@ -17,7 +17,8 @@ from reportloom.operators.infer import INTEGER_TEXT, NUMBER_TEXT, parse_moment
 
 Operand = Column | str
 
-_DAY = 86_400_000_000  # microseconds
+# Signs that make a pattern more than the text it is.
+_PATTERN_SIGNS = frozenset("\\.^$|?*+()[]{}")
 
 
 def _col(operand: Operand) -> Column:
@@ -135,8 +136,11 @@ def lower(a: Operand) -> Column:
 
 
 def strip(a: Operand) -> Column:
-    """Without white space at the ends, full-width blanks and tabs included."""
-    return F.regexp_replace(_col(a), r"(?U)^\s+|\s+$", "")
+    """Without white space at the ends, full-width blanks and tabs included; most texts have none, which two signs tell."""
+    column = _col(a)
+    first, last = (F.substring(column, place, 1) for place in (1, -1))
+    bare = first.between("!", "~") & last.between("!", "~")
+    return F.when(bare, column).otherwise(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
 
 
 def replace_text(a: Operand, old: str, new: str) -> Column:
@@ -144,7 +148,8 @@ def replace_text(a: Operand, old: str, new: str) -> Column:
 
 
 def has_text(a: Operand, pattern: str) -> Column:
-    return _col(a).rlike(pattern)
+    """Whether a pattern is found; one without signs of its own is looked for as the text it is."""
+    return _col(a).rlike(pattern) if _PATTERN_SIGNS & set(pattern) else _col(a).contains(pattern)
 
 
 def text_length(a: Operand) -> Column:
@@ -210,8 +215,9 @@ def weekday(a: Operand) -> Column:
 
 def _elapsed_days(start: Column, end: Column) -> Column:
     """Whole 24-hour periods from start to end, rounded down also when negative."""
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    return ((micros - F.pmod(micros, F.lit(_DAY))) / F.lit(_DAY)).cast("bigint")
+    apart, day = end - start, F.make_dt_interval(F.lit(1))
+    days = F.call_function("div", apart, day)
+    return days - (apart < day * days).cast("bigint")
 
 
 def days_apart(end: Operand, start: Operand) -> Column:

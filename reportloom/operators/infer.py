@@ -32,6 +32,9 @@ def _kind(text: Column) -> Column:
     """What one value looks like; each value is looked at once, the cheapest test first."""
     return (
         F.when(text == "", "empty")
+        # No number or date begins with a sign beyond the digits, and no number ends with one.
+        .when(text >= ":", "text")
+        .when(F.substring(text, -1, 1).between(":", "~"), F.when(text.rlike(DATE_TEXT), "moment").otherwise("text"))
         .when(
             text.rlike(INTEGER_TEXT),
             F.when(text.try_cast("bigint").isNotNull(), "whole")

@@ -293,7 +293,11 @@ class _Typed:
 
     def _round(self, inner, digits):
         column, kind = self.of(inner)
-        return X.round_half_even(self._wanted(inner, *_NUMBERS), digits), kind
+        column = self._wanted(inner, *_NUMBERS)
+        if kind == "number" and digits == 0:
+            # The same without a decimal for every row; the sum makes a negative zero a zero.
+            return F.rint(column) + F.lit(0.0), kind
+        return X.round_half_even(column, digits), kind
 
     def _ceil(self, inner):
         return F.ceil(self._wanted(inner, *_NUMBERS)), "whole"

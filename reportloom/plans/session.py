@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Whether a table is small enough to broadcast is judged by its compressed files.
     "spark.sql.sources.fileCompressionFactor": "3.0",
+    # Of many formulas Spark makes one long method. The JVM puts nothing into a method that is near 8,000 bytes and does not
+    # compile one beyond; steps that would make one of this length run by themselves, in methods of a few columns each.
+    "spark.sql.codegen.hugeMethodLimit": "5000",
     "spark.sql.session.timeZone": "UTC",
 }
 

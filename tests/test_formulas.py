@@ -113,3 +113,17 @@ def test_items_run_in_order_and_overwrite(spark):
 def test_bad_formula_fails_while_planning(spark):
     with pytest.raises(Exception, match="nope"):
         derive(spark.range(1), [("x", "nope + 1")])
+
+
+def test_strip_and_contains_at_odd_ends(spark):
+    texts = [("a b",), (" a",), ("a\n",), ("\u3000é",), ("é\u2028",), ("\u00a0!",), ("",), (None,)]
+    assert values(spark, "s string", texts, X.strip("s")) == ["a b", "a", "a", "é", "é", "!", "", None]
+    texts = [("x-1 a",), ("X-1 A",), ("",), (None,)]
+    assert values(spark, "s string", texts, X.has_text("s", "-1 a")) == [True, False, False, None]
+    assert values(spark, "s string", texts, X.has_text("s", "^x")) == [True, False, False, None]
+
+
+def test_elapsed_days_round_down(spark):
+    day = datetime(2024, 3, 1, 12)
+    pairs = [(day, day), (day, datetime(2024, 3, 1, 11)), (day, datetime(2024, 2, 29, 12)), (datetime(2024, 2, 29, 12, 0, 1), day), (datetime(2024, 2, 29, 12), day), (None, day)]
+    assert values(spark, "e timestamp_ntz, s timestamp_ntz", pairs, X.days_apart("e", "s")) == [0, 0, 1, -1, -1, None]

@@ -48,3 +48,9 @@ def test_known_types_and_kept_text(spark):
         ("a", "string"), ("b", "bigint"), ("c", "int"), ("d", "timestamp_ntz"),
     ]
     assert infer_types(df, types={"a": "double"}).dtypes[:2] == [("a", "double"), ("b", "string")]
+
+
+def test_texts_told_by_their_ends(spark):
+    for values in (["URGENT", "5"], ["5-LOW", "1"], ["1x", "2"], ["#1", "1"], ["1#", "1"], ["é", "1"], ["1é", "1"], ["2024-01-02x", "x", "y"]):
+        assert infer_schema(column(spark, values)) == {}
+    assert infer_schema(column(spark, ["2024-01-02 at noon", "x"])) == {"c": "timestamp_ntz"}

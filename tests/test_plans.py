@@ -13,6 +13,8 @@ from reportloom.operators.combine import align_tables, append_tables
 from reportloom.operators.lookup import link_tables, lookup_join, rows_not_in_table
 from reportloom.operators.pivot import group_agg, pivot_table
 from reportloom.plans import staging
+from reportloom.plans.preset_formulas import preset_column
+from reportloom.plans.session import configure
 
 SF = "/root/testdata/sf0.001"
 
@@ -165,6 +167,19 @@ def test_number_conversion_tests_text_only(lines):
     assert plan.count("RLIKE") == 1 and "typeof" not in plan
 
 
+def test_formulas_spare_patterns_clock_times_and_decimals(spark, lines):
+    made = [X.has_text("l_returnflag", "URGENT"), X.days_apart("l_shipdate", "l_shipdate"), preset_column(lines, "round(df['l_tax'], 0)")]
+    plan = plan_of(lines.select([c.alias(f"c{i}") for i, c in enumerate(made)])).lower()
+    assert not [name for name in ("rlike", "timestampdiff", "bround") if name in plan]
+    # A pattern stays one.
+    assert "RLIKE" in plan_of(lines.select(X.has_text("l_returnflag", "U.*").alias("c")))
+
+
+def test_formulas_of_a_wide_preset_are_no_single_method(spark):
+    # The JVM compiles no method of more than 8,000 bytes and puts nothing into one near that.
+    assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 5000
+
+
 def test_append_prunes_each_side(spark, lines):
     df = append_tables([lines, lines]).select("l_tax")
     assert plan_of(df).count("ReadSchema: struct<l_tax:double>") == 2

@@ -103,3 +103,10 @@ def test_kinds_that_do_not_go_together(df, text, said):
 def test_items_without_a_name(text):
     with pytest.raises(ValueError):
         preset_fields(text)
+
+
+def test_rounded_to_whole_numbers(spark):
+    data = [(v,) for v in (0.5, 1.5, -2.5, -0.3, -0.0, 0.49999999999999994, 1e22, float("inf"), None)]
+    df = spark.createDataFrame(data, "v double").coalesce(1)
+    found = [r.r for r in df.select(preset_column(df, "round(df['v'], 0)").cast("string").alias("r")).collect()]
+    assert found == ["0.0", "2.0", "-2.0", "0.0", "0.0", "0.0", "1.0E22", "Infinity", None]
